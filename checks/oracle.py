@@ -237,8 +237,9 @@ VIEWS = {
                                  string_split_regex(text, '{W}+|[^\p{{L}}\p{{N}}_\s\x{{85}}\p{{Z}}]') as gaps
                           from fx_sections)))
              join fx_gazetteer g on g.surface = lower(tok)""",
+    "fx_mention_keys": "select distinct lower(text_span) as key from fx_entities",
     "fx_vectors": """
-        with both_keys as (select lower(text_span) as key from fx_entities union select min(surface) from fx_kb group by uri),
+        with both_keys as (select key from fx_mention_keys union select min(surface) from fx_kb group by uri),
         terms as (
           select key, cast('0x' || substr(md5(gram), 1, 4) as integer) % 256 as dim, count(*) as tf
           from (select key, unnest(list_transform(range(1, length(key) + 1), lambda i: substr(' ' || key || ' ', i, 3))) as gram
@@ -252,7 +253,7 @@ VIEWS = {
           select m.key, c.uri, round(sum(m.w * v.w), 6) as score
           from concepts c join fx_vectors v on v.key = c.surface
                join fx_vectors m on m.dim = v.dim
-          where m.key in (select lower(text_span) from fx_entities) group by all)
+          where m.key in (select key from fx_mention_keys) group by all)
         select key, uri, score from (
           select *, row_number() over (partition by key order by score desc, uri) as r from scores) where r = 1""",
     "fx_linked": """
@@ -520,7 +521,7 @@ ORACLES = {
           select m.vec_id as mention_id, c.vec_id as concept_id,
                  round(list_cosine_similarity(m.embedding::double[], c.embedding::double[]), 6) as score
           from embeddings m, embeddings c where m.vec_id % 10 <> 0 and c.vec_id % 10 = 0)
-        select mention_id, concept_id, round(score, 4) as score from (
+        select mention_id, concept_id, score from (
           select *, row_number() over (partition by mention_id order by score desc, concept_id) as r from scores) where r = 1""",
     "group_entities": _group_entities("fx_entities"),
     "group_relations": _group_relations("fx_relations"),
@@ -635,7 +636,7 @@ ORACLES = {
         from fx_kb left join fx_definitions using (uri)""",
     "learn_gazetteer_labels": "select surface, label from fx_gazetteer",
     "tag_gazetteer_sections": "select * from fx_tagged",
-    "link_trigram_top1": "select key, uri, round(score, 4) as score from fx_nearest",
+    "link_trigram_top1": "select key, uri, score from fx_nearest",
     "annotate_and_link": f"""
         select pmid, '' as part, coalesce(entities, '') as entities from fx_articles left join (
           {_per_article('select t.*, n.uri from fx_tagged t join fx_nearest n on n.key = lower(t.text_span)',
@@ -685,6 +686,7 @@ ORACLES = {
 }
 # Views some queries read differently.
 OVERRIDES = {"negative_sampling": {"gold_relations": "select * from fx_relations where location = 'abstract'"}}
+OVERRIDES["annotate_and_link"] = {"fx_mention_keys": "select distinct lower(text_span) as key from fx_tagged"}
 for _name in ("concept_relation_report", "link_dictionary"):
     OVERRIDES[_name] = {"fx_keys": "select distinct text_span as key from fx_entities"}
 

@@ -24,6 +24,7 @@ from spanloom.schemas import SECTION
 from spanloom.sinks import submission_lines
 from spanloom.sources import concepts as SC
 from spanloom.sources import corpus as SD
+from spanloom.staging import compute_once, stage
 from spanloom.vocab import NO_RELATION
 
 SEED = 1337
@@ -136,7 +137,8 @@ def sub_concept_json(v):
 
 
 def _classified(v):
-    return v.scored_pairs.withColumn("predicate", G.argmax_class(F.col("scores")))
+    guess = F.struct(G.argmax_class(F.col("scores")).alias("guess"))
+    return stage(compute_once(v.scored_pairs, guess).withColumn("predicate", F.col("guess")).drop("guess", "scores"))
 
 
 @query
@@ -477,7 +479,7 @@ def link_cosine_top1(v):
     concept = F.col("vec_id") % 10 == 0
     mentions = emb.filter(~concept).select(F.col("vec_id").alias("mention_id"), F.col("embedding").alias("vector"))
     concepts = emb.filter(concept).select(F.col("vec_id").alias("concept_id"), F.col("embedding").alias("vector"))
-    return L.link_cosine(mentions, concepts).withColumn("score", F.round("score", 4))
+    return L.link_cosine(mentions, concepts)
 
 
 # Aggregation, distinct, top-k, sort.
@@ -750,7 +752,7 @@ def classify_pairs(v):
 def link_trigram_top1(v):
     keys = v.entities.select(X.normalise_surface(F.col("text_span")).alias("key")).distinct()
     concepts = v.kb.groupBy("uri").agg(F.min("surface").alias("key"))
-    return L.link_trigrams(keys, concepts).withColumn("score", F.round("score", 4))
+    return L.link_trigrams(keys, concepts)
 
 
 @query

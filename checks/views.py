@@ -14,6 +14,7 @@ from spanloom.operators.kb import DEFINITION, EXACT_SYNONYM, LABEL, MESH_NOTE, S
 from spanloom.operators.reshape import unpivot_sections
 from spanloom.operators.spans import token_spans
 from spanloom.schemas import SECTION
+from spanloom.staging import stage
 from spanloom.vocab import CLASSES, ENTITY_LABELS, PREDICATES
 
 MENTION = r"(?<![^ ])[a-z]{9,}(?![^ ])"
@@ -28,8 +29,11 @@ def hex_value(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("int")
 
 
+_staged: dict[tuple[str, str], DataFrame] = {}
+
+
 class Views:
-    """Lazy views of one data folder."""
+    """Lazy views of one data folder. The mentions are staged once per session, as an annotated corpus would lie on disk."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -57,6 +61,12 @@ class Views:
 
     @cached_property
     def entities(self) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        if key not in _staged:
+            _staged[key] = stage(self.find_entities())
+        return _staged[key]
+
+    def find_entities(self) -> DataFrame:
         tok = F.col("token")
         uri = F.concat(F.lit(OBO), F.upper(F.substring(tok, 1, 3)), F.lit("_"), F.length(tok))
         return token_spans(self.sections, MENTION).select(

@@ -11,10 +11,6 @@ RIGHT = r"[\p{L}\p{Nd}²³¹⁰⁴-⁹₀-₉]"
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]"
 TAG = r"</?[a-z][a-z0-9]*[^<>]*>|<!--.*?-->"
 
-# A run of word characters beside a span is looked for in this many characters first;
-# only a run that fills the window is searched for in the whole text.
-RUN_WINDOW = 64
-
 # Names of classes, never mentions.
 CLASS_NAMES = [
     "anatomical location",
@@ -85,52 +81,55 @@ def span_valid(span: Column, strict: bool = False) -> Column:
     return span.isin("C", "A") | (valid & ~low.rlike(suffix) & ~span.rlike(r"\A[,.\-'*;:<>!&#\s]*\z"))
 
 
-def _run_before(text: Column, at: Column) -> Column:
-    """Length of the run of word characters ending just before offset `at`."""
-    near = F.greatest(at - RUN_WINDOW, F.lit(0))
-    run = F.length(F.regexp_extract(slice_text(text, near, at), rf"((?<!{WORD}){WORD}+)\z", 1))
-    whole = F.length(F.regexp_extract(F.substring(text, F.lit(1), at), rf"((?<!{WORD}){WORD}+)\z", 1))
-    return F.when((run == RUN_WINDOW) & (near > 0), whole).otherwise(run)
+def word_before(before: Column) -> Column:
+    """Length of the run of word characters that ends `before`."""
+    return F.length(F.regexp_extract(before, rf"((?<!{WORD}){WORD}+)\z", 1))
+
+
+def run_after(after: Column, char_class: str = WORD) -> Column:
+    """Length of the run of characters that begins `after`."""
+    return F.length(F.regexp_extract(after, rf"\A{char_class}*", 0))
 
 
-def _run_after(text: Column, at: Column, char_class: str) -> Column:
-    """Length of the run of characters starting at offset `at`."""
-    pattern = rf"\A{char_class}*"
-    run = F.length(F.regexp_extract(F.substring(text, at + 1, F.lit(RUN_WINDOW)), pattern, 0))
-    whole = F.length(F.regexp_extract(F.substring(text, at + 1, F.length(text)), pattern, 0))
-    return F.when(run == RUN_WINDOW, whole).otherwise(run)
+def span_runs(before: Column, span: Column, after: Column) -> Column:
+    """Struct (strip, left, right): lengths of the junk that begins the span and of the words cut off beside it."""
+    return F.struct(
+        F.length(F.regexp_extract(span, rf"\A(?:[)\]#]|{SPACE})*", 0)).alias("strip"),
+        word_before(before).alias("left"),
+        run_after(after, RIGHT).alias("right"),
+    )
 
 
-def repair_span(text: Column, start: Column, end: Column) -> Column:
-    """Struct (start_idx, end_idx) of the span cut free of leading junk and grown to whole words.
+def repair_span(before: Column, span: Column, after: Column, start: Column, end: Column, runs: Column) -> Column:
+    """Struct (new_start, new_end) of the span cut free of leading junk and grown to whole words.
+
+    `before` and `after` are the text beside the span, at least as far as its words reach; `runs` is their
+    span_runs.
 
     The reading is a fixpoint of one-character steps: leading brackets, '#' or spaces are dropped; otherwise the
     start moves left while a word character precedes it; the end moves right while a letter or digit follows.
     Each of the three distances is a run length, so no loop is needed. A "Background" heading glued to the span
     stops the move left and is cut off. Needs start < end.
     """
-    span = slice_text(text, start, end)
-    strip = F.length(F.regexp_extract(span, rf"\A(?:[)\]#]|{SPACE})*", 0))
-    left = _run_before(text, start)
-    right = _run_after(text, end, RIGHT)
-
-    # After stripping, one character at most may precede as a non-word one, so only one of strip and left applies.
-    stripped = start + strip
-    # The nearest heading the start would meet on its way left: its last start within the left run.
-    head = slice_text(text, start - left, start + F.lit(len(HEADING) - 1))
-    before_heading = F.length(F.regexp_extract(head, rf"\A(.*){HEADING}", 1))
-    moved = (
-        F.when(strip > 0, stripped)
-        .when((left > 0) & head.contains(HEADING), start - left + before_heading)
+    strip, left, right = runs["strip"], runs["left"], runs["right"]
+    size = len(HEADING)
+
+    # A stripped character is no word character, so stripping and moving left exclude each other.
+    rest = F.concat(F.substring(span, strip + 1, F.length(span)), F.substring(after, F.lit(1), F.lit(size)))
+    run = F.concat(F.substring(before, F.length(before) - left + 1, left), F.substring(rest, F.lit(1), F.lit(size - 1)))
+    # The heading met first on the way left is the last one that starts within the run.
+    to_heading = F.length(F.regexp_extract(run, rf"\A((?s:.*)){HEADING}", 1))
+    moved_left = (strip == 0) & (left > 0)
+    heading_in_run = moved_left & run.contains(HEADING)
+    # Otherwise a heading counts when it begins the span after some change.
+    heading_first = ((strip > 0) | (right > 0)) & ~moved_left & rest.startswith(HEADING)
+    new_start = (
+        F.when(heading_in_run, start - left + to_heading + size)
+        .when(heading_first, start + strip + size)
+        .when(strip > 0, start + strip)
         .otherwise(start - left)
     )
-    glued = ((moved != start) | (right > 0)) & (
-        F.substring(text, moved + 1, F.lit(len(HEADING))) == HEADING
-    )
-    return F.struct(
-        F.when(glued, moved + len(HEADING)).otherwise(moved).cast("int").alias("start_idx"),
-        (end + right).cast("int").alias("end_idx"),
-    )
+    return F.struct(new_start.cast("int").alias("new_start"), (end + right).cast("int").alias("new_end"))
 
 
 def orient_span(start: Column, end: Column) -> Column:
@@ -138,24 +137,22 @@ def orient_span(start: Column, end: Column) -> Column:
     return F.struct(F.least(start, end).alias("start_idx"), F.greatest(start, end).alias("end_idx"))
 
 
-def snap_to_tokens(text: Column, start: Column, end: Column) -> Column:
-    """Struct (start_idx, end_idx) of the tokens the span touches, null when it touches none.
+def snap_to_tokens(before: Column, span: Column, after: Column, start: Column) -> Column:
+    """Struct (new_start, new_end) of the tokens the span touches, null when it touches none.
 
     Tokens are runs of word characters and single other non-space characters, so the boundaries follow from the
     characters around the span and no token table has to be joined.
     """
-    span = slice_text(text, start, end)
     lead = F.length(F.regexp_extract(span, rf"\A{SPACE}*", 0))
     core = F.regexp_replace(span, rf"\A{SPACE}+|{SPACE}+\z", "")
-    first = start + lead
-    last = first + F.length(core)
-    to_left = F.when((lead == 0) & core.rlike(rf"\A{WORD}"), _run_before(text, start)).otherwise(0)
-    to_right = F.when((last == end) & core.rlike(rf"{WORD}\z"), _run_after(text, end, WORD)).otherwise(0)
+    ends_span = lead + F.length(core) == F.length(span)
+    to_left = F.when((lead == 0) & core.rlike(rf"\A{WORD}"), word_before(before)).otherwise(0)
+    to_right = F.when(ends_span & core.rlike(rf"{WORD}\z"), run_after(after)).otherwise(0)
     return F.when(
         F.length(core) > 0,
         F.struct(
-            (first - to_left).cast("int").alias("start_idx"),
-            (last + to_right).cast("int").alias("end_idx"),
+            (start + lead - to_left).cast("int").alias("new_start"),
+            (start + lead + F.length(core) + to_right).cast("int").alias("new_end"),
         ),
     )
 

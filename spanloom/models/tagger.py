@@ -10,6 +10,7 @@ from spanloom.functions.text import WORD, normalise_surface
 from spanloom.operators.skew import lookup_join
 from spanloom.operators.spans import resolve_overlaps, token_spans
 from spanloom.schemas import SECTION
+from spanloom.staging import stage
 
 TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}]"
 MAX_TOKENS = 5
@@ -40,12 +41,11 @@ def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame) -> DataFrame:
         .groupBy("first")
         .agg(F.collect_set("n").alias("ns"))
     )
-    ahead = Window.partitionBy(*SECTION).orderBy("pos").rowsBetween(0, MAX_TOKENS - 1)
+    in_order = Window.partitionBy(*SECTION).orderBy("pos")
     piece = F.struct("gap", "token", "end_idx")
-    tokens = (
-        token_spans(sections, TOKEN)
-        .withColumn("ahead", F.collect_list(piece).over(ahead))
-        .select(*SECTION, "pos", "start_idx", "ahead", F.lower("token").alias("first"))
+    ahead = F.array(piece, *[F.lead(piece, i).over(in_order) for i in range(1, MAX_TOKENS)])
+    tokens = token_spans(sections, TOKEN).select(
+        *SECTION, "pos", "start_idx", F.array_compact(ahead).alias("ahead"), F.lower("token").alias("first")
     )
     text = F.concat(
         F.col("ahead")[0]["token"],
@@ -66,7 +66,7 @@ def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame) -> DataFrame:
         )
         .withColumn("surface", F.lower("text_span"))
     )
-    tagged = lookup_join(spans, entries.select("surface", "label"), ["surface"]).drop("surface")
+    tagged = lookup_join(stage(spans), entries.select("surface", "label"), ["surface"]).drop("surface")
     return resolve_overlaps(tagged).select(*SECTION, "start_idx", "end_idx", "text_span", "label")
 
 

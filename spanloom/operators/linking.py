@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import normalise_surface
 from spanloom.operators.skew import lookup_join
+from spanloom.staging import stage
 
 # Cosines are compared after rounding, so that equal vectors tie whatever the order of summation.
 SCORE_DIGITS = 6
@@ -88,19 +89,25 @@ def _blocks(df: DataFrame, id_col: str, rows: int, name: str) -> tuple[DataFrame
     return df.join(F.broadcast(n)).withColumn(name, F.pmod(F.xxhash64(id_col), F.col(f"{name}s"))).drop(f"{name}s"), n
 
 
-def _nearest(mentions: pd.DataFrame, concepts: pd.DataFrame) -> pd.DataFrame:
-    """Best concept of one block for each mention of another, by one matrix product."""
-    columns = ["mention_id", "concept_id", "score"]
-    if mentions.empty or concepts.empty:
-        return pd.DataFrame(columns=columns)
+def _unit_rows(block: pd.DataFrame, side: str, dims: int | None) -> np.ndarray:
+    """Vectors of a block as rows of length one; zero vectors stay zero."""
+    if dims is None:
+        m = np.stack(block[f"{side}_vector"].to_numpy()).astype("float64")
+    else:
+        at, weights = block[f"{side}_at"], block[f"{side}_vector"]
+        m = np.zeros((len(block), dims))
+        m[np.repeat(np.arange(len(block)), at.map(len)), np.concatenate(at.to_numpy())] = np.concatenate(weights.to_numpy())
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms == 0, 1.0, norms)
 
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.stack(vectors.to_numpy()).astype("float64")
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        return m / np.where(norms == 0, 1.0, norms)
 
+def _nearest(mentions: pd.DataFrame, concepts: pd.DataFrame, dims: int | None) -> pd.DataFrame:
+    """Best concept of one block for each mention of another, by one matrix product."""
+    if mentions.empty or concepts.empty:
+        return pd.DataFrame(columns=["mention_id", "concept_id", "score"])
     concepts = concepts.sort_values("concept_id")
-    scores = np.round(unit(mentions["vector"]) @ unit(concepts["vector"]).T, SCORE_DIGITS)
+    cosines = _unit_rows(mentions, "mention", dims) @ _unit_rows(concepts, "concept", dims).T
+    scores = np.round(cosines, SCORE_DIGITS)
     best = scores.argmax(axis=1)
     return pd.DataFrame({
         "mention_id": mentions["mention_id"].to_numpy(),
@@ -109,25 +116,32 @@ def _nearest(mentions: pd.DataFrame, concepts: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def link_cosine(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
+def link_cosine(mentions: DataFrame, concepts: DataFrame, dims: int | None = None) -> DataFrame:
     """(mention_id, concept_id, score): nearest concept by cosine, the lowest id among equal scores.
 
-    Inputs are (mention_id, vector) and (concept_id, vector), unique ids. Both are cut in hash blocks of bounded
-    size; a task multiplies one block of each and sends on one row per mention. Nothing is broadcast.
+    Inputs are (mention_id, vector) and (concept_id, vector), unique ids. With `dims` the vectors are sparse: `vector`
+    holds the values other than zero and `at` their places. Both inputs are cut in hash blocks of bounded size; a
+    task multiplies one block of each and sends on one row per mention. Nothing is broadcast.
     """
+    columns = ["vector"] if dims is None else ["vector", "at"]
+    # Columns of their own on each side, as both may come from one table.
+    mentions = mentions.select("mention_id", *[F.col(c).alias(f"mention_{c}") for c in columns])
+    concepts = concepts.select("concept_id", *[F.col(c).alias(f"concept_{c}") for c in columns])
     left, n_left = _blocks(mentions, "mention_id", MENTION_BLOCK, "m_block")
     right, n_right = _blocks(concepts, "concept_id", CONCEPT_BLOCK, "c_block")
 
     def every(df: DataFrame, n: DataFrame, name: str) -> DataFrame:
-        slots = F.sequence(F.lit(0), F.col(f"{name}s") - 1)
-        return df.join(F.broadcast(n)).withColumn(name, F.explode(slots).cast("bigint")).drop(f"{name}s")
+        slots = F.sequence(F.lit(0).cast("bigint"), F.col(f"{name}s").cast("bigint") - 1)
+        return df.join(F.broadcast(n)).withColumn(name, F.explode(slots)).drop(f"{name}s")
 
     id_types = dict(mentions.dtypes)["mention_id"], dict(concepts.dtypes)["concept_id"]
     per_block = (
         every(left, n_right, "c_block")
         .groupBy("m_block", "c_block")
         .cogroup(every(right, n_left, "m_block").groupBy("m_block", "c_block"))
-        .applyInPandas(_nearest, f"mention_id {id_types[0]}, concept_id {id_types[1]}, score double")
+        .applyInPandas(
+            lambda m, c: _nearest(m, c, dims), f"mention_id {id_types[0]}, concept_id {id_types[1]}, score double"
+        )
     )
     best = F.min(F.struct((-F.col("score")).alias("neg"), "concept_id")).alias("best")
     return per_block.groupBy("mention_id").agg(best).select(
@@ -136,7 +150,7 @@ def link_cosine(mentions: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def trigram_vectors(surfaces: DataFrame, dims: int = 256) -> DataFrame:
-    """(key, vector): character trigram TF-IDF of each distinct key, hashed to `dims` dimensions.
+    """(key, at, vector): character trigram TF-IDF of each distinct key, hashed to `dims` dimensions, sparse.
 
     Trigrams are taken over the key with a space put on both sides. The dimension is the first four hex digits of
     the trigram's md5 modulo dims; idf = ln((1 + keys) / (1 + keys having the dimension)) + 1.
@@ -159,12 +173,8 @@ def trigram_vectors(surfaces: DataFrame, dims: int = 256) -> DataFrame:
         .select("dim", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
     weights = terms.join(F.broadcast(idf), "dim").select("key", "dim", (F.col("tf") * F.col("idf")).alias("w"))
-    entries = F.map_from_entries(F.collect_list(F.struct("dim", "w")))
-    return weights.groupBy("key").agg(entries.alias("m")).select(
-        "key",
-        F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.coalesce(F.element_at("m", d), F.lit(0.0)))
-        .alias("vector"),
-    )
+    entries = weights.groupBy("key").agg(F.collect_list(F.struct("dim", "w")).alias("m"))
+    return entries.select("key", F.col("m.dim").alias("at"), F.col("m.w").alias("vector"))
 
 
 def link_trigrams(mention_keys: DataFrame, concepts: DataFrame, dims: int = 256) -> DataFrame:
@@ -173,9 +183,9 @@ def link_trigrams(mention_keys: DataFrame, concepts: DataFrame, dims: int = 256)
     `concepts` is (uri, key) with the canonical surface of each concept. Vectors of both come from one vocabulary.
     """
     both = mention_keys.select("key").union(concepts.select("key")).distinct()
-    vectors = trigram_vectors(both, dims)
+    vectors = stage(trigram_vectors(both, dims))
     mentions = vectors.join(mention_keys.distinct(), "key", "left_semi").withColumnRenamed("key", "mention_id")
-    named = concepts.join(vectors, "key").select(F.col("uri").alias("concept_id"), "vector")
-    return link_cosine(mentions, named).select(
+    named = concepts.join(vectors, "key").select(F.col("uri").alias("concept_id"), "at", "vector")
+    return link_cosine(mentions, named, dims).select(
         F.col("mention_id").alias("key"), F.col("concept_id").alias("uri"), "score"
     )

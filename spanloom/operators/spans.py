@@ -3,36 +3,102 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import orient_span, repair_span, slice_text, snap_to_tokens, span_valid
+from spanloom.functions.text import (
+    orient_span,
+    repair_span,
+    run_after,
+    slice_text,
+    snap_to_tokens,
+    span_runs,
+    span_valid,
+    word_before,
+)
 from spanloom.schemas import SECTION
+from spanloom.staging import compute_once, stage
+
+
+# Texts are cut in chunks of CHUNK characters; a chunk also carries CONTEXT characters of the one before and
+# SPAN + CONTEXT of the one after, so that it holds spans of up to SPAN characters with their context.
+CHUNK, CONTEXT, SPAN = 4096, 128, 512
 
 
 def attach_text(entities: DataFrame, sections: DataFrame) -> DataFrame:
     return entities.join(sections.select(*SECTION, "text"), SECTION)
 
 
-def clean_entities(entities: DataFrame, sections: DataFrame, strict: bool = False) -> DataFrame:
-    """Entities with repaired offsets and text_span; empty and invalid ones are dropped."""
-    text, start, end = F.col("text"), F.col("start_idx"), F.col("end_idx")
+def text_chunks(sections: DataFrame) -> DataFrame:
+    """(pmid, location, chunk, piece, piece_start)."""
+    parts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+    def with_margins(part, i):
+        behind = F.coalesce(F.get("parts", i - 1), F.lit(""))
+        ahead = F.coalesce(F.get("parts", i + 1), F.lit(""))
+        return F.concat(F.right(behind, F.lit(CONTEXT)), part, F.left(ahead, F.lit(SPAN + CONTEXT)))
+
     return (
-        attach_text(entities.filter(start < end), sections)
-        .withColumn("_span", repair_span(text, start, end))
-        .withColumns({"start_idx": F.col("_span.start_idx"), "end_idx": F.col("_span.end_idx")})
-        .withColumn("text_span", slice_text(text, start, end))
-        .drop("text", "_span")
-        .filter(span_valid(F.col("text_span"), strict))
-        .select(*entities.columns)
+        sections.select(*SECTION, parts.alias("parts"))
+        .select(*SECTION, F.posexplode(F.transform("parts", with_margins)).alias("chunk", "piece"))
+        .withColumn("piece_start", F.greatest(F.col("chunk") * CHUNK - CONTEXT, F.lit(0)))
     )
 
 
+def attach_context(entities: DataFrame, sections: DataFrame) -> DataFrame:
+    """Entities with `before`, `span` and `after`: the text of the span and beside it, as far as its words reach.
+
+    Joined by chunk, not by section: a long text is spread over many keys, and no entity carries or searches the
+    whole of it. Spans or words too long for that are looked up in the whole text, which is read again only if
+    there are any. Stages the result.
+    """
+    start, end = F.col("start_idx"), F.col("end_idx")
+    begin = start - F.col("piece_start")
+    fits = (end - start <= SPAN) & (start >= 0)
+    context = F.struct(
+        F.substring("piece", F.greatest(begin - CONTEXT, F.lit(0)) + 1, F.least(begin, F.lit(CONTEXT))).alias("before"),
+        F.substring("piece", begin + 1, end - start).alias("span"),
+        F.substring("piece", begin + 1 + end - start, F.lit(CONTEXT)).alias("after"),
+    )
+    keyed = entities.withColumn("chunk", F.when(fits, F.floor(start / CHUNK)).otherwise(0).cast("int"))
+    joined = compute_once(keyed.join(text_chunks(sections), [*SECTION, "chunk"]), context)
+    whole_words = (word_before(F.col("before")) < CONTEXT) & (run_after(F.col("after")) < CONTEXT)
+    near = stage(joined.select(*entities.columns, "before", "span", "after", (fits & whole_words).alias("near")))
+    far = near.filter(~F.col("near"))
+    near = near.filter("near").drop("near")
+    if far.isEmpty():
+        return near
+    text = F.col("text")
+    whole = attach_text(far.select(*entities.columns), sections).select(
+        *entities.columns,
+        F.substring(text, F.lit(1), start).alias("before"),
+        slice_text(text, start, end).alias("span"),
+        F.substring(text, end + 1, F.length(text)).alias("after"),
+    )
+    return near.unionByName(whole)
+
+
+def clean_entities(entities: DataFrame, sections: DataFrame, strict: bool = False) -> DataFrame:
+    """Entities with repaired offsets and text_span; empty and invalid ones are dropped."""
+    start, end = F.col("start_idx"), F.col("end_idx")
+    around = [F.col("before"), F.col("span"), F.col("after")]
+    runs = F.struct("strip", "left", "right")
+    with_runs = compute_once(attach_context(entities.filter(start < end), sections), span_runs(*around))
+    repaired = compute_once(with_runs, repair_span(*around, start, end, runs))
+    shift = F.length("before") - start
+    text_span = slice_text(F.concat(*around), shift + F.col("new_start"), shift + F.col("new_end"))
+    renamed = {"start_idx": F.col("new_start"), "end_idx": F.col("new_end"), "text_span": text_span}
+    return repaired.withColumns(renamed).filter(span_valid(F.col("text_span"), strict)).select(*entities.columns)
+
+
 def snap_entities(entities: DataFrame, sections: DataFrame) -> DataFrame:
     """Entities widened to token boundaries, with `raw_start` kept; those touching no token have null offsets."""
     turned = orient_span(F.col("start_idx"), F.col("end_idx"))
+    oriented = entities.withColumn("_o", turned).withColumns(
+        {"start_idx": F.col("_o.start_idx"), "end_idx": F.col("_o.end_idx")}
+    )
+    snapped = snap_to_tokens(F.col("before"), F.col("span"), F.col("after"), F.col("start_idx"))
     return (
-        attach_text(entities.withColumn("_span", turned), sections)
-        .withColumn("raw_start", F.col("_span.start_idx"))
-        .withColumn("_span", snap_to_tokens(F.col("text"), F.col("_span.start_idx"), F.col("_span.end_idx")))
-        .withColumns({"start_idx": F.col("_span.start_idx"), "end_idx": F.col("_span.end_idx")})
+        compute_once(attach_context(oriented.drop("_o"), sections), snapped)
+        .withColumn("raw_start", F.col("start_idx"))
+        .withColumns({"start_idx": F.col("new_start"), "end_idx": F.col("new_end")})
         .select(*entities.columns, "raw_start")
     )
 

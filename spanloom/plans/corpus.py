@@ -1,4 +1,4 @@
-"""The end-to-end jobs, put together from the operators. All are lazy; nothing runs before a write."""
+"""The end-to-end jobs, put together from the operators. Tables read by several branches are staged on the way."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +33,7 @@ from spanloom.operators.skew import lookup_join
 from spanloom.operators.spans import clean_entities, resolve_overlaps, snap_entities
 from spanloom.schemas import SECTION
 from spanloom.sources.concepts import concepts_of
+from spanloom.staging import stage
 
 
 def assemble_records(sections: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -59,7 +60,7 @@ def predict_concept_relations(sections: DataFrame, tagged: DataFrame, kb: DataFr
     """Distinct concept relations of each article implied by tagged entities linked to the vocabulary."""
     texts = sections.select(*SECTION)
     linked = link_mentions(allowed_entities(tagged).join(texts, SECTION, "left_semi"), K.surface_index(kb))
-    return derive_relations(linked)
+    return derive_relations(stage(linked))
 
 
 def concept_relation_job(mode: str, **inputs: DataFrame) -> DataFrame:
@@ -107,14 +108,14 @@ def build_kb(
 
 def predict_relations(entities: DataFrame, model) -> tuple[DataFrame, DataFrame]:
     """Mention and concept relations by a classifier trained with train_classifier."""
-    classified = apply_classifier(model, candidate_pairs(entities))
+    classified = stage(apply_classifier(model, candidate_pairs(entities)))
     return mention_relations(classified), concept_relations(classified)
 
 
 def ner_training_set(sections: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities on token boundaries without overlaps, and the filled cells of their relation matrix."""
     snapped = snap_entities(entities, sections)
-    nodes = resolve_overlaps(snapped.filter(F.col("start_idx").isNotNull()))
+    nodes = stage(resolve_overlaps(snapped.filter(F.col("start_idx").isNotNull())))
     return nodes, matrix_cells(relations, snapped, nodes)
 
 
@@ -123,7 +124,7 @@ def annotate_and_link(sections: DataFrame, train_entities: DataFrame, kb: DataFr
 
     A concept is represented by its first surface. Each distinct mention text is linked once.
     """
-    tagged = tag_gazetteer(sections, learn_gazetteer(train_entities))
+    tagged = stage(tag_gazetteer(sections, learn_gazetteer(train_entities)))
     keyed = tagged.withColumn("key", normalise_surface(F.col("text_span")))
     canonical = kb.groupBy("uri").agg(F.min_by("surface", F.struct("pos", "surface")).alias("surface"))
     concepts = canonical.select("uri", normalise_surface(F.col("surface")).alias("key"))
