@@ -117,10 +117,19 @@ def repair_span(before: Column, span: Column, after: Column, start: Column, end:
     # A stripped character is no word character, so stripping and moving left exclude each other.
     rest = F.concat(F.substring(span, strip + 1, F.length(span)), F.substring(after, F.lit(1), F.lit(size)))
     run = F.concat(F.substring(before, F.length(before) - left + 1, left), F.substring(rest, F.lit(1), F.lit(size - 1)))
-    # The heading met first on the way left is the last one that starts within the run.
-    to_heading = F.length(F.regexp_extract(run, rf"\A((?s:.*)){HEADING}", 1))
     moved_left = (strip == 0) & (left > 0)
-    heading_in_run = moved_left & run.contains(HEADING)
+
+    def last_heading(part: Column) -> Column:
+        return F.length(F.regexp_extract(part, rf"\A((?s:.*)){HEADING}", 1))
+
+    # The heading met first on the way left is the last one that starts within the run. The end moves one character
+    # a step as well: a heading the span began in may not be whole yet when its start is passed, and then the one
+    # before it counts, if any. At the start of the run there is time for the end to catch up.
+    met = last_heading(run)
+    whole = (met == 0) | (end + F.least(left - met, right) >= start - left + met + size)
+    earlier = F.substring(run, F.lit(1), met + size - 1)
+    heading_in_run = moved_left & F.when(whole, run.contains(HEADING)).otherwise(earlier.contains(HEADING))
+    to_heading = F.when(whole, met).otherwise(last_heading(earlier))
     # Otherwise a heading counts when it begins the span after some change.
     heading_first = ((strip > 0) | (right > 0)) & ~moved_left & rest.startswith(HEADING)
     new_start = (

@@ -34,10 +34,12 @@ def read_owl(spark: SparkSession, path: str) -> DataFrame:
         "oboInOwl:hasExactSynonym": EXACT_SYNONYM,
         "oboInOwl:hasSynonym": SYNONYM_PREDICATES["foodon"],
     }
-    values = F.flatten(F.array(*[
-        F.transform(F.coalesce(f"`{tag}`", F.array()), lambda v, p=p: F.struct(F.lit(p).alias("p"), v["_VALUE"].alias("o")))
-        for tag, p in predicates.items()
-    ]))
+
+    def objects(tag: str, predicate: str):
+        values = F.coalesce(f"`{tag}`", F.array())
+        return F.transform(values, lambda v: F.struct(F.lit(predicate).alias("p"), v["_VALUE"].alias("o")))
+
+    values = F.flatten(F.array(*[objects(*item) for item in predicates.items()]))
     return (
         classes.select("ontology", F.col("`_rdf:about`").alias("s"), F.explode(values).alias("x"))
         .select("ontology", "s", "x.p", "x.o")
