@@ -3,6 +3,7 @@
 checks/oracle.py states the same rules in SQL. A mention is a word of nine or more lower-case letters between spaces.
 """
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,16 +30,23 @@ def hex_value(text: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(text), 1, digits), 16, 10).cast("int")
 
 
-_staged: dict[tuple[str, str], DataFrame] = {}
+_staged: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Views:
-    """Lazy views of one data folder. The mentions are staged once per session, as an annotated corpus would lie on disk."""
+    """Views of one data folder. Mentions and relations are staged once per session, as an annotated corpus would lie
+    on disk; the rest is lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _staged:
+            _staged[key] = stage(make())
+        return _staged[key]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
@@ -61,12 +69,9 @@ class Views:
 
     @cached_property
     def entities(self) -> DataFrame:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
-        if key not in _staged:
-            _staged[key] = stage(self.find_entities())
-        return _staged[key]
+        return self._once("entities", self._find_entities)
 
-    def find_entities(self) -> DataFrame:
+    def _find_entities(self) -> DataFrame:
         tok = F.col("token")
         uri = F.concat(F.lit(OBO), F.upper(F.substring(tok, 1, 3)), F.lit("_"), F.length(tok))
         return token_spans(self.sections, MENTION).select(
@@ -77,6 +82,9 @@ class Views:
     @cached_property
     def noisy(self) -> DataFrame:
         """Mentions with offsets moved a little, their text still that of the offsets."""
+        return self._once("noisy", self._move_entities)
+
+    def _move_entities(self) -> DataFrame:
         start = F.greatest(F.col("start_idx") + F.col("pos") % 3 - 1, F.lit(0))
         end = F.col("end_idx") - (F.col("pos") % 2 == 0).cast("int")
         moved = self.entities.withColumns({"start_idx": start, "end_idx": end}).filter("start_idx < end_idx")
@@ -97,6 +105,9 @@ class Views:
     @cached_property
     def relations(self) -> DataFrame:
         """Each mention with the next one of its section."""
+        return self._once("relations", self._relate_entities)
+
+    def _relate_entities(self) -> DataFrame:
         following = Window.partitionBy(*SECTION).orderBy("pos")
         fields = ["start_idx", "end_idx", "location", "text_span", "label", "uri"]
         nxt = F.lead(F.struct(*fields)).over(following)

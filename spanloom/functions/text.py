@@ -83,7 +83,7 @@ def span_valid(span: Column, strict: bool = False) -> Column:
 
 def word_before(before: Column) -> Column:
     """Length of the run of word characters that ends `before`."""
-    return F.length(F.regexp_extract(before, rf"((?<!{WORD}){WORD}+)\z", 1))
+    return F.length(F.regexp_extract(F.reverse(before), rf"\A{WORD}*", 0))
 
 
 def run_after(after: Column, char_class: str = WORD) -> Column:
@@ -133,7 +133,9 @@ def repair_span(before: Column, span: Column, after: Column, start: Column, end:
     # Otherwise a heading counts when it begins the span after some change.
     heading_first = ((strip > 0) | (right > 0)) & ~moved_left & rest.startswith(HEADING)
     new_start = (
-        F.when(heading_in_run, start - left + to_heading + size)
+        # Most texts hold no heading; then nothing of the above is looked for.
+        F.when(~F.concat(before, span, after).contains(HEADING), F.when(strip > 0, start + strip).otherwise(start - left))
+        .when(heading_in_run, start - left + to_heading + size)
         .when(heading_first, start + strip + size)
         .when(strip > 0, start + strip)
         .otherwise(start - left)

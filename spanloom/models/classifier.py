@@ -17,6 +17,7 @@ from spanloom.operators.profile import class_weights
 from spanloom.operators.relations import schema_pairs
 from spanloom.operators.reshape import allowed_entities
 from spanloom.schemas import SECTION
+from spanloom.staging import stage
 from spanloom.vocab import CLASSES
 
 PAIR_COLUMNS = ["pos", "start_idx", "end_idx", "text_span", "uri"]
@@ -76,8 +77,10 @@ def with_features(pairs: DataFrame) -> DataFrame:
 def train_classifier(examples: DataFrame, features: int = 1024, iterations: int = 10) -> PipelineModel:
     """Class-weighted logistic regression over hashed pair features. Classes with no example have no weight.
 
-    `examples` are pairs as of candidate_pairs with `label`; the class weights are 18 rows.
+    `examples` are pairs as of candidate_pairs with `label`; the class weights are 18 rows. Examples are staged, as
+    weighting and fitting read them several times.
     """
+    examples = stage(examples)
     weighted = with_features(examples).join(F.broadcast(class_weights(examples)).select("label", "weight"), "label")
     stages = [
         StringIndexerModel.from_labels(CLASSES, inputCol="label", outputCol="class"),

@@ -3,16 +3,18 @@
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import WORD, normalise_surface
-from spanloom.operators.skew import lookup_join
+from spanloom.operators.skew import hot_keys, lookup_join
 from spanloom.operators.spans import resolve_overlaps, token_spans
 from spanloom.schemas import SECTION
 from spanloom.staging import stage
 
-TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}]"
+# Words and single other characters, as Python and as Java write it.
+TOKEN = r"\w+|[^\w\s]"
+JVM_TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}]"
 MAX_TOKENS = 5
 TAGGED = "pmid string, location string, start_idx int, end_idx int, text_span string, label string"
 
@@ -33,36 +35,29 @@ def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame) -> DataFrame:
     Only tokens that begin a surface are looked at, and only at the lengths (1 to 5 tokens) such surfaces have.
     Overlaps are resolved longest first.
     """
-    first = F.regexp_extract("surface", rf"\A({TOKEN})", 1)
-    length = F.size(F.regexp_extract_all("surface", F.lit(TOKEN), F.lit(0)))
-    entries = gazetteer.select("surface", "label", first.alias("first"), length.alias("n"))
-    starts = (
-        entries.filter((F.col("first") != "") & (F.col("n") <= MAX_TOKENS))
-        .groupBy("first")
-        .agg(F.collect_set("n").alias("ns"))
-    )
-    in_order = Window.partitionBy(*SECTION).orderBy("pos")
-    piece = F.struct("gap", "token", "end_idx")
-    ahead = F.array(piece, *[F.lead(piece, i).over(in_order) for i in range(1, MAX_TOKENS)])
-    tokens = token_spans(sections, TOKEN).select(
-        *SECTION, "pos", "start_idx", F.array_compact(ahead).alias("ahead"), F.lower("token").alias("first")
-    )
-    text = F.concat(
-        F.col("ahead")[0]["token"],
-        F.array_join(
-            F.transform(F.slice("ahead", F.lit(2), F.col("n") - 1), lambda x: F.concat(x["gap"], x["token"])), ""
-        ),
-    )
+    words = F.regexp_extract_all("surface", F.lit(JVM_TOKEN), F.lit(0))
+    entries = stage(gazetteer.select("surface", "label", words[0].alias("first"), F.size(words).alias("n")))
+    entries = entries.filter(F.col("first").isNotNull() & (F.col("n") <= MAX_TOKENS))
+    starts = entries.groupBy("first").agg(F.collect_set("n").alias("ns"))
+    longest = entries.agg(F.max("n")).first()[0] or 1
+
+    def tokens(of: DataFrame) -> DataFrame:
+        found = token_spans(of, TOKEN, ahead=longest - 1)
+        return found.select(
+            *SECTION, "pos", "start_idx", F.lower("token").alias("first"),
+            *([F.col("ends"), F.col("text")] if longest > 1 else [F.array("end_idx").alias("ends"), F.col("token").alias("text")]),
+        )
+
+    # Which first words are frequent shows in a part of the texts; all tokens are joined, however they are spread.
+    hot = hot_keys(tokens(sections.sample(0.02, 1)).select("first"), ["first"])
+    end = F.col("ends")[F.col("n") - 1]
     spans = (
-        lookup_join(tokens, starts, ["first"])
+        lookup_join(tokens(sections), starts, ["first"], hot=hot)
         .withColumn("n", F.explode("ns"))
-        .filter(F.col("n") <= F.size("ahead"))
+        .filter(F.col("n") <= F.size("ends"))
         .select(
-            *SECTION,
-            F.col("pos"),
-            "start_idx",
-            F.col("ahead")[F.col("n") - 1]["end_idx"].alias("end_idx"),
-            text.alias("text_span"),
+            *SECTION, "pos", "start_idx", end.alias("end_idx"),
+            F.substring("text", F.lit(1), end - F.col("start_idx")).alias("text_span"),
         )
         .withColumn("surface", F.lower("text_span"))
     )

@@ -30,12 +30,17 @@ def _slot(columns: list[str], slots: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), slots.cast("bigint")).cast("int")
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", share: int = SHARE) -> DataFrame:
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", share: int = SHARE,
+    hot: DataFrame | None = None,
+) -> DataFrame:
     """Join many rows to a table that is unique on `keys`; `how` is inner or left.
 
     Rows of a hot key are spread over as many slots as it holds shares, and its lookup row is repeated per slot.
+    `hot` may give the hot keys, as of hot_keys, where counting all rows costs too much: it decides only how rows are
+    spread, never which are joined.
     """
-    hot = hot_keys(rows.select(*keys), keys, share)
+    hot = hot_keys(rows.select(*keys), keys, share) if hot is None else hot
     spread = _weights(rows, hot, keys, "_w").withColumn("_slot", _slot(rows.columns, F.col("_w"))).drop("_w")
     repeated = (
         _weights(lookup, hot, keys, "_w")

@@ -1,5 +1,10 @@
 """Entity spans: cleaning against the section text, token snapping, overlap resolution."""
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,10 @@ from spanloom.staging import compute_once, stage
 CHUNK, CONTEXT, SPAN = 4096, 128, 512
 
 
+# Texts whose tokens go out in one Arrow batch.
+TEXTS_AT_ONCE = 64
+
+
 def attach_text(entities: DataFrame, sections: DataFrame) -> DataFrame:
     return entities.join(sections.select(*SECTION, "text"), SECTION)
 
@@ -169,19 +178,36 @@ def resolve_overlaps(spans: DataFrame, keys: list[str] = SECTION, tie: str = "po
     )
 
 
-def token_spans(sections: DataFrame, pattern: str, keep: list[str] = SECTION) -> DataFrame:
-    """Matches of `pattern` in each text as rows: pos (0-based), token, start_idx, end_idx, gap (text before it).
+def token_spans(sections: DataFrame, pattern: str, ahead: int = 0) -> DataFrame:
+    """Matches of a Python regular expression in each text: (pmid, location, pos, token, start_idx, end_idx).
 
-    Matches and the gaps between them come from one split each; offsets are the running sum of both lengths.
+    With `ahead`, also `ends`, the ends of the token and of up to `ahead` tokens after it, and `text`, the text from
+    the token to the last of these ends.
+
+    Built-in expressions find matches but not where they are; running sums of lengths would shuffle and sort every
+    token. Here each batch of texts is scanned once where it is read.
     """
-    gaps = F.split("text", pattern, -1)
-    tokens = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    rows = (
-        sections.select(*keep, tokens.alias("tokens"), gaps.alias("gaps"))
-        .select(*keep, F.posexplode(F.arrays_zip("tokens", "gaps")).alias("pos", "x"))
-        .select(*keep, "pos", F.col("x.tokens").alias("token"), F.col("x.gaps").alias("gap"))
-        .filter(F.col("token").isNotNull())
-    )
-    upto = Window.partitionBy(*keep).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum(F.length("token") + F.length("gap")).over(upto).cast("int")
-    return rows.withColumn("end_idx", end).withColumn("start_idx", F.col("end_idx") - F.length("token"))
+    fields = "pmid string, location string, pos int, token string, start_idx int, end_idx int"
+    schema = fields + (", ends array<int>, text string" if ahead else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).finditer
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                texts = part.column("text").to_pylist()
+                found = [[m.span() for m in find(text)] for text in texts]
+                rows = np.repeat(np.arange(len(texts)), [len(spans) for spans in found])
+                out = {c: part.column(c).take(pa.array(rows)) for c in SECTION}
+                out["pos"] = pa.array([i for spans in found for i in range(len(spans))], pa.int32())
+                out["token"] = pa.array([t[s:e] for t, spans in zip(texts, found) for s, e in spans], pa.string())
+                out["start_idx"] = pa.array([s for spans in found for s, _ in spans], pa.int32())
+                out["end_idx"] = pa.array([e for spans in found for _, e in spans], pa.int32())
+                if ahead:
+                    ends = [[e for _, e in spans[i:i + ahead + 1]] for spans in found for i in range(len(spans))]
+                    begins = ((t, s) for t, spans in zip(texts, found) for s, _ in spans)
+                    out["ends"] = pa.array(ends, pa.list_(pa.int32()))
+                    out["text"] = pa.array([t[s:e[-1]] for (t, s), e in zip(begins, ends)], pa.string())
+                yield pa.RecordBatch.from_pydict(out)
+
+    return sections.select(*SECTION, "text").mapInArrow(run, schema)
