@@ -1,7 +1,7 @@
 """Headline queries, timed one after the other; prints one JSON line.
 
 BENCH_SF_DIR names the data folder, BENCH_CPUS the cores, BENCH_QUERIES (comma-separated) other queries or "all".
-`prepare_mentions` is the making of the annotated corpus from raw text that the other queries read.
+`prepare_corpus` is the making of the annotated corpus from raw text that the other queries read.
 """
 
 import json
@@ -62,7 +62,7 @@ def main() -> None:
         seconds[name] = round(time.time() - began, 3)
 
     views = Views(spark, sf_dir)
-    timed("prepare_mentions", lambda: (views.entities, views.noisy, views.relations))
+    timed("prepare_corpus", lambda: (views.articles, views.entities, views.noisy, views.relations))
     for name in names:
         timed(name, lambda: queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
     print(json.dumps({

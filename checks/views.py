@@ -34,7 +34,7 @@ _staged: dict[tuple[str, str, str], DataFrame] = {}
 
 
 class Views:
-    """Views of one data folder. Mentions and relations are staged once per session, as an annotated corpus would lie
+    """Views of one data folder. Articles, mentions and relations are staged once per session, as an annotated corpus would lie
     on disk; the rest is lazy."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
@@ -52,15 +52,23 @@ class Views:
 
     @cached_property
     def articles(self) -> DataFrame:
+        return self._once("articles", self._read_articles)
+
+    def _read_articles(self) -> DataFrame:
+        """The given file is one row group and so one task; its texts are dealt out to all cores."""
         title = F.substring_index("text", "\n", 1)
         rest = F.substring(F.col("text"), F.length(title) + 2, F.length("text"))
         last = F.col("doc_id") % 5
         annotator = (
             F.when(last == 0, "expert_1").when(last == 1, "student_A").when(last == 2, "student_B").otherwise("distant")
         )
-        return self.table("documents").select(
-            F.col("doc_id").cast("string").alias("pmid"), title.alias("title"), rest.alias("abstract"),
-            annotator.alias("annotator"), "source", "lang",
+        return (
+            self.table("documents")
+            .repartition(self.spark.sparkContext.defaultParallelism, "doc_id")
+            .select(
+                F.col("doc_id").cast("string").alias("pmid"), title.alias("title"), rest.alias("abstract"),
+                annotator.alias("annotator"), "source", "lang",
+            )
         )
 
     @cached_property
