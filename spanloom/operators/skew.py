@@ -7,6 +7,8 @@ the list of hot keys may always be broadcast.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.staging import stage
+
 SHARE = 500
 
 
@@ -38,9 +40,9 @@ def lookup_join(
 
     Rows of a hot key are spread over as many slots as it holds shares, and its lookup row is repeated per slot.
     `hot` may give the hot keys, as of hot_keys, where counting all rows costs too much: it decides only how rows are
-    spread, never which are joined.
+    spread, never which are joined. The short list of hot keys is staged, so that rows are counted once.
     """
-    hot = hot_keys(rows.select(*keys), keys, share) if hot is None else hot
+    hot = stage(hot_keys(rows.select(*keys), keys, share) if hot is None else hot)
     spread = _weights(rows, hot, keys, "_w").withColumn("_slot", _slot(rows.columns, F.col("_w"))).drop("_w")
     repeated = (
         _weights(lookup, hot, keys, "_w")
@@ -54,10 +56,12 @@ def pair_join(left: DataFrame, right: DataFrame, keys: list[str], share: int = S
     """Inner join of two many-sided tables. A hot key becomes a grid of tiles, each one join key.
 
     Each side of a hot key is cut in about sqrt(weight) slots and repeated for every slot of the other side, so a
-    tile holds a fair share of the pairs and the rows sent grow with the square root of the weight only.
+    tile holds a fair share of the pairs and the rows sent grow with the square root of the weight only. The short
+    lists of hot keys are staged, so that rows are counted once.
     """
     def cuts(df: DataFrame) -> DataFrame:
-        return hot_keys(df.select(*keys), keys, share).withColumn("weight", F.ceil(F.sqrt("weight")).cast("int"))
+        hot = hot_keys(df.select(*keys), keys, share)
+        return stage(hot.withColumn("weight", F.ceil(F.sqrt("weight")).cast("int")))
 
     hot_left, hot_right = cuts(left), cuts(right)
 
