@@ -5,7 +5,7 @@ a tokenizers pipeline is rebuilt: unigram models keep their scores, BPE models g
 they form. Batches are encoded by the library's threads.
 
 Pieces of most models never go on past the start of a word. Where the vocabulary shows that, texts are split there, each
-distinct word of a batch is encoded once, and every one is also encoded by the SentencePiece library and decoded back:
+distinct word is encoded once as long as a worker knows it, and every one is also encoded by the SentencePiece library and decoded back:
 `parity` and `round_trip` of a text say whether all its words agree. Other models are encoded and verified text by text.
 """
 
@@ -15,6 +15,7 @@ import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Words whose ids a worker keeps between batches.
+KNOWN = 200_000
 #: Fixed values of the model format: types of pieces, kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -164,22 +167,35 @@ def encode_texts(data: bytes, texts: list[str | None]) -> tuple[list[list[int]],
     if not splits_at_words(model):
         return _verified(tokenizer, reference, [t or "" for t in texts])
     words = [split_words(t) if t else [] for t in texts]
-    place: dict[str, int] = {}
-    for row in words:
-        for w in row:
-            place.setdefault(w, len(place))
+    known, differ, lossy = _known(data)
+    fresh = {w for row in words for w in row if w not in known}
+    if len(known) + len(fresh) > KNOWN:
+        known.clear(), differ.clear(), lossy.clear()
+        fresh = {w for row in words for w in row}
     # a word's first space is the one the model puts in front; a word of nothing else is the marker alone
-    lone = place.get(" ")
-    ids, same, back = _verified(tokenizer, reference, [w[1:] for w in place])
-    if lone is not None:
-        marker = tokenizer.token_to_id(SPACE)
-        ids[lone], same[lone] = [marker], marker == reference.piece_to_id(SPACE)
-    rows = [[place[w] for w in row] for row in words]
+    new = [w for w in fresh if w != " "]
+    for w, ids, same, back in zip(new, *_verified(tokenizer, reference, [w[1:] for w in new]), strict=True):
+        known[w] = ids
+        if not same:
+            differ.add(w)
+        if not back:
+            lossy.add(w)
+    if " " in fresh:
+        known[" "] = [tokenizer.token_to_id(SPACE)]
+        if known[" "] != [reference.piece_to_id(SPACE)]:
+            differ.add(" ")
     return (
-        [[i for k in row for i in ids[k]] for row in rows], [all(same[k] for k in row) for row in rows], [all(back[k] for k in row) for row in rows]
+        [list(chain.from_iterable(map(known.__getitem__, row))) for row in words],
+        [not differ or differ.isdisjoint(row) for row in words], [not lossy or lossy.isdisjoint(row) for row in words],
     )
 
 
+@lru_cache(2)
+def _known(data: bytes) -> tuple[dict[str, list[int]], set[str], set[str]]:
+    """Ids of words that a worker has met, KNOWN at most, and which of them differ or don't decode back."""
+    return {}, set(), set()
+
+
 def _verified(tokenizer, reference, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
     ids = [e.ids if t else [] for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)]
     want = reference.encode(texts, num_threads=1)
