@@ -169,9 +169,6 @@ def encode_texts(data: bytes, texts: list[str | None]) -> tuple[list[list[int]],
     words = [split_words(t) if t else [] for t in texts]
     known, differ, lossy = _known(data)
     fresh = {w for row in words for w in row if w not in known}
-    if len(known) + len(fresh) > KNOWN:
-        known.clear(), differ.clear(), lossy.clear()
-        fresh = {w for row in words for w in row}
     # a word's first space is the one the model puts in front; a word of nothing else is the marker alone
     new = [w for w in fresh if w != " "]
     for w, ids, same, back in zip(new, *_verified(tokenizer, reference, [w[1:] for w in new]), strict=True):
@@ -184,10 +181,13 @@ def encode_texts(data: bytes, texts: list[str | None]) -> tuple[list[list[int]],
         known[" "] = [tokenizer.token_to_id(SPACE)]
         if known[" "] != [reference.piece_to_id(SPACE)]:
             differ.add(" ")
-    return (
+    out = (
         [list(chain.from_iterable(map(known.__getitem__, row))) for row in words],
         [not differ or differ.isdisjoint(row) for row in words], [not lossy or lossy.isdisjoint(row) for row in words],
     )
+    for w in list(known)[KNOWN:]:  # the words met first, mostly the frequent ones, stay
+        del known[w]
+    return out
 
 
 @lru_cache(2)
