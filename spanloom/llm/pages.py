@@ -42,6 +42,8 @@ NAMES = frozenset(
     "nav navbar navigation newsletter notice notices popup promo promoted related replies share sharing sidebar social sponsor sponsored subscribe widget".split()
 )
 _NAME = re.compile(r"[a-z0-9]+")
+#: Neighbours on either side that a page is paired with.
+NEAREST = 2
 
 
 def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
@@ -216,7 +218,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
         T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("free", T.ArrayType(T.LongType())),
     ])
     placed = stage(running_total(light.mapInArrow(_hashed, hashed), ["host", "path", "key"], "one", "place").drop("one", "path"))
-    other = placed.select((F.col("place") - 1).alias("place"), "host", F.col("key").alias("key2"), F.col("hashes").alias("hashes2"), F.col("free").alias("free2"))
+    apart = F.explode(F.sequence(F.lit(1), F.lit(NEAREST)))
+    other = placed.withColumn("apart", apart).select((F.col("place") - F.col("apart")).alias("place"), "host", F.col("key").alias("key2"), F.col("hashes").alias("hashes2"), F.col("free").alias("free2"))
     pairs = placed.join(other, ["place", "host"]).filter((F.size("free") > 0) | (F.size("free2") > 0))
     dead = (
         pairs.select("key", "hashes", "free", "key2", "hashes2", "free2").mapInArrow(_aligned, "key long, dead array<long>")
