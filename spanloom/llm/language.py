@@ -107,7 +107,8 @@ def train(
     rows = []
     for _, found in features(texts, buckets):
         for k in range(len(found[0][1]) - 1):
-            rows.append(np.unique(np.concatenate([gram[at[k] : at[k + 1]] for gram, at in found]), return_counts=True))
+            gram, count = np.unique(np.concatenate([gram[at[k] : at[k + 1]] for gram, at in found]), return_counts=True)
+            rows.append((gram.astype(np.int32), count.astype(np.float32)))
     want = np.array([names.index(x) for x in labels])
     usable = np.array([k for k, (g, _) in enumerate(rows) if len(g)], int)
     held, used = usable[::5], np.setdiff1d(usable, usable[::5])
