@@ -15,7 +15,6 @@ from spanloom.staging import stage
 # Words and single other characters, as Python and as Java write it.
 TOKEN = r"\w+|[^\w\s]"
 JVM_TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}]"
-MAX_TOKENS = 5
 TAGGED = "pmid string, location string, start_idx int, end_idx int, text_span string, label string"
 
 
@@ -29,15 +28,15 @@ def learn_gazetteer(entities: DataFrame) -> DataFrame:
     return counts.groupBy("surface").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("label"))
 
 
-def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame, max_tokens: int | None = None) -> DataFrame:
     """(pmid, location, start_idx, end_idx, text_span, label) of surfaces found at token boundaries.
 
-    Only tokens that begin a surface are looked at, and only at the lengths such surfaces have. Surfaces of more than
-    `max_tokens` tokens are not looked for. Overlaps are resolved longest first.
+    Only tokens that begin a surface are looked at, and only at the lengths such surfaces have; `max_tokens`, if given,
+    leaves out longer surfaces. Overlaps are resolved longest first.
     """
     words = F.regexp_extract_all("surface", F.lit(JVM_TOKEN), F.lit(0))
     entries = stage(gazetteer.select("surface", "label", words[0].alias("first"), F.size(words).alias("n")))
-    entries = entries.filter(F.col("first").isNotNull() & (F.col("n") <= max_tokens))
+    entries = entries.filter(F.col("first").isNotNull() & (F.lit(True) if max_tokens is None else F.col("n") <= max_tokens))
     starts = entries.groupBy("first").agg(F.collect_set("n").alias("ns"))
     longest = entries.agg(F.max("n")).first()[0] or 1
 

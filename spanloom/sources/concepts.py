@@ -12,8 +12,9 @@ SKIPPED_ONTOLOGIES = ["omit"]
 
 
 def read_uri_list(spark: SparkSession, path: str) -> DataFrame:
-    """(uri): one per line below a header line."""
-    return spark.read.csv(path, header=True, schema="uri string").select(F.rtrim("uri").alias("uri"))
+    """(uri): one whole line each, below a header line."""
+    lines = spark.read.csv(path, header=True, schema="uri string", sep="\u0001", quote="", escape="")
+    return lines.select(F.rtrim("uri").alias("uri"))
 
 
 def _file_stem() -> F.Column:

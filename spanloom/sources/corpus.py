@@ -33,12 +33,15 @@ def read_corpus(spark: SparkSession, path: str | list[str], lines: bool = False)
     return parse_corpus(spark.read.text(path, wholetext=not lines))
 
 
-def load_dataset(spark: SparkSession, split: str, root: str) -> DataFrame:
-    """The dev or train articles as they are; the train files are put together without removing doubles."""
+def load_dataset(spark: SparkSession, split: str, root: str, lines: bool = False) -> DataFrame:
+    """The dev or train articles as they are; the train files are put together without removing doubles.
+
+    With `lines` every line of a file is an object of its own, so large files are split between tasks.
+    """
     if split not in ("train", "dev"):
         raise ValueError(f"split must be train or dev, not {split}")
     files = [DEV_FILE] if split == "dev" else list(TRAIN_FILES.values())
-    return read_corpus(spark, [f"{root}/{f}" for f in files])
+    return read_corpus(spark, [f"{root}/{f}" for f in files], lines)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -56,16 +59,18 @@ def override_tiers(articles: DataFrame, priority: list[str]) -> DataFrame:
     return articles.groupBy("pmid").agg(F.min_by(row, rank).alias("row")).select("pmid", "row.*")
 
 
-def load_documents(spark: SparkSession, split: str, root: str, priority: list[str] | None = None) -> DataFrame:
+def load_documents(
+    spark: SparkSession, split: str, root: str, priority: list[str] | None = None, lines: bool = False
+) -> DataFrame:
     """Articles of dev, test or train. In train a pmid found in several files is taken from the first in `priority`:
-    gold first by default, list(reversed(TRAIN_FILES)) lets the file read last win. Missing files are left out.
+    gold first by default, list(reversed(TRAIN_FILES)) lets the file read last win. Missing files are left out. `lines` as in load_dataset.
     """
     if split in ("dev", "test"):
-        return read_corpus(spark, f"{root}/{DEV_FILE if split == 'dev' else TEST_FILE}")
+        return read_corpus(spark, f"{root}/{DEV_FILE if split == 'dev' else TEST_FILE}", lines)
     found = {t: f"{root}/{f}" for t, f in TRAIN_FILES.items() if _exists(spark, f"{root}/{f}")}
     if not found:
         raise ValueError(f"no train file below {root}")
-    parts = [read_corpus(spark, f).withColumn("tier", F.lit(t)) for t, f in found.items()]
+    parts = [read_corpus(spark, f, lines).withColumn("tier", F.lit(t)) for t, f in found.items()]
     return override_tiers(reduce(DataFrame.unionByName, parts), priority or list(TRAIN_FILES))
 
 

@@ -71,3 +71,12 @@ def test_default_learner(spark):
     model = C.train_classifier(labelled)
     got = C.apply_classifier(model, pairs).groupBy("subject_label", "predicate").count().collect()
     assert {tuple(r) for r in got} == {("drug", "impact", 30), ("bacteria", "no_relation", 30)}
+
+
+def test_long_surfaces_are_tagged(spark):
+    from spanloom.models.tagger import tag_gazetteer
+
+    text = "see one two three four five six seven eight now"
+    sections = spark.createDataFrame([("1", "title", text)], "pmid string, location string, text string")
+    surfaces = spark.createDataFrame([("one two three four five six seven eight", "drug"), ("two", "gene")], "surface string, label string")
+    assert [(r.start_idx, r.end_idx, r.label) for r in tag_gazetteer(sections, surfaces).collect()] == [(4, len(text) - 4, "drug")]

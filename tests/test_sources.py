@@ -81,8 +81,8 @@ def test_first_documents(spark, root):
 
 
 def test_uri_list(spark, tmp_path):
-    put(tmp_path / "u.csv", "uri\nhttp://a/b  \nhttp://c/d\n")
-    assert sorted(r.uri for r in SC.read_uri_list(spark, str(tmp_path / "u.csv")).collect()) == ["http://a/b", "http://c/d"]
+    put(tmp_path / "u.csv", "uri\nhttp://a/b,c  \nhttp://c/\"d\"\n")
+    assert sorted(r.uri for r in SC.read_uri_list(spark, str(tmp_path / "u.csv")).collect()) == ["http://a/b,c", 'http://c/"d"']
 
 
 OWL = """<?xml version="1.0"?>
@@ -169,3 +169,13 @@ def test_submission_round_trip(spark, tmp_path):
     assert lines == ["subjectConceptURI;subjectCategory;relationPredicate;objectConceptURI;objectCategory;frequency", "u;drug;impact;v;bacteria;1"]
     write_table(rels, str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).collect() == rels.collect()
+
+
+def test_lines_lose_no_article(spark, tmp_path):
+    from spanloom.sources.corpus import DEV_FILE, load_dataset, load_documents
+
+    path = tmp_path / DEV_FILE
+    path.parent.mkdir(parents=True)
+    path.write_text('{"1": {"title": "a"}}\n{"2": {"title": "b"}, "3": {"title": "c"}}\n')
+    for load in (load_dataset, load_documents):
+        assert sorted(r.pmid for r in load(spark, "dev", str(tmp_path), lines=True).collect()) == ["1", "2", "3"]
