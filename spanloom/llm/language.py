@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import chunks
+from spanloom.llm.common import chunks, give_back, tidy
 
 GRAMS = (2, 3, 4)
 UNKNOWN = "und"
@@ -196,6 +196,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
         *fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())
     ])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label, score, rejected = predict(model, [t or "" for t in batch.column("text").to_pylist()])

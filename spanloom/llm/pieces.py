@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanloom.llm.common import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose ids a worker keeps between batches.
@@ -219,6 +221,7 @@ def piece_ids(docs: DataFrame, path: str = MODEL) -> DataFrame:
         T.StructField("round_trip", T.BooleanType()),
     ])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
