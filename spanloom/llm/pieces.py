@@ -28,6 +28,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose ids a worker keeps between batches.
 KNOWN = 200_000
+#: Threads of the library in one worker. A worker is one of several on its machine, and each thread holds memory.
+THREADS = 2
 #: Fixed values of the model format: types of pieces, kinds of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -149,6 +151,7 @@ def rebuild(model: Model):
 @lru_cache(2)
 def _tools(data: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "true"
+    os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
     import sentencepiece
 
     model = parse_model(data)
