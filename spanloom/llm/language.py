@@ -182,7 +182,10 @@ def fit_language_model(docs: DataFrame, per_label: int = 1000, most_labels: int
     )
     rows = known.join(F.broadcast(tops), "lang").filter("mark <= top").select("text", "lang", "mark").limit(2 * per_label * most_labels).collect()
     rows.sort(key=lambda r: (r["lang"], r["mark"], r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows], **settings)
+    model = train([r["text"] for r in rows], [r["lang"] for r in rows], **settings)
+    del rows
+    give_back()
+    return model
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
