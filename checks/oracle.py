@@ -273,7 +273,7 @@ def _derived(entities: str) -> str:
              join fx_schema on subject_label = s.label and object_label = o.label and is_default"""
 
 
-def _scores(gold: str, pred: str, key: list[str], cls: str) -> str:
+def _scores(gold: str, pred: str, key: list[str], cls: str, models: str = "fx_models") -> str:
     same = " and ".join(f"g.{c} is not distinct from p.{c}" for c in key)
     return f"""
         select model, class, tp, fp, fn, round(p, 6) as precision, round(r, 6) as recall,
@@ -289,7 +289,7 @@ def _scores(gold: str, pred: str, key: list[str], cls: str) -> str:
                           union all
                           select m.model, g.{cls}, 0, 0,
                                  case when exists (select 1 from {pred} p where p.model = m.model and {same}) then 0 else 1 end
-                          from {gold} g, fx_models m)
+                          from {gold} g, {models} m)
                     group by model, class))"""
 
 
@@ -298,7 +298,7 @@ def _summary(scores: str) -> str:
         select model, round(mp, 6) as micro_precision, round(mr, 6) as micro_recall,
                round(case when mp + mr > 0 then 2 * mp * mr / (mp + mr) else 0 end, 6) as micro_f1,
                round(ap, 6) as macro_precision, round(ar, 6) as macro_recall, round(af, 6) as macro_f1
-        from (select model, sum(tp) / (sum(tp) + sum(fp)) as mp, sum(tp) / (sum(tp) + sum(fn)) as mr,
+        from (select model, coalesce(sum(tp) / (sum(tp) + sum(fp)), 0) as mp, coalesce(sum(tp) / (sum(tp) + sum(fn)), 0) as mr,
                      avg(p_) as ap, avg(r_) as ar, avg(f_) as af from ({scores}) group by model)"""
 
 
@@ -353,15 +353,15 @@ ORACLES = {
         select uri, '' as definition, max(text_span) as surface from fx_entities
         where uri in (select uri from fx_listed) group by uri""",
     "sub_concept_json": f"""
-        select pmid, '' as part, coalesce(relations, '') as relations from fx_articles left join (
+        select pmid, 0 as part, coalesce(relations, '') as relations from fx_articles left join (
           {_per_article(f'select distinct pmid, {CONCEPT_KEY} from fx_relations', CONCEPT_ITEM, CONCEPT_KEY, 'relations')})
           using (pmid)""",
     "sub_re_json": f"""
-        select pmid, '' as part, coalesce(mentions, '') as mentions, coalesce(concepts, '') as concepts from fx_articles
+        select pmid, 0 as part, coalesce(mentions, '') as mentions, coalesce(concepts, '') as concepts from fx_articles
         left join ({_per_article(POSITIVE, MENTION_ITEM, MENTION_KEY, 'mentions')}) using (pmid)
         left join ({_per_article(POSITIVE_CONCEPTS, CONCEPT_ITEM, CONCEPT_KEY, 'concepts')}) using (pmid)""",
     "sub_entities_json": f"""
-        select pmid, '' as part, coalesce(entities, '') as entities from fx_articles left join (
+        select pmid, 0 as part, coalesce(entities, '') as entities from fx_articles left join (
           {_per_article('select * from fx_entities', SUBMITTED, 'location desc, start_idx', 'entities')}) using (pmid)""",
     "sub_entities_lines": "select pmid, location, start_idx, end_idx, text_span, label from fx_entities",
     "flatten_metadata": "select pmid, title, abstract, annotator from fx_articles",
@@ -409,8 +409,7 @@ ORACLES = {
         with recursive raw as (
           select pmid, location, pos, start_idx, end_idx, label from fx_entities
           union all
-          select pmid, location, pos + 1000000, subject_start_idx, object_end_idx, predicate from fx_relations
-          where object_end_idx - subject_start_idx < 40),
+          select pmid, location, pos + 1000000, subject_start_idx, object_end_idx, predicate from fx_relations),
         ranked as (
           select *, row_number() over (partition by pmid, location order by end_idx - start_idx desc, start_idx) as r from raw),
         fold as (
@@ -592,7 +591,7 @@ ORACLES = {
         select round(avg(case when tp > 0 then 2 * tp / (2 * tp + fp + fn) else 0 end), 6) as macro_f1,
                round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) as micro_f1 from counts""",
     "score_models": " union all ".join(
-        f"select '{task}' as task, * from ({_summary(_scores(gold, pred, key, cls))})"
+        f"select '{task}' as task, * from ({_summary(_scores(gold, pred, key, cls, '(select model from fx_models union all select 3)'))})"
         for task, gold, pred, key, cls in (
             ("ner", "fx_entities", "fx_pred_entities", NER, "label"),
             ("linking", "fx_entities", "fx_pred_entities", LINKING, "label"),
@@ -638,7 +637,7 @@ ORACLES = {
     "tag_gazetteer_sections": "select * from fx_tagged",
     "link_trigram_top1": "select key, uri, score from fx_nearest",
     "annotate_and_link": f"""
-        select pmid, '' as part, coalesce(entities, '') as entities from fx_articles left join (
+        select pmid, 0 as part, coalesce(entities, '') as entities from fx_articles left join (
           {_per_article('select t.*, n.uri from fx_tagged t join fx_nearest n on n.key = lower(t.text_span)',
                         SUBMITTED, 'location desc, start_idx', 'entities')}) using (pmid)""",
     "preprocess_corpus": f"""

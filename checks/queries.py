@@ -284,7 +284,7 @@ def _overlapping(v):
     both = v.relations.select(
         *SECTION, (F.col("pos") + 1_000_000).alias("pos"), F.col("subject_start_idx").alias("start_idx"),
         F.col("object_end_idx").alias("end_idx"), F.col("predicate").alias("label"),
-    ).filter("end_idx - start_idx < 40")
+    )
     single = v.entities.select(*SECTION, "pos", "start_idx", "end_idx", "label")
     return single.unionByName(both).unionByName(single.withColumn("pos", F.col("pos") + 2_000_000))
 
@@ -661,7 +661,7 @@ def score_models(v):
         "linking": (v.entities, v.pred_entities, G.LINKING_KEY, "label"),
         "mention_re": (v.relations, v.pred_relations, G.MENTION_RE_KEY, "predicate"),
         "concept_re": (v.relations, v.pred_relations, G.CONCEPT_RE_KEY, "predicate"),
-    }))
+    }, v.models))
 
 
 # Sampling and splitting.

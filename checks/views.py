@@ -268,6 +268,11 @@ class Views:
             .drop("_d", "_copy")
         )
 
+    @cached_property
+    def models(self) -> DataFrame:
+        """The three models and a fourth that predicts nothing."""
+        return self.spark.range(4).select(F.col("id").cast("int").alias("model"))
+
     @cached_property
     def pred_entities(self) -> DataFrame:
         return self._by_model(self.entities, "label", "drug", ["pmid", "location", "pos"])

@@ -7,14 +7,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import WORD, normalise_surface
-from spanloom.operators.skew import hot_keys, lookup_join
 from spanloom.operators.spans import resolve_overlaps, token_spans
 from spanloom.schemas import SECTION
 from spanloom.staging import stage
 
 # Words and single other characters, as Python and as Java write it.
 TOKEN = r"\w+|[^\w\s]"
-JVM_TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}]"
+JVM_TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x1c-\x1f\x85]"
 TAGGED = "pmid string, location string, start_idx int, end_idx int, text_span string, label string"
 
 
@@ -32,7 +31,8 @@ def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame, max_tokens: int | N
     """(pmid, location, start_idx, end_idx, text_span, label) of surfaces found at token boundaries.
 
     Only tokens that begin a surface are looked at, and only at the lengths such surfaces have; `max_tokens`, if given,
-    leaves out longer surfaces. Overlaps are resolved longest first.
+    leaves out longer surfaces. Overlaps are resolved longest first. Both tables joined are unique on their key, so
+    adaptive execution splits the tokens of frequent words between tasks.
     """
     words = F.regexp_extract_all("surface", F.lit(JVM_TOKEN), F.lit(0))
     entries = stage(gazetteer.select("surface", "label", words[0].alias("first"), F.size(words).alias("n")))
@@ -47,11 +47,9 @@ def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame, max_tokens: int | N
             *([F.col("ends"), F.col("text")] if longest > 1 else [F.array("end_idx").alias("ends"), F.col("token").alias("text")]),
         )
 
-    # Which first words are frequent shows in a part of the texts; all tokens are joined, however they are spread.
-    hot = hot_keys(tokens(sections.sample(0.02, 1)).select("first"), ["first"])
     end = F.col("ends")[F.col("n") - 1]
     spans = (
-        lookup_join(tokens(sections), starts, ["first"], hot=hot)
+        tokens(sections).join(starts, "first")
         .withColumn("n", F.explode("ns"))
         .filter(F.col("n") <= F.size("ends"))
         .select(
@@ -60,7 +58,7 @@ def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame, max_tokens: int | N
         )
         .withColumn("surface", F.lower("text_span"))
     )
-    tagged = lookup_join(stage(spans), entries.select("surface", "label"), ["surface"]).drop("surface")
+    tagged = spans.join(entries.select("surface", "label"), "surface").drop("surface")
     return resolve_overlaps(tagged).select(*SECTION, "start_idx", "end_idx", "text_span", "label")
 
 

@@ -28,12 +28,15 @@ def with_prf(counts: DataFrame) -> DataFrame:
     )
 
 
-def score_classes(gold: DataFrame, pred: DataFrame, key: list[str], class_key: str) -> DataFrame:
+def score_classes(
+    gold: DataFrame, pred: DataFrame, key: list[str], class_key: str, models: DataFrame | None = None
+) -> DataFrame:
     """(model, class, tp, fp, fn, precision, recall, f1). `pred` has a `model` column; null equals null.
 
     Copies are counted before anything is joined, so a record with very many copies is combined map-side and each
     gold record is one row: predicted rows count as tp or fp each, gold rows as fn each. Gold is read once for all
-    models: a model's fn are the gold rows of the class less those it matched.
+    models: a model's fn are the gold rows of the class less those it matched. A model of the small table `models`
+    (model) is scored even if it predicts nothing.
     """
     n_gold = gold.groupBy(*key).agg(F.count(F.lit(1)).alias("g"))
     n_pred = pred.groupBy("model", *key).agg(F.count(F.lit(1)).alias("p"))
@@ -51,7 +54,10 @@ def score_classes(gold: DataFrame, pred: DataFrame, key: list[str], class_key: s
     )
     # One row per class and one per model; their grid has the size of the result.
     totals = n_gold.groupBy(F.col(class_key).alias("class")).agg(F.sum("g").alias("total"))
-    grid = totals.join(F.broadcast(pred.select("model").distinct()))
+    named = pred.select("model")
+    if models is not None:
+        named = named.union(models.select("model"))
+    grid = totals.join(F.broadcast(named.distinct()))
     zero = {c: F.lit(0).cast("bigint") for c in ("tp", "fp", "matched", "total")}
     rows = matched.withColumn("total", zero["total"]).unionByName(
         grid.withColumns({c: zero[c] for c in ("tp", "fp", "matched")})
@@ -74,10 +80,13 @@ def score_summary(classes: DataFrame) -> DataFrame:
     return with_prf(pooled).select("model", *micro.values(), "macro_precision", "macro_recall", "macro_f1")
 
 
-def score_tasks(tasks: dict[str, tuple[DataFrame, DataFrame, list[str], str]]) -> DataFrame:
-    """Summaries of several tasks and models in one table. A task is (gold, predictions, key, class column)."""
+def score_tasks(
+    tasks: dict[str, tuple[DataFrame, DataFrame, list[str], str]], models: DataFrame | None = None
+) -> DataFrame:
+    """Summaries of several tasks and models in one table. A task is (gold, predictions, key, class column); `models`
+    as in score_classes."""
     parts = [
-        score_summary(score_classes(*task)).select(F.lit(name).alias("task"), "*") for name, task in tasks.items()
+        score_summary(score_classes(*task, models)).select(F.lit(name).alias("task"), "*") for name, task in tasks.items()
     ]
     return reduce(DataFrame.unionByName, parts)
 

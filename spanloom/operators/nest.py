@@ -2,12 +2,12 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.schemas import CONCEPT_RELATION_KEY, MENTION_RELATION_KEY, SECTION
 
-# Lists longer than this are cut in parts by the md5 of their items.
+# A cell holds so many items of a list; further ones follow in the article's next row.
 PART_ITEMS = 50_000
 
 
@@ -34,32 +34,21 @@ def group_relations(relations: DataFrame) -> DataFrame:
     )
 
 
-def _with_part(rows: DataFrame, columns: list[str], part_items: int) -> DataFrame:
-    """`part` is '' in articles of up to part_items rows, else as many hex digits of the row's md5 as cut it small.
-
-    Which articles are that long is no bounded list, so it is joined, not broadcast by hint.
-    """
-    digits = F.ceil(F.log(16.0, F.col("n") / part_items)).cast("int")
-    long = rows.groupBy("pmid").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part_items)
-    long = long.select("pmid", digits.alias("digits"))
-    item = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
-    return rows.join(long, "pmid", "left").withColumn(
-        "part", F.coalesce(F.substring(item, F.lit(1), F.col("digits")), F.lit(""))
-    ).drop("digits")
-
-
 def nest_lists(articles: DataFrame, lists: dict[str, tuple[DataFrame, list[str]]], part_items: int = PART_ITEMS) -> DataFrame:
     """(pmid, part, one sorted array per list): every article once, with empty arrays where it has no rows.
 
-    `lists` gives the rows and item columns of each array. An article with a list beyond part_items comes as several
-    rows that differ in `part`; together they hold the whole list.
+    `lists` gives the rows and item columns of each array. An article's items are numbered in their order and cut every
+    part_items: in order of `part` (0, 1, ..) its rows hold the whole list as sorted, copies included. Numbering and
+    grouping share one shuffle by pmid.
     """
     nested = []
     for name, (rows, columns) in lists.items():
+        place = F.row_number().over(Window.partitionBy("pmid").orderBy(*columns))
         items = F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
-        nested.append(_with_part(rows, columns, part_items).groupBy("pmid", "part").agg(items))
+        numbered = rows.withColumn("part", F.floor((place - 1) / part_items).cast("int"))
+        nested.append(numbered.groupBy("pmid", "part").agg(items))
     parts = reduce(DataFrame.union, [n.select("pmid", "part") for n in nested])
-    parts = parts.union(articles.select("pmid", F.lit("").alias("part"))).distinct()
+    parts = parts.union(articles.select("pmid", F.lit(0).alias("part"))).distinct()
     for (name, _), rows in zip(lists.items(), nested):
         empty = F.array().cast(rows.schema[name].dataType)
         parts = parts.join(rows, ["pmid", "part"], "left").withColumn(name, F.coalesce(name, empty))

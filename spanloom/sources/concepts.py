@@ -48,17 +48,40 @@ def read_owl(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+# Subject (IRI or blank node), predicate, object (IRI, blank node or literal). A literal of any length is matched without
+# going back, hence without recursion.
+TRIPLE = r'\A\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"([^"\\]*+(?:\\.[^"\\]*+)*+)"\S*)\s*\.'
+
+
+def _unescaped(literal: F.Column) -> F.Column:
+    """Escapes decoded: backslash with t, b, n, r, f, a quote or a backslash; u with four hex digits, which may make
+    surrogate pairs; U with eight."""
+    pieces = F.regexp_extract_all(literal, F.lit(r"(?s)(?:\\u[0-9A-Fa-f]{4})++|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+
+    def plain(piece: F.Column) -> F.Column:
+        return (
+            F.when(piece.rlike(r"\A\\u[0-9A-Fa-f]{4}"), F.decode(F.unhex(F.replace(piece, F.lit("\\u"), F.lit(""))), "UTF-16BE"))
+            .when(piece.rlike(r"\A\\U[0-9A-Fa-f]{8}"), F.decode(F.unhex(F.substring(piece, 3, 8)), "UTF-32"))
+            .when(piece.startswith("\\"), F.translate(F.substring(piece, 2, 1), "tbnrf", "\t\b\n\r\f"))
+            .otherwise(piece)
+        )
+
+    return F.when(literal.contains("\\"), F.array_join(F.transform(pieces, plain), "")).otherwise(literal)
+
+
+def rejected_ntriples(lines: DataFrame) -> DataFrame:
+    """Lines that are neither triples nor comments nor blank, which parse_ntriples leaves out."""
+    return lines.filter(~F.col("value").rlike(TRIPLE) & ~F.col("value").rlike(r"\A\s*(?:#|\z)"))
+
+
 def parse_ntriples(lines: DataFrame) -> DataFrame:
     """(s, p, o) of N-Triples lines in column `value`. Literals lose quotes, language and type; comments drop out."""
-    line = r'\A\s*(?:<([^>]*)>|(_:\S+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:\S+)|"((?:[^"\\]|\\.)*)"\S*)\s*\.'
 
     def group(i: int):
-        return F.regexp_extract("value", line, i)
+        return F.regexp_extract("value", TRIPLE, i)
 
-    # Escapes by way of a JSON string, whose escapes include those in use here.
-    literal = F.from_json(F.concat(F.lit('["'), group(6), F.lit('"]')), "array<string>")[0]
-    o = F.when(group(4) != "", group(4)).when(group(5) != "", group(5)).otherwise(literal)
-    return lines.filter(F.col("value").rlike(line)).select(
+    o = F.when(group(4) != "", group(4)).when(group(5) != "", group(5)).otherwise(_unescaped(group(6)))
+    return lines.filter(F.col("value").rlike(TRIPLE)).select(
         F.concat(group(1), group(2)).alias("s"), group(3).alias("p"), o.alias("o")
     )
 

@@ -57,8 +57,12 @@ def test_random_counts_and_summary(spark):
     assert len(per) == classes.count()
 
 
-def test_no_predictions_gives_no_model(spark):
+def test_model_without_predictions_scores_zero(spark):
     assert counts(spark, [("a", "x")], []) == {}
+    models = spark.createDataFrame([("m",), ("n",)], "model string")
+    classes = G.score_classes(*tables(spark, [("a", "x"), ("b", "x")], [("a", "x")]), ["k", "label"], "label", models)
+    assert {r.model: (r.tp, r.fp, r.fn) for r in classes.collect()} == {"m": (1, 0, 1), "n": (0, 0, 2)}
+    assert {r.model: r.micro_f1 for r in G.score_summary(classes).collect()}["n"] == 0
 
 
 def test_classifier_counts_absent_classes(spark):

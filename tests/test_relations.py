@@ -100,7 +100,7 @@ def test_concept_relations_need_two_uris(spark):
 
 def test_long_lists_come_in_parts(spark):
     articles = spark.createDataFrame([("1",), ("2",), ("3",)], "pmid string")
-    rows = [("1", f"u:{i}", "drug", "impact", "v", "food") for i in range(500)] + [("2", "u", "drug", "impact", "v", "food")]
+    rows = [("1", f"u:{i}", "drug", "impact", "v", "food") for i in range(250)] + [("1", "u:x", "drug", "impact", "v", "food")] * 250 + [("2", "u", "drug", "impact", "v", "food")]
     rels = spark.createDataFrame(rows, "pmid string, subject_uri string, subject_label string, predicate string, object_uri string, object_label string")
     columns = ["subject_uri", "subject_label", "predicate", "object_uri", "object_label"]
     nested = N.nest_lists(articles, {"concept_level_relations": (rels, columns)}, part_items=100).collect()
@@ -109,4 +109,7 @@ def test_long_lists_come_in_parts(spark):
         assert len(r.concept_level_relations) <= 100
         sizes[r.pmid] += len(r.concept_level_relations)
     assert sizes == {"1": 500, "2": 1, "3": 0}
-    assert [r.part for r in nested if r.pmid == "2"] == [""]
+    assert [r.part for r in nested if r.pmid == "2"] == [0]
+    parts = sorted((r.part, [tuple(x) for x in r.concept_level_relations]) for r in nested if r.pmid == "1")
+    assert [len(p) for _, p in parts] == [100] * 5
+    assert sum((p for _, p in parts), []) == sorted(r[1:] for r in rows if r[0] == "1")

@@ -122,6 +122,16 @@ def test_ntriples(spark, tmp_path):
     assert rows == [("_:b", "http://p", "http://o"), ("http://s", "http://p", "5"), ("http://s", "http://p", 'say "hi" é')]
 
 
+def test_ntriples_escapes_and_rejects(spark):
+    lines = spark.createDataFrame([
+        (r'<s> <p> "\U0001F600 \uD83D\uDE00 \t\\u0041" .',), ('<s> <q> "raw\ttab" .',), ("<s> <r> .",), ("",), ("# note",),
+        ('<s> <l> "' + r"a\n" * 20_000 + '" .',),
+    ], "value string")
+    rows = {r.p: r.o for r in SC.parse_ntriples(lines).collect()}
+    assert rows == {"p": "\U0001F600 \U0001F600 \t\\u0041", "q": "raw\ttab", "l": "a\n" * 20_000}
+    assert [r.value for r in SC.rejected_ntriples(lines).collect()] == ["<s> <r> ."]
+
+
 def test_records(spark, tmp_path):
     put(tmp_path / "g" / "12.jsonl", {"description": "d", "synonyms": ["A", "B"], "symbol": "C"})
     put(tmp_path / "g" / "13.jsonl", {"description": "e", "symbol": "D"})
