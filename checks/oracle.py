@@ -298,7 +298,8 @@ def _summary(scores: str) -> str:
         select model, round(mp, 6) as micro_precision, round(mr, 6) as micro_recall,
                round(case when mp + mr > 0 then 2 * mp * mr / (mp + mr) else 0 end, 6) as micro_f1,
                round(ap, 6) as macro_precision, round(ar, 6) as macro_recall, round(af, 6) as macro_f1
-        from (select model, coalesce(sum(tp) / (sum(tp) + sum(fp)), 0) as mp, coalesce(sum(tp) / (sum(tp) + sum(fn)), 0) as mr,
+        from (select model, case when sum(tp) + sum(fp) > 0 then sum(tp) / (sum(tp) + sum(fp)) else 0.0::double end as mp,
+                     case when sum(tp) + sum(fn) > 0 then sum(tp) / (sum(tp) + sum(fn)) else 0.0::double end as mr,
                      avg(p_) as ap, avg(r_) as ar, avg(f_) as af from ({scores}) group by model)"""
 
 
