@@ -1,13 +1,14 @@
 """Main text of web pages: nearest-URL page differencing, under what a page's markup declares.
 
-A page is read as lines, one for each block of its markup. Pages are paired with their neighbours in the order of host
-and URL path; the lines of a pair are aligned by longest common subsequence, and lines they share are deleted: what
-stands on both is the site's, not the page's. Markup decides where differencing can't: lines inside menus, footers,
-adverts, forms and the like go even where no neighbour repeats them, lines beside a declared article go, and lines of a
-declared article stay even if a neighbour has them, as copies and quotes of articles are text, not template.
-
-Pairing moves hashes of lines, never texts. Neighbours are found by place in a range-partitioned order, so a host may
-hold any share of the pages.
+A page is read as lines, one for each block of its markup. Pages are paired with their nearest different neighbours in
+the order of host and URL path; the lines of a pair are aligned by longest common subsequence, and lines they share are
+deleted: what stands on both is the site's, not the page's. Copies side by side are one run, and a page is paired with
+pages of other runs only, as what copies share is their text. Markup decides where differencing can't: lines inside
+menus, footers, adverts, forms and the like go even where no neighbour repeats them, and lines beside a declared article
+go. Lines of a declared article stay.
+
+Pairing moves hashes of lines, never texts. Neighbours are found by place in a range-partitioned order, so a host or a
+run of copies may hold any share of the pages.
 """
 
 import html
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.llm.common import running_total
+from spanloom.operators.skew import lookup_join
 from spanloom.staging import stage
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
@@ -42,7 +44,7 @@ NAMES = frozenset(
     "nav navbar navigation newsletter notice notices popup promo promoted related replies share sharing sidebar social sponsor sponsored subscribe widget".split()
 )
 _NAME = re.compile(r"[a-z0-9]+")
-#: Neighbours on either side that a page is paired with.
+#: Runs of copies on either side that a page is paired with.
 NEAREST = 2
 
 
@@ -157,46 +159,104 @@ def common_lines(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return left[::-1], right[::-1]
 
 
+def alike(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> bool:
+    """Whether two pages are copies or nearly: more than three quarters of their lines and of their characters align."""
+    if a == b:
+        return True
+    least, common = 3 * max(len(a), len(b)), set(b)
+    if 4 * sum(x in common for x in a) <= least:
+        return False
+    places = common_lines(a, b)[0]
+    return 4 * len(places) > least and 4 * sum(a_sizes[k] for k in places) > 3 * max(sum(a_sizes), sum(b_sizes))
+
+
+def _kept(source: str) -> tuple[list[tuple[str, bool]], bool]:
+    """Text of each line and whether markup leaves it to choose from; whether the page declares an article."""
+    found = page_lines(source)
+    declared = any(a and not c for _, a, c in found)
+    return [(t, not c and (a or not declared)) for t, a, c in found], declared
+
+
+def _line_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page the lines its markup leaves to choose from: text, hash, and whether a neighbour can delete it."""
+    """Of each page the lines its markup leaves to choose from: text and hash."""
     for batch in batches:
-        lines = []
-        for source in batch.column("html").to_pylist():
-            found = page_lines(source or "")
-            declared = any(a and not c for _, a, c in found)
-            lines.append([
-                {"text": t, "hash": xxhash.xxh64_intdigest(t) - (1 << 63), "free": not a} for t, a, c in found if not c and (a or not declared)
-            ])
+        lines = [[{"text": t, "hash": _line_hash(t)} for t, kept in _kept(source or "")[0] if kept] for source in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lines, _LINES)], [*batch.schema.names[:-1], "lines"])
 
 
-_LINES = pa.list_(pa.struct([("text", pa.string()), ("hash", pa.int64()), ("free", pa.bool_())]))
+_LINES = pa.list_(pa.struct([("text", pa.string()), ("hash", pa.int64())]))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each page the hashes of all its lines, and those that a neighbour can delete."""
+    """Of each page the hashes of all its lines, the lengths of those to choose from (else 0), and whether it declares an article."""
     for batch in batches:
-        hashes, free = [], []
+        hashes, sizes, declares = [], [], []
         for source in batch.column("html").to_pylist():
-            found = [(xxhash.xxh64_intdigest(t) - (1 << 63), a, c) for t, a, c in page_lines(source or "")]
-            declared = any(a and not c for _, a, c in found)
-            hashes.append([h for h, _, _ in found])
-            free.append([h for h, a, c in found if not a and not c and not declared])
-        kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hashes, kind), pa.array(free, kind)], [*batch.schema.names[:-1], "hashes", "free"])
+            found, declared = _kept(source or "")
+            hashes.append([_line_hash(t) for t, _ in found])
+            sizes.append([len(t) if kept else 0 for t, kept in found])
+            declares.append(declared)
+        columns = [pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(declares, pa.bool_())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "hashes", "sizes", "declared"])
+
+
+def _choice(hashes: list[int], sizes: list[int]) -> tuple[list[int], list[int]]:
+    """Hashes and lengths of the lines to choose from."""
+    return [h for h, s in zip(hashes, sizes, strict=True) if s], [s for s in sizes if s]
+
+
+def _opens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """1 for each page that begins a run: it is no copy of the page before, or has none on its host."""
+    for batch in batches:
+        opens = [
+            int(h2 is None or not alike(*_choice(h1, s1), *_choice(h2, s2)))
+            for h1, s1, h2, s2 in zip(*(batch.column(c).to_pylist() for c in ("hashes", "sizes", "hashes2", "sizes2")), strict=True)
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column("place"), batch.column("host"), pa.array(opens, pa.int32())], ["place", "host", "opens"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each pair's common subsequence that can be deleted, for both pages."""
+    """The lines of each pair's common subsequence that the first page can lose, if the second is no copy of it.
+
+    `vote` tells whether the second counts for lines of a declared article: at most half of their text is the same.
+    """
+    names = ("key", "declared", "hashes", "sizes", "other", "hashes2", "sizes2")
     for batch in batches:
-        key, dead = [], []
-        for k1, h1, f1, k2, h2, f2 in zip(*(batch.column(c).to_pylist() for c in ("key", "hashes", "free", "key2", "hashes2", "free2")), strict=True):
-            shared = {h1[k] for k in common_lines(h1, h2)[0]}
-            for k, f in ((k1, f1), (k2, f2)):
-                if gone := shared.intersection(f):
-                    key.append(k)
-                    dead.append(sorted(gone))
-        yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(dead, pa.list_(pa.int64()))], ["key", "dead"])
+        key, declares, other, vote, dead = [], [], [], [], []
+        for k, declared, h1, s1, o, h2, s2 in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            (a, a_sizes), (b, b_sizes) = _choice(h1, s1), _choice(h2, s2)
+            if alike(a, a_sizes, b, b_sizes):
+                continue
+            places = [] if set(a).isdisjoint(h2) else [p for p in common_lines(h1, h2)[0] if s1[p]]
+            key.append(k)
+            declares.append(declared)
+            other.append(o)
+            vote.append(bool(b) and 2 * sum(s1[p] for p in places) <= max(sum(a_sizes), sum(b_sizes)))
+            dead.append(sorted({h1[p] for p in places}))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key, pa.int64()), pa.array(declares, pa.bool_()), pa.array(other, pa.int64()), pa.array(vote, pa.bool_()), pa.array(dead, pa.list_(pa.int64()))],
+            ["key", "declared", "other", "vote", "dead"],
+        )
+
+
+def _neighbours(placed: DataFrame) -> DataFrame:
+    """(place, other): each page with the nearest page of each of the NEAREST runs before and after its own on its host."""
+    before = placed.select((F.col("place") + 1).alias("place"), "host", F.col("hashes").alias("hashes2"), F.col("sizes").alias("sizes2"))
+    opens = placed.select("place", "host", "hashes", "sizes").join(before, ["place", "host"], "left")
+    opens = opens.mapInArrow(_opens, "place long, host string, opens int")
+    runs = stage(running_total(opens, ["place"], "opens", "run").select("place", "host", (F.col("run") + F.col("opens")).alias("run")))
+    ends = runs.groupBy("host", "run").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    steps = F.explode(F.array(*[F.lit(k) for d in range(1, NEAREST + 1) for k in (-d, d)]))
+    others = (
+        ends.withColumn("step", steps)
+        .select("host", (F.col("run") - F.col("step")).alias("run"), F.when(F.col("step") > 0, F.col("first")).otherwise(F.col("last")).alias("other"))
+        .groupBy("host", "run").agg(F.collect_list("other").alias("others"))
+    )
+    return lookup_join(runs, others, ["host", "run"]).select("place", F.explode("others").alias("other"))
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
@@ -204,8 +264,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
 
     text joins the lines that stay by a space, with character references decoded and white space inside a line as one
     space; it is empty if none stay or html is null. n_chars counts its code points, n_shared the lines deleted because
-    a neighbour by URL has them. Pages whose url is null or has no host are each other's neighbours as one host; equal
-    pages side by side delete nothing that a declared article holds. Repeated rows are rows of their own. Runs jobs.
+    neighbours by URL have them. Pages whose url is null or has no host are each other's neighbours as one host; copies
+    and near copies delete nothing from each other. Repeated rows are rows of their own. Runs jobs.
     """
     key = F.xxhash64("page_id", "url", "html")
     url = F.coalesce("url", F.lit(""))
@@ -215,23 +275,25 @@ def main_texts(pages: DataFrame) -> DataFrame:
     light = base.select(key.alias("key"), host.alias("host"), path.alias("path"), F.lit(1).alias("one"), "html")
     hashed = T.StructType([
         T.StructField("key", T.LongType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("one", T.IntegerType()),
-        T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("free", T.ArrayType(T.LongType())),
+        T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("declared", T.BooleanType()),
     ])
     placed = stage(running_total(light.mapInArrow(_hashed, hashed), ["host", "path", "key"], "one", "place").drop("one", "path"))
-    apart = F.explode(F.sequence(F.lit(1), F.lit(NEAREST)))
-    other = placed.withColumn("apart", apart).select((F.col("place") - F.col("apart")).alias("place"), "host", F.col("key").alias("key2"), F.col("hashes").alias("hashes2"), F.col("free").alias("free2"))
-    pairs = placed.join(other, ["place", "host"]).filter((F.size("free") > 0) | (F.size("free2") > 0))
+    other = placed.select(F.col("place").alias("other"), F.col("hashes").alias("hashes2"), F.col("sizes").alias("sizes2"))
+    pairs = lookup_join(_neighbours(placed), other, ["other"]).join(placed.filter("exists(sizes, x -> x > 0)"), "place")
+    found = pairs.select("key", "declared", "hashes", "sizes", "other", "hashes2", "sizes2").mapInArrow(
+        _aligned, "key long, declared boolean, other long, vote boolean, dead array<long>"
+    )
     dead = (
-        pairs.select("key", "hashes", "free", "key2", "hashes2", "free2").mapInArrow(_aligned, "key long, dead array<long>")
-        .groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("dead"))).alias("dead"))
+        found.filter("not declared").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("dead"))).alias("dead"))
+        .filter(F.size("dead") > 0)
     )
     parsed = T.StructType([
         T.StructField("page_id", base.schema["page_id"].dataType), T.StructField("url", base.schema["url"].dataType), T.StructField("key", T.LongType()),
-        T.StructField("lines", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("hash", T.LongType()), T.StructField("free", T.BooleanType())]))),
+        T.StructField("lines", T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("hash", T.LongType())]))),
     ])
     lines = base.select("page_id", "url", key.alias("key"), "html").mapInArrow(_parsed, parsed)
     gone = F.coalesce("dead", F.array().cast("array<bigint>"))
-    stays = F.filter("lines", lambda x: ~(x["free"] & F.array_contains(gone, x["hash"])))
+    stays = F.filter("lines", lambda x: ~F.array_contains(gone, x["hash"]))
     return lines.join(stage(dead), "key", "left").select(
         "page_id", "url", F.array_join(F.transform(stays, lambda x: x["text"]), " ").alias("text"), (F.size("lines") - F.size(stays)).alias("n_shared")
     ).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), F.col("n_shared").cast("long").alias("n_shared"))

@@ -294,6 +294,20 @@ def test_main_texts(spark):
     assert main_texts(df.limit(0)).count() == 0
 
 
+def test_copies_without_an_article_keep_their_text(spark):
+    site = "<div>My site</div><p>Welcome all</p>{}<p>Bye</p>"
+    story = [f"<p>sentence {k} of the story that was copied</p>" for k in range(12)]
+    rows = [(k, f"http://h/b/{k:02}", site.format("".join(story))) for k in range(40)]  # a run longer than any number of neighbours
+    rows += [(40 + k, f"http://h/c/{k:02}", site.format("".join([*story[:-1], f"<p>another end, {k}</p>"]))) for k in range(9)]
+    rows += [(50, "http://h/a", site.format("<p>first</p>")), (51, "http://h/d", site.format("<p>last</p>")), (52, "http://copies/1", rows[0][2]), (53, "http://copies/2", rows[0][2])]
+    got = {r["page_id"]: r for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    bare = " ".join(x[3:-4] for x in story)
+    assert len(got) == len(rows) and {got[k]["text"] for k in range(40)} == {bare}
+    assert [got[40 + k]["text"] for k in range(9)] == [" ".join(x[3:-4] for x in story[:-1]) + f" another end, {k}" for k in range(9)]
+    assert (got[50]["text"], got[51]["text"]) == ("first", "last")
+    assert {got[k]["text"] for k in (52, 53)} == {f"My site Welcome all {bare} Bye"} and got[52]["n_shared"] == 0
+
+
 def pages(spark):
     big, other = "<p>é" + "x" * 200, "y" * 100
     rows = [(5, "u5", big), (3, "u\r\n3", big), (9, None, big), (1, "u1", "short"), (2, "u2", "short"), (4, "u4", None), (6, "u6", ""), (7, "u7", other), (8, "u8", other), (8, "u8", other),
