@@ -5,7 +5,8 @@ the order of host and URL path; the lines of a pair are aligned by longest commo
 deleted: what stands on both is the site's, not the page's. Copies side by side are one run, and a page is paired with
 pages of other runs only, as what copies share is their text. Markup decides where differencing can't: lines inside
 menus, footers, adverts, forms and the like go even where no neighbour repeats them, and lines beside a declared article
-go. Lines of a declared article stay.
+go. A line of a declared article goes only if all of three or more neighbours with other texts repeat it: one or two may
+well quote it or have the same headline.
 
 Pairing moves hashes of lines, never texts. Neighbours are found by place in a range-partitioned order, so a host or a
 run of copies may hold any share of the pages.
@@ -46,6 +47,8 @@ NAMES = frozenset(
 _NAME = re.compile(r"[a-z0-9]+")
 #: Runs of copies on either side that a page is paired with.
 NEAREST = 2
+#: Neighbours with other texts that have to repeat a line of a declared article.
+AGREE = 3
 
 
 def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
@@ -283,8 +286,12 @@ def main_texts(pages: DataFrame) -> DataFrame:
     found = pairs.select("key", "declared", "hashes", "sizes", "other", "hashes2", "sizes2").mapInArrow(
         _aligned, "key long, declared boolean, other long, vote boolean, dead array<long>"
     )
+    # Repeated rows have one key and the same neighbours.
+    repeats = F.collect_set(F.when(F.col("vote"), F.struct("other", "dead")))
+    by_all = F.aggregate(F.transform("repeats", lambda x: x["dead"]), F.element_at("repeats", 1)["dead"], lambda a, x: F.array_intersect(a, x))
     dead = (
-        found.filter("not declared").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_set("dead"))).alias("dead"))
+        found.groupBy("key").agg(F.first("declared").alias("declared"), repeats.alias("repeats"), F.array_distinct(F.flatten(F.collect_set("dead"))).alias("any"))
+        .select("key", F.when(~F.col("declared"), F.col("any")).when(F.size("repeats") >= AGREE, by_all).alias("dead"))
         .filter(F.size("dead") > 0)
     )
     parsed = T.StructType([

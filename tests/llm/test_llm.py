@@ -308,6 +308,20 @@ def test_copies_without_an_article_keep_their_text(spark):
     assert {got[k]["text"] for k in (52, 53)} == {f"My site Welcome all {bare} Bye"} and got[52]["n_shared"] == 0
 
 
+def test_boilerplate_inside_articles(spark):
+    def page(k, *more):
+        return "<article><h1>Story</h1>" + "".join(f"<p>{x}</p>" for x in (f"text {k} of this page only, and nowhere else on this site or others", *more)) + "</article>"
+
+    rows = [(k, f"http://h/{k}", page(k, "Subscribe now", *(["a quote"] if k < 2 else []))) for k in range(6)]
+    rows += [(10 + k, f"http://copied/{k}", page(0, "Subscribe now")) for k in range(6)]  # copies of one article
+    rows += [(20 + k, f"http://two/{k}", page(k, "Subscribe now")) for k in range(2)]  # one neighbour says too little
+    got = {r["page_id"]: r["text"] for r in main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[10 + k] for k in range(6)} == {"Story text 0 of this page only, and nowhere else on this site or others Subscribe now"}
+    assert got[20] == "Story text 0 of this page only, and nowhere else on this site or others Subscribe now"
+    assert got[3] == "text 3 of this page only, and nowhere else on this site or others"
+    assert got[1] == "text 1 of this page only, and nowhere else on this site or others a quote"
+
+
 def pages(spark):
     big, other = "<p>é" + "x" * 200, "y" * 100
     rows = [(5, "u5", big), (3, "u\r\n3", big), (9, None, big), (1, "u1", "short"), (2, "u2", "short"), (4, "u4", None), (6, "u6", ""), (7, "u7", other), (8, "u8", other), (8, "u8", other),
