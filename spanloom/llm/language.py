@@ -1,9 +1,10 @@
 """Language identification: averaged hashed subword embeddings under a linear softmax.
 
-A text's features are the 2- to 4-grams of letters of its lower-cased words, word ends marked, each hashed to one of
-`buckets` rows of an embedding table. Their mean goes through a linear softmax; table and softmax are trained together by
-stochastic gradient descent in numpy. A part of the training rows is held back to calibrate: a temperature makes the
-scores probabilities, and texts whose score is below the cut are rejected.
+A text's features are the 2- to 4-grams of letters of its lower-cased words, word ends marked (a word of one letter is a
+3-gram, the letter between its ends), each hashed to one of `buckets` rows of an embedding table. Their mean goes through
+a linear softmax; table and softmax are trained together by stochastic gradient descent in numpy. A part of the training
+rows is held back to calibrate: a temperature makes the scores probabilities, and texts whose score is below the cut are
+rejected.
 
 Training reads a bounded sample of labelled rows, `per_label` of each language, taken by the order of a hash: its size is
 a parameter, not a share of the corpus. Prediction reads every text whole, once, without a shuffle.
@@ -68,7 +69,8 @@ def features(texts: list[str], buckets: int) -> Iterator[tuple[int, list[tuple[n
             if n > 2:
                 core = core[:span] & inside[n - 2 : n - 2 + span]
             if n in GRAMS:
-                whole = core[:span] & (inside[:span] | inside[n - 1 : n - 1 + span] if n > 2 else inside[:span] & inside[n - 1 : n - 1 + span])
+                ends = inside[:span], inside[n - 1 : n - 1 + span]
+                whole = core[:span] & (ends[0] & ends[1] if n == 2 else n == 3 or ends[0] | ends[1])
                 at = np.flatnonzero(whole)
                 gram = ((h[at] ^ (h[at] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> shift).astype(np.int64)
                 found.append((gram, np.append(np.searchsorted(at, starts), len(at))))

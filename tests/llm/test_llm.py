@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from spanloom.llm import jaccard, mixing, neardup, topk
 from spanloom.llm.credentials import redact_secrets, secret_report
 from spanloom.llm.jaccard import jaccard_components, link_unit, one_of_each
-from spanloom.llm.language import fit_language_model, held_out, identify_languages
+from spanloom.llm.language import LanguageModel, fit_language_model, held_out, identify_languages, predict, train
 from spanloom.llm.mixing import mix_sources, mixed_documents, permuted, targets, words_taken
 from spanloom.llm.neardup import near_duplicates
 from spanloom.llm.pages import common_lines, main_texts
@@ -262,6 +262,15 @@ def test_language(spark, none):
     assert identify_languages(none, fit_language_model(none)).count() == 0
 
 
+def test_words_of_one_letter_have_a_language():
+    model = train(["a b c d"] * 20 + ["é è ç à"] * 20 + ["中 文 字"] * 20, ["aa"] * 20 + ["bb"] * 20 + ["cc"] * 20)
+    short = ["A.", "a b c", "", "é", "12 文 34", " . ", "ç"]
+    label, score, rejected = predict(model, short)
+    assert label == ["aa", "aa", "und", "bb", "cc", "und", "bb"]
+    assert [s > 0 for s in score] == [x != "und" for x in label] and rejected[2] and rejected[5]
+    assert predict(LanguageModel(["aa"], np.zeros((8, 1), np.float32), np.zeros(1)), ["x", "-"])[0] == ["aa", "und"]
+
+
 def test_common_lines():
     rng = random.Random(5)
     for _ in range(200):
