@@ -30,6 +30,33 @@ FIELDS = ("start_idx", "end_idx", "location", "text_span", "label", "uri")
 # Word characters as in the Spark expressions.
 W = r"[\p{L}\p{N}_]"
 
+def _gram_vectors(keys: str) -> str:
+    """Unit vectors of unhashed trigrams of keys and first surfaces."""
+    return f"""
+        with both_keys as (select key from {keys} union select min(surface) from fx_kb group by uri),
+        terms as (
+          select key, gram, count(*) as tf
+          from (select key, unnest(list_transform(range(1, length(key) + 1), lambda i: substr(' ' || key || ' ', i, 3))) as gram
+                from both_keys) group by all),
+        idf as (select gram, ln((1 + (select count(*) from both_keys)) / (1 + count(*))::double) + 1 as idf from terms group by gram),
+        weighted as (select key, gram, tf * idf as w from terms join idf using (gram))
+        select key, gram, w / sqrt(sum(w * w) over (partition by key)) as w from weighted"""
+
+
+def _gram_nearest(keys: str, vectors: str) -> str:
+    """The nearest concept of each key; the lowest if none shares a trigram."""
+    return f"""
+        with concepts as (select uri, min(surface) as surface from fx_kb group by uri),
+        scores as (
+          select m.key, c.uri, round(sum(m.w * v.w), 6) as score
+          from concepts c join {vectors} v on v.key = c.surface join {vectors} m on m.gram = v.gram
+          where m.key in (select key from {keys}) group by all),
+        best as (
+          select * from (select *, row_number() over (partition by key order by score desc, uri) as r from scores) where r = 1)
+        select key, coalesce(uri, (select min(uri) from concepts)) as uri, coalesce(score, 0) as score
+        from {keys} left join best using (key)"""
+
+
 VIEWS = {
     "fx_articles": """
         select cast(doc_id as varchar) as pmid, doc_id, split_part(text, chr(10), 1) as title,
@@ -256,6 +283,11 @@ VIEWS = {
           where m.key in (select key from fx_mention_keys) group by all)
         select key, uri, score from (
           select *, row_number() over (partition by key order by score desc, uri) as r from scores) where r = 1""",
+    "fx_gram_vectors": _gram_vectors("fx_mention_keys"),
+    "fx_gram_nearest": _gram_nearest("fx_mention_keys", "fx_gram_vectors"),
+    "fx_tag_keys": "select distinct lower(text_span) as key from fx_tagged",
+    "fx_tag_vectors": _gram_vectors("fx_tag_keys"),
+    "fx_tag_nearest": _gram_nearest("fx_tag_keys", "fx_tag_vectors"),
     "fx_linked": """
         select e.* replace (coalesce(i.uri, j.uri, sub.uri) as uri)
         from fx_entities e
@@ -637,6 +669,11 @@ ORACLES = {
     "learn_gazetteer_labels": "select surface, label from fx_gazetteer",
     "tag_gazetteer_sections": "select * from fx_tagged",
     "link_trigram_top1": "select key, uri, score from fx_nearest",
+    "link_trigram_exact": "select key, uri, score from fx_gram_nearest",
+    "annotate_and_link_exact": f"""
+        select pmid, 0 as part, coalesce(entities, '') as entities from fx_articles left join (
+          {_per_article('select t.*, n.uri from fx_tagged t join fx_tag_nearest n on n.key = lower(t.text_span)',
+                        SUBMITTED, 'location desc, start_idx', 'entities')}) using (pmid)""",
     "annotate_and_link": f"""
         select pmid, 0 as part, coalesce(entities, '') as entities from fx_articles left join (
           {_per_article('select t.*, n.uri from fx_tagged t join fx_nearest n on n.key = lower(t.text_span)',

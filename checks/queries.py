@@ -750,14 +750,32 @@ def classify_pairs(v):
 
 @query
 def link_trigram_top1(v):
+    keys = v.entities.select(X.normalise_surface(F.col("text_span")).alias("key")).distinct()
+    concepts = v.kb.groupBy("uri").agg(F.min("surface").alias("key"))
+    return L.link_trigrams_hashed(keys, concepts)
+
+
+@query
+def link_trigram_exact(v):
+    """As link_trigram_top1, with each trigram a dimension of its own."""
     keys = v.entities.select(X.normalise_surface(F.col("text_span")).alias("key")).distinct()
     concepts = v.kb.groupBy("uri").agg(F.min("surface").alias("key"))
     return L.link_trigrams(keys, concepts)
 
 
+@query
+def annotate_and_link_exact(v):
+    """As annotate_and_link, with each trigram a dimension of its own."""
+    return _annotated_and_linked(v, L.link_trigrams)
+
+
 @query
 def annotate_and_link(v):
-    linked = J.annotate_and_link(v.sections, v.entities.filter(~v.is_dev()), v.kb)
+    return _annotated_and_linked(v, L.link_trigrams_hashed)
+
+
+def _annotated_and_linked(v, link):
+    linked = J.annotate_and_link(v.sections, v.entities.filter(~v.is_dev()), v.kb, link)
     nested = N.entity_submission(v.articles, linked)
     fields = ["start_idx", "end_idx", "location", "text_span", "label", "uri"]
     return nested.select("pmid", "part", flat("entities", fields).alias("entities"))

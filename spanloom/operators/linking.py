@@ -2,11 +2,11 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import normalise_surface
-from spanloom.operators.skew import lookup_join
+from spanloom.operators.skew import lookup_join, pair_join
 from spanloom.staging import stage
 
 # Cosines are compared after rounding, so that equal vectors tie whatever the order of summation.
@@ -177,8 +177,10 @@ def trigram_vectors(surfaces: DataFrame, dims: int = 256) -> DataFrame:
     return entries.select("key", F.col("m.dim").alias("at"), F.col("m.w").alias("vector"))
 
 
-def link_trigrams(mention_keys: DataFrame, concepts: DataFrame, dims: int = 256) -> DataFrame:
-    """(key, uri, score): nearest concept of each distinct mention key by trigram cosine.
+def link_trigrams_hashed(mention_keys: DataFrame, concepts: DataFrame, dims: int = 256) -> DataFrame:
+    """(key, uri, score): nearest concept of each distinct mention key by the cosine of hashed trigrams.
+
+    Trigrams of one dimension count as equal; link_trigrams tells all apart.
 
     `concepts` is (uri, key) with the canonical surface of each concept. Vectors of both come from one vocabulary.
     """
@@ -189,3 +191,66 @@ def link_trigrams(mention_keys: DataFrame, concepts: DataFrame, dims: int = 256)
     return link_cosine(mentions, named, dims).select(
         F.col("mention_id").alias("key"), F.col("concept_id").alias("uri"), "score"
     )
+
+
+def trigram_weights(surfaces: DataFrame) -> DataFrame:
+    """(key, gram, w): character trigram TF-IDF of each distinct key, of length one, a row per trigram.
+
+    Trigrams and idf as in trigram_vectors, each trigram a dimension of its own.
+    """
+    keys = surfaces.filter(F.col("key") != "")
+    padded = F.concat(F.lit(" "), "key", F.lit(" "))
+    grams = F.transform(F.sequence(F.lit(1), F.length("key")), lambda i: F.substring(padded, i, F.lit(3)))
+    terms = keys.select("key", F.explode(grams).alias("gram")).groupBy("key", "gram").agg(F.count(F.lit(1)).alias("tf"))
+    terms = stage(terms)
+    total = keys.agg(F.count(F.lit(1)).alias("n"))
+    idf = (
+        terms.groupBy("gram")
+        .agg(F.count(F.lit(1)).alias("df"))
+        .join(F.broadcast(total))
+        .select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    )
+    raw = lookup_join(terms, idf, ["gram"]).select("key", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
+    return raw.select("key", "gram", (F.col("w") / norm).alias("w"))
+
+
+def _trigram_scores(pairs: DataFrame, mentions: DataFrame, named: DataFrame) -> DataFrame:
+    """(key, uri, score) of distinct pairs (key, uri) that share a trigram."""
+    wide = mentions.groupBy("key").agg(F.collect_list(F.struct("gram", "w")).alias("terms"))
+    terms = lookup_join(pairs, wide, ["key"]).select("key", "uri", F.explode("terms").alias("t"))
+    terms = terms.select("key", "uri", "t.gram", F.col("t.w").alias("w"))
+    both = lookup_join(terms, named.withColumnRenamed("w", "v"), ["uri", "gram"])
+    return both.groupBy("key", "uri").agg(F.round(F.sum(F.col("w") * F.col("v")), SCORE_DIGITS).alias("score"))
+
+
+def link_trigrams(mention_keys: DataFrame, concepts: DataFrame) -> DataFrame:
+    """(key, uri, score): nearest concept of each distinct mention key by trigram cosine, the lowest uri among equal scores.
+
+    `concepts` is (uri, key), one row with the canonical surface of each concept. Weights of both come from one
+    vocabulary. A key that shares no trigram with any concept scores 0 with all, so it gets the lowest uri. Exact: for
+    each trigram of a key the concept it weighs most in is scored, which bounds the key's best score from below. Only
+    concepts that share one of its heaviest trigrams can reach the bound, as what the lighter ones add up to is at most
+    the length of that part of its vector. Runs jobs.
+    """
+    keys = mention_keys.select("key").filter(F.col("key") != "").distinct()
+    both = keys.union(concepts.select("key")).distinct()
+    weights = stage(trigram_weights(both))
+    mentions = stage(weights.join(keys, "key", "left_semi"))
+    named = stage(concepts.select("uri", "key").join(weights, "key").select("uri", "gram", "w"))
+    heaviest = named.groupBy("gram").agg(F.min(F.struct((-F.col("w")).alias("neg"), "uri")).alias("best")).select("gram", "best.uri")
+    tried = _trigram_scores(lookup_join(mentions, heaviest, ["gram"]).select("key", "uri").distinct(), mentions, named)
+    least = tried.groupBy("key").agg(F.max("score").alias("least"))
+    lighter = Window.partitionBy("key").orderBy(F.desc("w"), "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Scores are rounded: what is below the bound by less than two units of the last digit may still tie.
+    heavy = (
+        mentions.join(least, "key").withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(lighter)))
+        .filter(F.col("rest") >= F.col("least") - 2 * 10.0**-SCORE_DIGITS).select("key", "gram")
+    )
+    pairs = pair_join(heavy, named.select("uri", "gram"), ["gram"]).select("key", "uri").distinct()
+    best = F.min(F.struct((-F.col("score")).alias("neg"), "uri")).alias("best")
+    found = _trigram_scores(pairs, mentions, named).groupBy("key").agg(best).select("key", "best.uri", (-F.col("best.neg")).alias("score"))
+    lowest = concepts.filter(F.col("key") != "").agg(F.min("uri").alias("lowest")).filter(F.col("lowest").isNotNull())
+    return keys.join(found, "key", "left").join(F.broadcast(lowest)).select(
+        "key", F.coalesce("uri", "lowest").alias("uri"), F.coalesce("score", F.lit(0.0)).alias("score")
+    )

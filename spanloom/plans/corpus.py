@@ -1,5 +1,7 @@
 """The end-to-end jobs, put together from the operators. Tables read by several branches are staged on the way."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,8 +121,8 @@ def ner_training_set(sections: DataFrame, entities: DataFrame, relations: DataFr
     return nodes, matrix_cells(relations, snapped, nodes)
 
 
-def annotate_and_link(sections: DataFrame, train_entities: DataFrame, kb: DataFrame) -> DataFrame:
-    """Tag sections with a gazetteer of the training entities and link each mention to the nearest concept.
+def annotate_and_link(sections: DataFrame, train_entities: DataFrame, kb: DataFrame, link: Callable[[DataFrame, DataFrame], DataFrame] = link_trigrams) -> DataFrame:
+    """Tag sections with a gazetteer of the training entities and link each mention to the nearest concept by `link`.
 
     A concept is represented by its first surface. Each distinct mention text is linked once.
     """
@@ -128,5 +130,5 @@ def annotate_and_link(sections: DataFrame, train_entities: DataFrame, kb: DataFr
     keyed = tagged.withColumn("key", normalise_surface(F.col("text_span")))
     canonical = kb.groupBy("uri").agg(F.min_by("surface", F.struct("pos", "surface")).alias("surface"))
     concepts = canonical.select("uri", normalise_surface(F.col("surface")).alias("key"))
-    linked = link_trigrams(keyed.select("key").distinct(), concepts)
+    linked = link(keyed.select("key").distinct(), concepts)
     return lookup_join(keyed, linked, ["key"], "left").drop("key")

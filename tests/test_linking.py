@@ -61,3 +61,20 @@ def test_trigrams_find_the_same_text(spark):
     got = {r.key: (r.uri, r.score) for r in L.link_trigrams(keys, concepts).collect()}
     assert got["gut flora"] == ("u:1", 1.0)
     assert got["neurons"][0] == "u:2"
+
+
+def test_trigrams_of_one_bucket_are_told_apart(spark):
+    """Sixty-four words over few letters: the nearest concepts are those of brute force over unhashed trigrams."""
+    rng = np.random.default_rng(3)
+    words = sorted({"".join(rng.choice(list("abcde"), rng.integers(1, 9))) for _ in range(160)})
+    concepts, mentions = [(f"u:{k:02}", w) for k, w in enumerate(words[::3])], [*words, "zzz"]
+    grams = {w: [f" {w} "[k : k + 3] for k in range(len(w))] for w in {*mentions}}
+    places = {g: k for k, g in enumerate(sorted({g for x in grams.values() for g in x}))}
+    tf = {w: np.bincount([places[g] for g in x], minlength=len(places)) for w, x in grams.items()}
+    idf = np.log((1 + len(tf)) / (1 + sum(v > 0 for v in tf.values()))) + 1
+    unit = {w: v * idf / np.linalg.norm(v * idf) for w, v in tf.items()}
+    cos = {m: np.round([unit[m] @ unit[w] for _, w in concepts], 6) for m in mentions}
+    keys = spark.createDataFrame([(m,) for m in mentions], "key string")
+    got = {r.key: (r.uri, round(r.score, 6)) for r in L.link_trigrams(keys, spark.createDataFrame(concepts, "uri string, key string")).collect()}
+    assert got == {m: (concepts[int(c.argmax())][0], c.max()) for m, c in cos.items()}
+    assert got["zzz"] == ("u:00", 0.0)
