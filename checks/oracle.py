@@ -470,6 +470,9 @@ ORACLES = {
     "normalise_surface": r"""
         select lower(regexp_replace(title, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g')) as surface, count(*) as n
         from fx_articles group by 1""",
+    "normalise_surface_all": r"""
+        select lower(regexp_replace(s, '^[\s\x{85}\p{Z}]+|[\s\x{85}\p{Z}]+$', '', 'g')) as surface, count(*) as n
+        from (select title as s from fx_articles union all select text_span from fx_entities) group by 1""",
     "kb_uri_domain": """
         select uri, split_part(split_part(uri, '://', 2), '/', 1) as domain
         from (select uri from fx_mixed union all select url from pages)""",
@@ -568,6 +571,8 @@ ORACLES = {
                  replace(uri, 'http://www.ebi.ac.uk/efo/', '{OBO}') as uri from fx_mixed)
         where ontology is not null group by 1""",
     "kb_surface_index": "select substr(surface, 1, 8) as key, min(uri) as uri, 8::bigint as len from fx_kb group by 1",
+    "kb_surface_index_whole": f"""
+        select surface as key, min(least(uri, '{OBO}' || upper(right(surface, 3)) || '_' || length(surface))) as uri, length(surface)::bigint as len from fx_kb group by 1""",
     "concept_relations_pred": _derived("fx_entities"),
     "concept_relations_gold": f"""
         select distinct pmid, {CONCEPT_KEY} from fx_partial
@@ -586,6 +591,10 @@ ORACLES = {
     "ambiguous_spans": """
         select substr(text_span, 1, 9) as text_span, count(distinct uri) as n_uris from fx_entities
         group by 1 having count(distinct uri) > 1""",
+    "ambiguous_spans_whole": f"""
+        select text_span, count(distinct uri) as n_uris from (
+          select text_span, case when pos % 2 = 0 then uri else '{OBO}' || upper(right(text_span, 3)) || '_' || length(text_span) end as uri
+          from fx_entities) group by 1 having count(distinct uri) > 1""",
     "unseen_rate": """
         select 'text_span' as "column", count(*) filter (text_span not in (
                  select text_span from fx_entities where cast(pmid as bigint) % 10 <> 0)) as n_unseen, count(*) as n_total

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.views import Views
 from spanloom.functions import text as X
 from spanloom.functions import uris as U
+from spanloom.functions.uris import OBO
 from spanloom.models import classifier as C
 from spanloom.models.tagger import learn_gazetteer, tag_gazetteer
 from spanloom.operators import evaluate as G
@@ -307,6 +308,14 @@ def normalise_surface(v):
     return surfaces.groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def normalise_surface_all(v):
+    """Titles and mentions, each whole."""
+    raw = v.articles.select("title").union(v.entities.select("text_span")).toDF("raw")
+    surfaces = raw.select(X.normalise_surface(F.concat(F.lit("\t "), "raw", F.lit("\n"))).alias("surface"))
+    return surfaces.groupBy("surface").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def kb_uri_domain(v):
     pages = v.table("pages").select(F.col("url").alias("uri"))
@@ -515,6 +524,19 @@ def kb_surface_index(v):
     return K.surface_index(cut).select("key", "uri", F.col("len").cast("bigint").alias("len"))
 
 
+def _by_ending(surface):
+    """A second concept of a whole surface, named after its last three letters."""
+    return F.concat(F.lit(OBO), F.upper(F.substring(surface, -3, 3)), F.lit("_"), F.length(surface))
+
+
+@query
+def kb_surface_index_whole(v):
+    """Whole surfaces, each of two concepts."""
+    second = v.kb.withColumn("uri", _by_ending("surface")).withColumn("ord", F.col("uri"))
+    both = v.kb.unionByName(second).withColumn("surface", F.concat(F.lit(" "), F.upper("surface")))
+    return K.surface_index(both).select("key", "uri", F.col("len").cast("bigint").alias("len"))
+
+
 @query
 def concept_relations_pred(v):
     return R.derive_relations(v.entities)
@@ -553,6 +575,12 @@ def ambiguous_spans(v):
     return P.ambiguous_spans(cut)
 
 
+@query
+def ambiguous_spans_whole(v):
+    """Whole spans; every other mention of a section has a second concept."""
+    return P.ambiguous_spans(v.entities.withColumn("uri", F.when(F.col("pos") % 2 == 0, F.col("uri")).otherwise(_by_ending("text_span"))))
+
+
 @query
 def unseen_rate(v):
     dev, train = _dev_train(v, v.entities)
@@ -743,7 +771,7 @@ def train_pairs(v):
 
 @query
 def classify_pairs(v):
-    pairs = C.candidate_pairs(v.entities.filter(v.is_dev()))
+    pairs = C.candidate_pairs(v.entities)
     guessed = C.apply_classifier(_trained(v), pairs)
     return guessed.groupBy("predicate").agg(F.count(F.lit(1)).alias("n"))
 
@@ -821,8 +849,8 @@ def build_kb(v):
 
 @query
 def predict_relations(v):
-    mentions, concepts = J.predict_relations(v.entities.filter(v.is_dev()), _trained(v))
-    nested = N.relation_submission(v.articles.filter(v.is_dev()), mentions, concepts)
+    mentions, concepts = J.predict_relations(v.entities, _trained(v))
+    nested = N.relation_submission(v.articles, mentions, concepts)
     return nested.select("pmid", "part", F.size("mention_level_relations").alias("n_mentions"), F.size("concept_level_relations").alias("n_concepts"))
 
 

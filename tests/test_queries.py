@@ -31,3 +31,9 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
+
+
+def test_relations_are_predicted_for_every_article(spark):
+    articles = spark.read.parquet(f"{SF_DIR}/documents.parquet").count()
+    got = registry()["predict_relations"](spark, SF_DIR).select("pmid").distinct().count()
+    assert got == articles
