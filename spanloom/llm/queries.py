@@ -6,6 +6,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from spanloom.llm.credentials import secret_report
+from spanloom.llm.exact import exact_duplicates
 from spanloom.llm.jaccard import jaccard_components
 from spanloom.llm.language import fit_language_model, held_out, identify_languages
 from spanloom.llm.mixing import mix_sources, words_taken
@@ -68,11 +69,15 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_ids(docs).select("doc_id", "n_tokens", "ids", "parity", "round_trip")
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_language_id, op3_sharding, op4_jaccard_join, op5_secret_scan, op6_mixing, op7_topk, op8_near_duplicates,
-        op9_warc, op10_sentencepiece,
+        op9_warc, op10_sentencepiece, op12_exact_dedup,
     )
 }
 
@@ -97,4 +102,12 @@ ORACLES = {
             case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
             case when first <> page_id then first end as refers_to
         from p left join f on digest = d""",
+    "op12_exact_dedup": r"""
+        with t as (
+            select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body
+            from documents
+        )
+        select doc_id, first_value(doc_id) over g as keep_id, count(*) over (partition by body) as group_size,
+            doc_id = first_value(doc_id) over g as kept, sha256(body) as text_sha256
+        from t window g as (partition by body order by points desc, doc_id)""",
 }
