@@ -13,6 +13,7 @@ from spanloom.llm.mixing import mix_sources, words_taken
 from spanloom.llm.neardup import near_duplicates
 from spanloom.llm.pages import main_texts
 from spanloom.llm.pieces import piece_ids
+from spanloom.llm.prefixes import prefix_trie
 from spanloom.llm.sharding import shard_rows
 from spanloom.llm.topk import top_inner_products
 from spanloom.llm.warc import archive_report
@@ -69,6 +70,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_ids(docs).select("doc_id", "n_tokens", "ids", "parity", "round_trip")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations")).drop("digest")
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -77,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_language_id, op3_sharding, op4_jaccard_join, op5_secret_scan, op6_mixing, op7_topk, op8_near_duplicates,
-        op9_warc, op10_sentencepiece, op12_exact_dedup,
+        op9_warc, op10_sentencepiece, op11_prefix_trie, op12_exact_dedup,
     )
 }
 
@@ -102,6 +107,41 @@ ORACLES = {
             case when first is null or first = page_id then 'response' else 'revisit' end as record_type,
             case when first <> page_id then first end as refers_to
         from p left join f on digest = d""",
+    "op11_prefix_trie": r"""
+        with crc_table as (
+            select list(list_reduce([n::ubigint, 0, 0, 0, 0, 0, 0, 0, 0],
+                lambda x, step: case when x % 2 = 1 then xor(x // 2, 3988292384) else x // 2 end) order by n) as crcs
+            from range(256) r(n)
+        ), own as (
+            select conv_id as c, role, text, sha256(length(role) || ':' || role || text) as digest,
+                row_number() over (partition by conv_id order by turn nulls first, sha256(length(role) || ':' || role || text)) - 1 as place
+            from (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null)
+        ), convs as (
+            select c, c - c % 20 as base, xor(list_reduce(
+                    list_concat([4294967295::ubigint], list_transform(range(1, length(c::varchar) + 1), lambda i: ascii(substr(c::varchar, i, 1))::ubigint)),
+                    lambda x, b: xor(x // 256, crcs[(xor(x, b) % 256 + 1)::bigint])), 4294967295) % 4 as h
+            from (select distinct c from own), crc_table
+        ), turns as (
+            select convs.c, place, text, digest from convs join own on own.c = base where place < h
+            union all
+            select convs.c, place + 1000000, text, digest from convs join own using (c) where place >= h
+        ), prefixes as (
+            select c, row_number() over w as depth, string_agg(digest, '') over w as prefix,
+                len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as words
+            from turns window w as (partition by c order by place)
+            union all
+            select c, 0, '', 0 from convs
+        ), ends as (select c, max(depth) as n from prefixes group by c
+        ), nodes as (
+            select prefix, min(c) as conv_id, depth, count(*) as n_convs, any_value(words) as words,
+                sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where depth = n), '')) as ends_sha256
+            from prefixes join ends using (c) group by prefix, depth
+        ), children as (select left(prefix, -64) as parent, count(*) as n from nodes where depth > 0 group by 1)
+        select v.conv_id, v.depth::bigint as depth, p.conv_id as parent_conv_id, v.n_convs, coalesce(k.n, 0) as n_children,
+            count(*) filter (where l.parent is null) as n_leaves, sum((u.n_convs - 1) * u.words)::bigint as saved_tokens, v.ends_sha256
+        from nodes v join nodes u on starts_with(u.prefix, v.prefix) left join children l on l.parent = u.prefix
+            left join children k on k.parent = v.prefix left join nodes p on v.depth > 0 and p.prefix = left(v.prefix, -64)
+        group by v.conv_id, v.depth, p.conv_id, v.n_convs, k.n, v.ends_sha256""",
     "op12_exact_dedup": r"""
         with t as (
             select doc_id, length(coalesce(text, '')) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body
