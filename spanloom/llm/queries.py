@@ -12,6 +12,7 @@ from spanloom.llm.language import fit_language_model, held_out, identify_languag
 from spanloom.llm.mixing import mix_sources, words_taken
 from spanloom.llm.neardup import near_duplicates
 from spanloom.llm.pages import main_texts
+from spanloom.llm.phrases import collocations
 from spanloom.llm.pieces import piece_ids
 from spanloom.llm.prefixes import prefix_trie
 from spanloom.llm.sharding import shard_rows
@@ -78,11 +79,15 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction, op2_language_id, op3_sharding, op4_jaccard_join, op5_secret_scan, op6_mixing, op7_topk, op8_near_duplicates,
-        op9_warc, op10_sentencepiece, op11_prefix_trie, op12_exact_dedup,
+        op9_warc, op10_sentencepiece, op11_prefix_trie, op12_exact_dedup, op13_phrases,
     )
 }
 
@@ -150,4 +155,31 @@ ORACLES = {
         select doc_id, first_value(doc_id) over g as keep_id, count(*) over (partition by body) as group_size,
             doc_id = first_value(doc_id) over g as kept, sha256(body) as text_sha256
         from t window g as (partition by body order by points desc, doc_id)""",
+    "op13_phrases": r"""
+        with pieces as (
+            select coalesce(lang, 'und') as lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w
+            from (
+                select lang, unnest(regexp_split_to_array(
+                    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+                from documents
+            )
+        ), f as (
+            select lang, m, phrase, count(*) as a from (
+                select lang, m, array_to_string(w[s : s + m - 1], ' ') as phrase
+                from (select lang, w, unnest(range(1, len(w) + 1)) as s from pieces), range(1, 5) r(m) where s + m - 1 <= len(w)
+            ) group by all having count(*) >= 30
+        ), cuts as (
+            select f.lang, f.m, f.phrase, f.a, k, x.a as l, y.a as r, (2000000::hugeint * f.a // (x.a::hugeint + y.a))::bigint as score
+            from f join range(1, 4) t(k) on k < f.m
+                join f x on x.lang = f.lang and x.phrase = array_to_string(string_split(f.phrase, ' ')[1 : k], ' ')
+                join f y on y.lang = f.lang and y.phrase = array_to_string(string_split(f.phrase, ' ')[k + 1 :], ' ')
+        ), low as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+        ), inside as (
+            select lang, array_to_string(string_split(phrase, ' ')[s : s + j - 1], ' ') as phrase, max(a) as longer
+            from f, range(2, 4) t(j), range(1, 4) u(s) where j < m and s + j - 1 <= m group by 1, 2
+        )
+        select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+        from low left join inside using (lang, phrase) join (select lang, sum(len(w))::bigint as n from pieces group by lang) using (lang)
+        where longer is null or 100::hugeint * longer < 80::hugeint * a
+        qualify rank <= 2000""",
 }
