@@ -156,23 +156,25 @@ ORACLES = {
             doc_id = first_value(doc_id) over g as kept, sha256(body) as text_sha256
         from t window g as (partition by body order by points desc, doc_id)""",
     "op13_phrases": r"""
-        with pieces as (
+        with pieces as materialized (
             select coalesce(lang, 'und') as lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') as w
             from (
                 select lang, unnest(regexp_split_to_array(
                     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
                 from documents
             )
-        ), f as (
+        ), f as materialized (
             select lang, m, phrase, count(*) as a from (
-                select lang, m, array_to_string(w[s : s + m - 1], ' ') as phrase
-                from (select lang, w, unnest(range(1, len(w) + 1)) as s from pieces), range(1, 5) r(m) where s + m - 1 <= len(w)
+                select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda s: array_to_string(w[s : s + m - 1], ' '))) as phrase
+                from pieces, range(1, 5) r(m)
             ) group by all having count(*) >= 30
+        ), halves as (
+            select lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[1 : k], ' ') as head,
+                array_to_string(string_split(phrase, ' ')[k + 1 :], ' ') as rest
+            from f, range(1, 4) t(k) where k < m
         ), cuts as (
-            select f.lang, f.m, f.phrase, f.a, k, x.a as l, y.a as r, (2000000::hugeint * f.a // (x.a::hugeint + y.a))::bigint as score
-            from f join range(1, 4) t(k) on k < f.m
-                join f x on x.lang = f.lang and x.phrase = array_to_string(string_split(f.phrase, ' ')[1 : k], ' ')
-                join f y on y.lang = f.lang and y.phrase = array_to_string(string_split(f.phrase, ' ')[k + 1 :], ' ')
+            select h.lang, h.phrase, h.a, k, x.a as l, y.a as r, (2000000::hugeint * h.a // (x.a::hugeint + y.a))::bigint as score
+            from halves h join f x on x.lang = h.lang and x.phrase = head join f y on y.lang = h.lang and y.phrase = rest
         ), low as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
         ), inside as (
             select lang, array_to_string(string_split(phrase, ' ')[s : s + j - 1], ' ') as phrase, max(a) as longer
