@@ -15,6 +15,7 @@ Counts are added up within a task before they move. The bit table is the only th
 
 import re
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import chunks, mix, running_total, tidy, utf8, word_hashes
+from spanloom.llm.common import chunks, mix, running_total, tidy, utf8
 from spanloom.operators.skew import lookup_join
 from spanloom.staging import stage
 
@@ -46,6 +47,10 @@ _KIND[0x0A:0x0E] = 2
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SOME = np.uint64(0xD6E8FEB86659FD93)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_KEPT = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 _GAP = re.compile(rb"[\x20\x09.,;:!?\x0a-\x0d]")
 _AHEAD = re.compile(rb"(?:[\x20\x09]*[^\x20\x09.,;:!?\x0a-\x0d]+){0,%d}" % OVERLAP)
 
@@ -114,16 +119,25 @@ def _cut(data: np.ndarray, offsets: np.ndarray, cores: np.ndarray) -> tuple[np.n
     return row[first], stop - first, pa.StringArray.from_buffers(len(first), pa.py_buffer(bounds), pa.py_buffer(out))
 
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of an odd number and of its inverse modulo 2 ** 64; those for usual slices are kept."""
+    if n > len(_KEPT[0]):
+        size = max(n, 2 * WINDOW_BYTES)
+        up, down = (np.multiply.accumulate(np.full(size, x, np.uint64)) for x in (_BASE, _INVERSE))
+        if size > 2 * WINDOW_BYTES:
+            return up, down
+        _KEPT[:] = up, down
+    return _KEPT[0], _KEPT[1]
+
+
 def _word_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, by their bytes alone."""
-    length = ends - starts
-    at = np.cumsum(length) - length
-    bytes_ = data[np.repeat(starts - at, length) + np.arange(int(length.sum()))]
-    apart = np.full(len(bytes_) + len(length), 0x20, np.uint8)
-    keep = np.ones(len(apart), bool)
-    keep[at + length + np.arange(len(length))] = False
-    apart[keep] = bytes_
-    return word_hashes(apart, np.array([0, len(apart)]))[0]
+    """64-bit hashes of the words, by their bytes alone: differences of one running polynomial, moved to a common place."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts])
 
 
 def _windows(text: bytes) -> Iterator[tuple[bytes, int]]:
@@ -168,13 +182,13 @@ def parse_dictionary(docs: DataFrame) -> DataFrame:
 class _Phrases:
     """The phrases of some entries: values[n] are the hashes of n words from each word on, there[n] where they exist."""
 
-    def __init__(self, langs: np.ndarray, data: np.ndarray, offsets: np.ndarray, core: np.ndarray):
+    def __init__(self, langs: np.ndarray, data: np.ndarray, offsets: np.ndarray, core: np.ndarray, longest: int):
         self.starts, self.ends, self.row, _ = _words(data, offsets)
         first = np.searchsorted(self.row, np.arange(len(core)))
         self.core = np.arange(len(self.row)) - first[self.row] < core[self.row]
         words = _word_values(data, self.starts, self.ends)
         self.values, self.there = [words, mix(words ^ langs[self.row])], [None, np.ones(len(words), bool)]
-        for n in range(2, LONGEST + 1):
+        for n in range(2, longest + 1):
             last, there = _follow(words, self.row, n - 1)
             self.values.append(mix(self.values[-1] * _SOME + last))
             self.there.append(there)
@@ -196,25 +210,31 @@ class _Phrases:
         return pa.StringArray.from_buffers(len(at), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(out))
 
 
-def _entries(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, _Phrases]]:
-    """Entries in slices: languages, bytes, times, phrases."""
+def _entries(batch: pa.RecordBatch, longest: int = LONGEST) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, _Phrases]]:
+    """Entries in slices with their phrases of up to `longest` words: languages, bytes, times, phrases."""
     data, offsets = utf8(batch.column("words"))
     core, times = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("core", "times"))
     lang = batch.column("lang").dictionary_encode()
-    names = [b"\x00" + x.encode() for x in lang.dictionary.to_pylist()]
-    values = np.array([int(word_hashes(np.frombuffer(x.hex().encode(), np.uint8), np.array([0, 2 * len(x)]))[0][0]) for x in names], np.uint64)
+    values = np.array([int.from_bytes(sha256(x.encode()).digest()[:8]) for x in lang.dictionary.to_pylist()], np.uint64)
     langs = values[lang.indices.to_numpy()]
     for first, last in chunks(offsets, WINDOW_BYTES):
         part, bounds = data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
-        yield lang.slice(first, last - first), part, times[first:last], _Phrases(langs[first:last], part, bounds, core[first:last])
+        yield lang.slice(first, last - first), part, times[first:last], _Phrases(langs[first:last], part, bounds, core[first:last], longest)
 
 
 def _sums(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and their summed weights. Most weights are 1, and those keys need only be sorted; a key may come twice."""
     key, weight = np.concatenate(keys), np.concatenate(weights)
-    order = np.argsort(key, kind="stable")
-    key, weight = key[order], weight[order]
-    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else order
-    return key[begin], np.add.reduceat(weight, begin) if len(key) else weight
+    once = weight == 1
+    ones, rest, weight = np.sort(key[once]), key[~once], weight[~once]
+    begin = np.flatnonzero(np.concatenate(([True], ones[1:] != ones[:-1]))) if len(ones) else np.zeros(0, np.int64)
+    one, count = ones[begin], np.diff(np.append(begin, len(ones)))
+    if not len(rest):
+        return one, count
+    order = np.argsort(rest, kind="stable")
+    rest, weight = rest[order], weight[order]
+    begin = np.flatnonzero(np.concatenate(([True], rest[1:] != rest[:-1])))
+    return np.concatenate((one, rest[begin])), np.concatenate((count, np.add.reduceat(weight, begin)))
 
 
 def _hash_counter(lengths: list[int], table: Broadcast | None):
@@ -230,7 +250,7 @@ def _hash_counter(lengths: list[int], table: Broadcast | None):
             return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(weight)], ["phrase", "times"])
 
         for batch in batches:
-            for _, _, times, phrases in _entries(batch):
+            for _, _, times, phrases in _entries(batch, max(lengths)):
                 for n in lengths:
                     at = np.flatnonzero(phrases.core & (phrases.there[n] if bits is None else phrases.made_of(n, bits)))
                     keys.append(phrases.values[n][at])
