@@ -5,8 +5,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.text import (
     orient_span,
@@ -112,70 +114,132 @@ def snap_entities(entities: DataFrame, sections: DataFrame) -> DataFrame:
     )
 
 
-def overlap_clusters(spans: DataFrame, keys: list[str], block_chars: int = 65536) -> DataFrame:
-    """`cluster`: spans of a text that overlap, directly or through others, share the start of the first of them.
-
-    A cluster begins where a span starts at or after the end of every earlier one. The running maximum is taken
-    within blocks of the text and carried over from the blocks before, so a long text is not one task.
+def _unit_bounds(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """Rows of a sorted table at which the values of `keys` change, its first row and its end included."""
+    change = np.ones(table.num_rows + 1, bool)
+    change[1:-1] = False
+    for key in keys:
+        column = table.column(key).combine_chunks()
+        one, two = column[:-1], column[1:]
+        differ = pc.fill_null(pc.not_equal(one, two), False).to_numpy(zero_copy_only=False)
+        change[1:-1] |= differ | (one.is_null().to_numpy(zero_copy_only=False) != two.is_null().to_numpy(zero_copy_only=False))
+    return np.flatnonzero(change)
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Sorted rows in tables that hold whole units: rows with equal keys are never in two tables."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        if not table.num_rows:
+            continue
+        if held:
+            seam = pa.concat_tables([held[-1].slice(held[-1].num_rows - 1), table.slice(0, 1)])
+            if len(_unit_bounds(seam, keys)) > 2:
+                yield pa.concat_tables(held)
+                held = []
+        last = int(_unit_bounds(table, keys)[-2])
+        if last:
+            yield pa.concat_tables([*held, table.slice(0, last)])
+            held = []
+        held.append(table.slice(last))
+    if held:
+        yield pa.concat_tables(held)
+
+
+DROPPED, FREE, UNKNOWN = 0, 1, 2
+
+
+def _vote(start: np.ndarray, end: np.ndarray, known: np.ndarray, first: int, last: int) -> np.ndarray:
+    """What one block [first, last) of a text says about the spans that touch it.
+
+    DROPPED: overlaps a span that is kept. FREE: overlaps no better span that may be kept. UNKNOWN: it depends on spans
+    that reach into other blocks. Spans come by falling length, so an earlier one that overlaps a span covers one of the
+    span's ends within the block, and two marks per position suffice.
     """
-    blocked = spans.withColumn("_block", F.floor(F.col("start_idx") / block_chars))
-    order = [F.col("start_idx"), F.col("end_idx")]
-    before = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    blocks_before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-
-    ends = blocked.groupBy(*keys, "_block").agg(F.max("end_idx").alias("_end"))
-    ends = ends.withColumn("_carried_end", F.max("_end").over(blocks_before)).drop("_end")
-    flagged = blocked.join(ends, [*keys, "_block"]).withColumn(
-        "_first",
-        F.when(
-            F.col("start_idx") >= F.coalesce(F.greatest(F.max("end_idx").over(before), "_carried_end"), F.lit(-1)),
-            F.col("start_idx"),
-        ),
-    )
-    starts = flagged.groupBy(*keys, "_block").agg(F.max("_first").alias("_start"))
-    starts = starts.withColumn("_carried_start", F.max("_start").over(blocks_before)).drop("_start")
-    return (
-        flagged.join(starts, [*keys, "_block"])
-        .withColumn("cluster", F.coalesce(F.max("_first").over(upto), "_carried_start"))
-        .drop("_block", "_first", "_carried_end", "_carried_start")
-    )
-
-
-def resolve_overlaps(spans: DataFrame, keys: list[str] = SECTION, tie: str = "pos") -> DataFrame:
+    low, high = np.maximum(start, first), np.minimum(end, last)
+    base = int(low.min())
+    kept, open_ = np.zeros(int(high.max()) - base, bool), np.zeros(int(high.max()) - base, bool)
+    votes = np.full(len(start), FREE, np.int8)
+    inside = (start >= first) & (end <= last)
+    low, high = low - base, high - base
+    order = np.lexsort((start, start - end, ~known))
+    for k, a, b, sure in zip(order.tolist(), low[order].tolist(), high[order].tolist(), (known | inside)[order].tolist(), strict=True):
+        if kept[a] or kept[b - 1]:
+            votes[k] = DROPPED
+        elif open_[a] or open_[b - 1]:
+            votes[k] = UNKNOWN
+            open_[a:b] = True
+        elif sure:
+            kept[a:b] = True
+        else:
+            open_[a:b] = True
+    return votes
+
+
+def resolve_overlaps(
+    spans: DataFrame, keys: list[str] = SECTION, tie: str = "pos", block_chars: int = 1 << 20
+) -> DataFrame:
     """Keep the longest spans, earliest first among equals, and drop what overlaps a kept one.
 
-    Copies of a span are cut to one first (the smallest `tie` wins); then only spans of one overlap cluster can
-    compete, so the greedy choice runs per cluster and not per text. Single spans skip it.
+    Copies of a span are cut to one first (the smallest `tie` wins); spans without both ends, or empty ones, are left
+    out. Texts are cut in blocks of `block_chars`, and a task decides block after block, in one sweep by falling length,
+    all that does not depend on other blocks. A span that touches several blocks is kept when all of them find it free
+    and dropped when one of them drops it; what is still open then, and the spans just kept, go into the next round. Every
+    round decides at least the best open span of each text, and a dependency moves on by whole blocks, so texts below the
+    size of a block take one round and a long chain as many as it has blocks. A text of any size spreads over tasks.
+    Runs a job per round.
     """
     rest = [c for c in spans.columns if c not in (*keys, "start_idx", "end_idx")]
     payload = F.struct(tie, *[c for c in rest if c != tie])
-    distinct = (
+    size = F.lit(block_chars).cast("long")
+    unit = [*keys, "_block"]
+    place = [*keys, "start_idx", "end_idx"]
+
+    def touching(df: DataFrame) -> DataFrame:
+        blocks = F.sequence(F.floor(F.col("start_idx") / size), F.floor((F.col("end_idx") - 1) / size))
+        return df.withColumn("_blocks", F.size(blocks)).withColumn("_block", F.explode(blocks))
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _by_unit(batches, unit):
+            start, end, known, block = (table.column(c).to_numpy() for c in ("start_idx", "end_idx", "_known", "_block"))
+            start, end = start.astype(np.int64), end.astype(np.int64)
+            bounds = _unit_bounds(table, unit)
+            found = [
+                _vote(start[a:b], end[a:b], known[a:b], int(block[a]) * block_chars, (int(block[a]) + 1) * block_chars)
+                for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+            ]
+            yield from table.append_column("_vote", pa.array(np.concatenate(found).astype(np.int32))).to_batches()
+
+    unread = touching(
         spans.filter(F.col("start_idx") < F.col("end_idx"))
-        .groupBy(*keys, "start_idx", "end_idx")
+        .groupBy(*place)
         .agg(F.min_by(payload, F.col(tie)).alias("_payload"))
+        .withColumn("_known", F.lit(False))
     )
-    item = F.struct(
-        (F.col("start_idx") - F.col("end_idx")).alias("_neg_length"), F.col("start_idx"), F.col("end_idx"), "_payload"
-    )
-    clusters = (
-        overlap_clusters(distinct, keys)
-        .groupBy(*keys, "cluster")
-        .agg(F.array_sort(F.collect_list(item)).alias("items"))
-    )
-    element = clusters.schema["items"].dataType.elementType
-    kept = F.aggregate(
-        "items",
-        F.array().cast(f"array<{element.simpleString()}>"),
-        lambda kept, x: F.when(
-            F.exists(kept, lambda y: (y["start_idx"] < x["end_idx"]) & (x["start_idx"] < y["end_idx"])), kept
-        ).otherwise(F.array_append(kept, x)),
-    )
-    kept = F.when(F.size("items") == 1, F.col("items")).otherwise(kept)
-    columns = {c: F.col(f"x._payload.{c}") for c in rest} | {c: F.col(f"x.{c}") for c in ("start_idx", "end_idx")}
-    return clusters.select(*keys, F.explode(kept).alias("x")).select(
-        *[columns[c].alias(c) if c in columns else F.col(c) for c in spans.columns]
-    )
+    schema = T.StructType([*unread.schema.fields, T.StructField("_vote", T.IntegerType())])
+    result = None
+    while True:
+        dealt = unread.repartition(*unit).sortWithinPartitions(*unit)
+        voted = stage(dealt.mapInArrow(votes, schema))
+        whole = voted.filter("_blocks = 1 and not _known")
+        parts = (
+            voted.filter("_blocks > 1 and not _known").groupBy(*place)
+            .agg(F.any_value("_payload").alias("_payload"), F.min("_vote").alias("_least"), F.max("_vote").alias("_most"))
+        )
+        known = parts.filter(f"_least = {FREE} and _most = {FREE}")
+        kept = whole.filter(f"_vote = {FREE}").select(*place, "_payload").unionByName(known.select(*place, "_payload"))
+        result = kept if result is None else result.unionByName(kept)
+        unknown = whole.filter(f"_vote = {UNKNOWN}").select(*place, "_payload").unionByName(
+            parts.filter(f"_least > {DROPPED} and _most = {UNKNOWN}").select(*place, "_payload")
+        )
+        if unknown.isEmpty():
+            break
+        unread = touching(
+            unknown.withColumn("_known", F.lit(False)).unionByName(known.select(*place, "_payload").withColumn("_known", F.lit(True)))
+        )
+    columns = {c: F.col(f"_payload.{c}") for c in rest}
+    return result.select(*[columns[c].alias(c) if c in columns else F.col(c) for c in spans.columns])
 
 
 def token_spans(sections: DataFrame, pattern: str, ahead: int = 0) -> DataFrame:
