@@ -26,6 +26,25 @@ NOTE = "http://id.nlm.nih.gov/mesh/vocab#note"
 ENTITY_ITEM = "concat_ws(':', start_idx, end_idx, label, uri)"
 CONCEPT_KEY = "subject_uri, subject_label, predicate, object_uri, object_label"
 MENTION_KEY = "subject_text_span, subject_label, predicate, object_text_span, object_label"
+# All ordered pairs of a section's entities, marked in the text and classed by the rule of checks/queries.py.
+CLASSED_PAIRS = f"""with ends as (
+            select s.pmid, s.location, s.start_idx as s_start, o.start_idx as o_start, s.text_span as s_text, o.text_span as o_text,
+                s.label as s_label, o.label as o_label, s.uri as s_uri, o.uri as o_uri, text,
+                least(s.start_idx, o.start_idx) as a, least(s.end_idx, o.end_idx) as b,
+                greatest(s.start_idx, o.start_idx) as c, greatest(s.end_idx, o.end_idx) as d,
+                case when s.start_idx < o.start_idx then 'E1' else 'E2' end as one, case when s.start_idx < o.start_idx then 'E2' else 'E1' end as two
+            from fx_entities s join fx_entities o on s.pmid = o.pmid and s.location = o.location and s.start_idx <> o.start_idx
+                join fx_sections t on t.pmid = s.pmid and t.location = s.location
+        ), pairs as (
+            select *, substr(text, greatest(a - 100, 0) + 1, least(a, 100)) || '[' || one || ']' || substr(text, a + 1, b - a) || '[/' || one || ']'
+                || case when c - b > 200 then substr(text, b + 1, 100) || ' … ' || substr(text, c - 99, 100) else substr(text, b + 1, c - b) end
+                || '[' || two || ']' || substr(text, c + 1, d - c) || '[/' || two || ']' || substr(text, d + 1, 100) as marked
+            from ends
+        ), classed as (
+            select *, {CLASS_LIST}[1 + (strpos(marked, '[E1]') + 3 * strpos(marked, '[E2]') + 7 * length(marked)
+                + case when strpos(marked, '[E2]') > 1 then unicode(substr(marked, strpos(marked, '[E2]') - 1, 1)) else 0 end) % 18] as predicate
+            from pairs
+        )"""
 FIELDS = ("start_idx", "end_idx", "location", "text_span", "label", "uri")
 # Word characters as in the Spark expressions.
 W = r"[\p{L}\p{N}_]"
@@ -534,6 +553,18 @@ ORACLES = {
     "unseen_predicates": """
         select predicate || 's' as predicate, count(*) as n from fx_relations
         where cast(pmid as bigint) % 10 = 0 and predicate in ('strike', 'target') group by 1""",
+    "classify_pairs_in_context": f"""
+        {CLASSED_PAIRS}
+        select pmid, location, s_label as subject_label, o_label as object_label, predicate, count(*) as n,
+            sum(s_start::bigint * 31 + o_start)::bigint as starts
+        from classed group by all""",
+    "predict_relations_in_context": f"""
+        {CLASSED_PAIRS}
+        select pmid, s_text as subject, s_label as subject_label, predicate, o_text as object, o_label as object_label, count(*) as n
+        from classed where predicate <> 'no_relation' group by all
+        union all
+        select distinct pmid, s_uri, s_label, predicate, o_uri, o_label, null::bigint
+        from classed where predicate <> 'no_relation' and s_uri <> o_uri""",
     "label_pairs": "select * exclude t from fx_pairs where label <> 'no_relation'",
     "kb_definitions": f"""
         select d.s as uri, min(d.o) as definition from fx_triples d join fx_triples l on l.s = d.s and l.p = '{RDFS_LABEL}'

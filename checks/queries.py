@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from spanloom.functions import text as X
 from spanloom.functions import uris as U
 from spanloom.functions.uris import OBO
 from spanloom.models import classifier as C
+from spanloom.models.context import classify_in_context
 from spanloom.models.tagger import learn_gazetteer, tag_gazetteer
 from spanloom.operators import evaluate as G
 from spanloom.operators import kb as K
@@ -854,6 +856,44 @@ def predict_relations(v):
     return nested.select("pmid", "part", F.size("mention_level_relations").alias("n_mentions"), F.size("concept_level_relations").alias("n_concepts"))
 
 
+def _rule_scorer():
+    """A scorer without training: the class follows from where the markers stand, the length and what is before [E2]."""
+
+    def score(marked):
+        out = np.zeros((len(marked), 18))
+        for row, text in enumerate(marked):
+            one, two = text.index("[E1]") + 1, text.index("[E2]") + 1
+            before = ord(text[two - 2]) if two > 1 else 0
+            out[row, (one + 3 * two + 7 * len(text) + before) % 18] = 1.0
+        return out
+
+    return score
+
+
+@query
+def classify_pairs_in_context(v):
+    """Every ordered pair of entities of a section, marked in its text and scored, the unrelated ones included."""
+    pairs = classify_in_context(v.entities, v.sections, _rule_scorer, window=100, related_only=False)
+    return pairs.groupBy(*SECTION, "subject_label", "object_label", "predicate").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("subject_start_idx").cast("long") * 31 + F.col("object_start_idx")).alias("starts")
+    )
+
+
+@query
+def predict_relations_in_context(v):
+    """Mention relations with their number, and concept relations (n null), of pairs classified in their text."""
+    mentions, concepts = J.predict_relations_in_context(v.entities, v.sections, _rule_scorer, window=100)
+    counted = mentions.groupBy(*mentions.columns).agg(F.count(F.lit(1)).alias("n"))
+
+    def rows(relations, kind, n):
+        return relations.select(
+            "pmid", F.col(f"subject_{kind}").alias("subject"), "subject_label", "predicate", F.col(f"object_{kind}").alias("object"),
+            "object_label", n.alias("n"),
+        )
+
+    return rows(counted, "text_span", F.col("n")).unionByName(rows(concepts, "uri", F.lit(None).cast("long")))
+
+
 @query
 def ner_training_set(v):
     rels, _, _ = _matrix_inputs(v)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import normalise_surface
 from spanloom.functions.uris import EBI_DOMAIN, EDAM_DOMAIN, OBO_DOMAIN
 from spanloom.models.classifier import apply_classifier, candidate_pairs
+from spanloom.models.context import Scorer, classify_in_context
 from spanloom.models.tagger import learn_gazetteer, tag_gazetteer
 from spanloom.operators import kb as K
 from spanloom.operators.linking import link_mentions, link_trigrams
@@ -114,6 +115,18 @@ def predict_relations(entities: DataFrame, model) -> tuple[DataFrame, DataFrame]
     return mention_relations(classified), concept_relations(classified)
 
 
+def predict_relations_in_context(
+    entities: DataFrame, sections: DataFrame, make_scorer: Callable[[], Scorer], **settings
+) -> tuple[DataFrame, DataFrame]:
+    """Mention and concept relations by any scorer of marked texts (settings as of classify_in_context).
+
+    Sections that can have pairs are taken, each pair is marked in its text and scored, and the relations of the
+    classified pairs come out. Pairs without a relation are never stored.
+    """
+    classified = stage(classify_in_context(entities, sections, make_scorer, **settings))
+    return mention_relations(classified), concept_relations(classified)
+
+
 def ner_training_set(sections: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities on token boundaries without overlaps, and the filled cells of their relation matrix."""
     snapped = snap_entities(entities, sections)
