@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import chunks, mix, running_total, tidy, utf8
+from spanloom.llm.common import chunks, give_back, mix, running_total, tidy, utf8
 from spanloom.operators.skew import lookup_join
 from spanloom.staging import stage
 
@@ -38,7 +38,7 @@ WINDOW_BYTES = 1 << 20
 #: 32 MB of bits for frequent words, pairs and triples.
 TABLE_BITS = 1 << 28
 #: Hashes that a task adds up before it sends their counts.
-HELD = 1 << 21
+HELD = 1 << 22
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -240,7 +240,6 @@ def _sums(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray
 def _hash_counter(lengths: list[int], table: Broadcast | None):
     """Counts of hashed phrases of the given numbers of words, added up over HELD phrases at a time."""
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint64) if table else None
         keys, weights, held = [], [], 0
@@ -259,8 +258,10 @@ def _hash_counter(lengths: list[int], table: Broadcast | None):
                 if held >= HELD:
                     yield out()
                     keys, weights, held = [], [], 0
+                    give_back()
         if held:
             yield out()
+        give_back()
 
     return run
 
@@ -268,7 +269,6 @@ def _hash_counter(lengths: list[int], table: Broadcast | None):
 def _string_counter(table: Broadcast):
     """Counts of phrases as strings: those marked in the table, and of the longest those made of marked ones."""
 
-    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint64)
         tables, held = [], 0
@@ -293,8 +293,10 @@ def _string_counter(table: Broadcast):
                 if held >= HELD // 4:
                     yield out()
                     tables, held = [], 0
+                    give_back()
         if held:
             yield out()
+        give_back()
 
     return run
 
