@@ -39,6 +39,8 @@ WINDOW_BYTES = 1 << 20
 TABLE_BITS = 1 << 28
 #: Hashes that a task adds up before it sends their counts.
 HELD = 1 << 22
+#: Strings, which take more memory, that it adds up at a time.
+HELD_STRINGS = 1 << 19
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -290,7 +292,7 @@ def _string_counter(table: Broadcast):
                     part = pa.table(some, ["lang", "n", "phrase", "times"]).group_by(["lang", "n", "phrase"]).aggregate([("times", "sum")])
                     tables.append(part.select(["lang", "n", "phrase", "times_sum"]).rename_columns(["lang", "n", "phrase", "times"]))
                     held += len(part)
-                if held >= HELD // 4:
+                if held >= HELD_STRINGS:
                     yield out()
                     tables, held = [], 0
                     give_back()
