@@ -44,6 +44,7 @@ class Model:
     dummy_prefix: bool = True
     squeeze: bool = True
     escape: bool = True
+    bytes_of: tuple[bytes, ...] = ()
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -155,6 +156,7 @@ def _tools(data: bytes):
     import sentencepiece
 
     model = parse_model(data)
+    model.bytes_of = piece_bytes(model)
     return model, rebuild(model), sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
@@ -170,13 +172,13 @@ def encode_texts(data: bytes, texts: list[str | None]) -> tuple[list[list[int]],
     """Ids of each text, whether SentencePiece gives the same, and whether decoding gives the text back."""
     model, tokenizer, reference = _tools(data)
     if not splits_at_words(model):
-        return _verified(tokenizer, reference, [t or "" for t in texts])
+        return _verified(model, tokenizer, reference, [t or "" for t in texts])
     words = [split_words(t) if t else [] for t in texts]
     known, differ, lossy = _known(data)
     fresh = {w for row in words for w in row if w not in known}
     # a word's first space is the one the model puts in front; a word of nothing else is the marker alone
     new = [w for w in fresh if w != " "]
-    for w, ids, same, back in zip(new, *_verified(tokenizer, reference, [w[1:] for w in new]), strict=True):
+    for w, ids, same, back in zip(new, *_verified(model, tokenizer, reference, [w[1:] for w in new]), strict=True):
         known[w] = ids
         if not same:
             differ.add(w)
@@ -190,8 +192,8 @@ def encode_texts(data: bytes, texts: list[str | None]) -> tuple[list[list[int]],
         [list(chain.from_iterable(map(known.__getitem__, row))) for row in words],
         [not differ or differ.isdisjoint(row) for row in words], [not lossy or lossy.isdisjoint(row) for row in words],
     )
-    for w in list(known)[KNOWN:]:  # the words met first, mostly the frequent ones, stay
-        del known[w]
+    while len(known) > KNOWN:  # the words met first, mostly the frequent ones, stay
+        known.popitem()
     return out
 
 
@@ -201,11 +203,22 @@ def _known(data: bytes) -> tuple[dict[str, list[int]], set[str], set[str]]:
     return {}, set(), set()
 
 
-def _verified(tokenizer, reference, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
-    ids = [e.ids if t else [] for t, e in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True)]
+def piece_bytes(model: Model) -> tuple[bytes, ...]:
+    """What each piece stands for: its text with spaces for markers, or one byte."""
+    return tuple(
+        bytes([int(p[3:5], 16)]) if k == BYTE else p.replace(SPACE, " ").encode() if k in (NORMAL, UNUSED) else b"\xff"
+        for p, _, k in model.pieces
+    )
+
+
+def _verified(model: Model, tokenizer, reference, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
+    ids = [e.ids if t else [] for t, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
     want = reference.encode(texts, num_threads=1)
-    back = tokenizer.decode_batch(ids, skip_special_tokens=False)
-    return ids, [a == b for a, b in zip(ids, want, strict=True)], [a == b for a, b in zip(texts, back, strict=True)]
+    pieces = model.bytes_of
+    prefix = b" " if model.dummy_prefix else b""
+    # a space that the model put in front is no part of the text; of bytes that are no UTF-8, no text comes back
+    back = [b"".join([pieces[k] for k in row]).removeprefix(prefix) == t.encode() for t, row in zip(texts, ids, strict=True)]
+    return ids, [a == b for a, b in zip(ids, want, strict=True)], back
 
 
 def piece_ids(docs: DataFrame, path: str = MODEL) -> DataFrame:
