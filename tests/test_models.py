@@ -80,3 +80,41 @@ def test_long_surfaces_are_tagged(spark):
     sections = spark.createDataFrame([("1", "title", text)], "pmid string, location string, text string")
     surfaces = spark.createDataFrame([("one two three four five six seven eight", "drug"), ("two", "gene")], "surface string, label string")
     assert [(r.start_idx, r.end_idx, r.label) for r in tag_gazetteer(sections, surfaces).collect()] == [(4, len(text) - 4, "drug")]
+
+
+def test_gazetteer_of_any_length_equals_brute_force(spark):
+    import random
+    import re
+
+    from spanloom.models import tagger
+
+    rng = random.Random(5)
+    words = ["gut", "the", "axis", "-", "b", "Flora"]
+
+    def text(n):
+        return "".join(rng.choice(words) + rng.choice([" ", "  ", "\n"]) for _ in range(n)).strip()
+
+    texts = {str(k): text(400) for k in range(6)} | {"empty": "", "long": text(3000)}
+    cut = [t[m.start():] for t in texts.values() for m in list(re.finditer(tagger.TOKEN, t))[::41]]
+    surfaces = set()
+    for t in cut:
+        ends = [m.end() for m in re.finditer(tagger.TOKEN, t)]
+        surfaces |= {t[:ends[n - 1]].lower() for n in (1, 3, 7, 8, 9, 12, 40, 2000) if n <= len(ends)}
+    labels = {s: "drug" if len(s) % 2 else "food" for s in surfaces}
+    found = []
+    for key, t in texts.items():
+        spans = [m.span() for m in re.finditer(tagger.TOKEN, t)]
+        hits = [
+            (s, spans[i + n - 1][1]) for i, (s, _) in enumerate(spans) for n in (1, 3, 7, 8, 9, 12, 40, 2000)
+            if i + n <= len(spans) and t[s:spans[i + n - 1][1]].lower() in labels
+        ]
+        taken = []
+        for s, e in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
+            if all(e <= a or b <= s for a, b in taken):
+                taken.append((s, e))
+                found.append((key, s, e, t[s:e], labels[t[s:e].lower()]))
+    assert any(len(f[3]) > 4000 for f in found)
+    sections = spark.createDataFrame([(k, "title", t) for k, t in texts.items()], SECTIONS)
+    gazetteer = spark.createDataFrame(list(labels.items()), "surface string, label string")
+    got = tag_gazetteer(sections, gazetteer).drop("location")
+    assert sorted(map(tuple, got.collect())) == sorted(found)
