@@ -159,11 +159,11 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, s
 
     A row taken whole keeps its text as it is; of others the words taken are joined by a space. A row that the mixture
     takes nothing from gives no row, one taken n times gives n. Rows without words belong to no block and stay as they
-    are. n_chars follows the text. Runs jobs.
+    are. n_chars follows the text. Columns of docs may have any names. Runs jobs.
     """
-    kept = stage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    light = kept.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                        F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text").alias("_mark"), "_row")
+    kept = stage(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("_row")))
+    light = kept.select("doc.doc_id", "doc.source", F.coalesce(F.regexp_count("doc.text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+                        F.xxhash64(F.lit(seed), F.col("doc.doc_id").cast("string"), "doc.text").alias("_mark"), "_row")
     rows, pieces, slots = _mixture(stage(light), block, shards, seed)
     parts = pieces_taken(pieces, slots).groupBy("_row").agg(
         F.sort_array(F.collect_list(F.struct("start", "words", "times"))).alias("_parts"), F.max("times").alias("_most"), F.sum("words").alias("_reach"),
@@ -172,10 +172,11 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, s
     sized = rows.select("_row", "size").join(parts, "_row", "left").filter("_parts is not null or size = 0")
     laps = sized.withColumn("_lap", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("_most", F.lit(1)))))
     whole = F.col("_parts").isNull() | ((F.col("_reach") == F.col("size")) & (F.col("_least") >= F.col("_lap")))
-    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    words = F.filter(F.split("doc.text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     some = F.filter("_parts", lambda p: p["times"] >= F.col("_lap"))
     cut = F.array_join(F.flatten(F.transform(some, lambda p: F.slice("_words", (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
-    out = kept.join(laps, "_row").withColumn("_words", F.when(~whole, words)).withColumn("text", F.when(whole, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_parts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = kept.join(laps, "_row").withColumn("_words", F.when(~whole, words)).withColumn("_text", F.when(whole, F.col("doc.text")).otherwise(cut))
+    columns = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": F.col("_text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("_parts").isNull(), columns["n_chars"]).otherwise(F.length("_text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[columns[c].alias(c) for c in docs.columns])

@@ -1,7 +1,7 @@
 """WARC archives of pages: written as records with revisits, read back by a salvage reader.
 
-Writing: Spark's own text writer lays records end to end, one gzip stream per file. Of equal payloads of at least
-`least` bytes the one with the smallest page_id is stored, others are revisits of it.
+Writing: each record is a gzip member of its own; Spark's own text writer lays members end to end. Of equal payloads of
+at least `least` bytes the one with the smallest page_id is stored, others are revisits of it.
 
 Reading: a record must have a version line, headers, a length that fits, a closing blank line and a payload that matches
 its digest. After a failed check the reader searches for the next valid gzip member or version line, recovers the
@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = 100
-PER_FILE = 20_000
+#: Bytes of records, before compression, that one row of the writer holds, and rows of a file: together they bound a file.
+ROW_BYTES = 1 << 20
+PER_FILE = 128
 VERSION = b"WARC/1.1\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _MEMBER = b"\x1f\x8b\x08"
@@ -100,15 +102,20 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         if data.startswith(_MEMBER, at):
             unpack = zlib.decompressobj(31)
             out, reason, step, place = [], "", 1 << 16, at
-            try:
-                while not unpack.eof and place < len(data):
+            while not unpack.eof and place < len(data):
+                before = unpack.copy()
+                try:
                     out.append(unpack.decompress(data[place : place + step]))
-                    place += step
-                if not unpack.eof:
-                    reason = "member is cut off"
-            except zlib.error:
-                reason = "member is damaged"
+                except zlib.error:
+                    reason = "member is damaged"
+                    out.extend(_up_to_damage(before, data[place : place + step]))
+                    break
+                place += step
+            if not unpack.eof and not reason:
+                reason = "member is cut off"
             found = list(_plain(b"".join(out)))
+            if reason and found and isinstance(found[-1], Record):
+                found.pop()  # nothing behind it shows the damage, so it may be in there
             if reason and not any(isinstance(x, Record) for x in found):
                 bad, why = (at, reason) if bad < 0 else (bad, why)
                 at = _next_start(data, at + 1)
@@ -137,14 +144,55 @@ def salvage(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data), why)
 
 
+def _up_to_damage(unpack, data: bytes) -> Iterator[bytes]:
+    """What a step that fails as a whole gives byte by byte."""
+    try:
+        for k in range(len(data)):
+            yield unpack.decompress(data[k : k + 1])
+    except zlib.error:
+        return
+
+
 def _next_start(data: bytes, at: int) -> int:
     version, member = _VERSION.search(data, at), data.find(_MEMBER, at)
     return min([x for x in (version.start() if version else -1, member) if x >= 0], default=len(data))
 
 
+def _member(record: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(record) + packer.flush()
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records to rows of gzip members that lack a closing zero byte, which the writer adds as the end of a line.
+
+    A member ends in its record's length, little-endian, hence in a zero byte below 16 MB; behind longer ones an empty
+    member stands, which does.
+    """
+    def row(members: list[bytes]) -> pa.RecordBatch:
+        whole = b"".join(members)
+        whole = whole if whole.endswith(b"\0") else whole + _member(b"")
+        return pa.RecordBatch.from_arrays([pa.array([whole[:-1]], pa.binary())], ["value"])
+
+    members, size = [], 0
+    for batch in batches:
+        for record in batch.column("value"):
+            data = record.as_py()
+            members.append(_member(data))
+            size += len(data)
+            if size >= ROW_BYTES:
+                yield row(members)
+                members, size = [], 0
+    if members:
+        yield row(members)
+
+
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST, per_file: int = PER_FILE) -> None:
     """Write one record per row of pages (page_id, url, html) to gzip archives in a new folder that Spark can write.
 
+    Damage to an archive costs the records whose members it hits. A file holds at most `per_file` rows of members, each
+    ROW_BYTES of records and what the last of them goes beyond.
+
     A null html is an empty payload, a null url an own URN; line breaks in a url are dropped. A null page_id is written
     as an empty one; it never is the one that others refer to, unless no copy has an id.
     """
@@ -171,7 +219,8 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST, per_file:
         )).otherwise(""),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), end, end, block, end,
     )
-    told.select(record.alias("value")).write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(folder)
+    packed = told.select(F.concat(record, end).cast("binary").alias("value")).mapInArrow(_pack, "value binary")
+    packed.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", per_file).text(folder)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

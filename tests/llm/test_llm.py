@@ -20,7 +20,7 @@ from spanloom.llm.pages import common_lines, main_texts
 from spanloom.llm.pieces import MODEL, encode_texts, piece_ids, split_words
 from spanloom.llm.sharding import shard_rows
 from spanloom.llm.topk import top_inner_products
-from spanloom.llm.warc import Gap, Record, read_archives, salvage, write_archives
+from spanloom.llm.warc import Gap, Record, payload_of, read_archives, salvage, write_archives
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -427,3 +427,61 @@ def test_pipeline(spark):
 def test_mixture_blocks_are_used_evenly():
     drawn = mixing.draw_counts([100, 7, 0, 1], 6, 1)
     assert drawn.sum(0).tolist() == [100, 7, 0, 1] and (drawn >= 0).all()
+
+
+def test_salvage_of_damaged_own_archives(spark, tmp_path):
+    html = [f"<p>page {k} " + hashlib.sha256(str(k).encode()).hexdigest() * (1 + k % 30) for k in range(400)]
+    df = spark.createDataFrame([(k, f"u{k}", t) for k, t in enumerate(html)], "page_id long, url string, html string").coalesce(1)
+    write_archives(df, f"{tmp_path}/a")
+    [path] = [p for p in (tmp_path / "a").iterdir() if p.suffix == ".txt"]
+    data = path.read_bytes()
+    assert gzip.decompress(data).count(b"WARC-Type") == 400
+    for at in (len(data) // 3, len(data) // 2):
+        broken = bytearray(data)
+        broken[at] ^= 255
+        found = list(salvage(bytes(broken)))
+        kept = [payload_of(x.block).decode() for x in found if isinstance(x, Record)]
+        assert len(kept) == 399 and set(kept) < set(html)
+        gaps = [x for x in found if isinstance(x, Gap)]
+        assert gaps and gaps[0].start <= at < gaps[-1].end
+
+
+def test_long_records_and_rows_of_members(spark, tmp_path):
+    texts = ["q" * (17 << 20), "", *["r" * 300_000 + str(k) for k in range(9)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id int, html string").selectExpr("page_id", "null url", "html").coalesce(1)
+    write_archives(df, f"{tmp_path}/a", per_file=2)
+    got = read_archives(spark, f"{tmp_path}/a").collect()
+    assert all(r["reason"] is None for r in got) and {int(r["page_id"]): r["payload"].decode() for r in got} == dict(enumerate(texts))
+    assert len({r["file"] for r in got}) > 1
+
+
+def test_salvage_inside_one_long_member():
+    parts = [record(k, hashlib.sha256(bytes([k])).hexdigest().encode() * 40) for k in range(60)]
+    data = bytearray(gzip.compress(b"".join(parts)))
+    data[len(data) // 2] ^= 255
+    found = list(salvage(bytes(data)))
+    assert sum(isinstance(x, Record) for x in found) > 20 and any(isinstance(x, Gap) for x in found)
+
+
+def test_one_of_each_keeps_texts_that_share_a_doc_id(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(5, text + " more", 1), (5, "another text of its own with words that nothing else here has", 2), (3, text, 3), (None, None, 4), (None, None, 5), (5, "", 6), (5, text + " more", 7)]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, `_key.a` int").selectExpr("*", "1 as _key", "2 as doc", "3 as root")
+        kept = one_of_each(docs)
+        assert kept.columns == docs.columns
+        got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+        assert got == sorted([(3, text), (5, rows[1][1]), (5, ""), (0, "")])
+
+
+def test_stages_take_any_column_names(spark):
+    schema = "doc_id long, source string, text string, size int, `a.b` int, _row int, _words string, doc int, n_chars int"
+    rows = [(1, "a", "x y z", 7, 8, 9, "w", 3, 5), (2, None, None, 7, 8, 9, "w", 3, None), (3, "b", "", 7, 8, 9, "w", 3, 0)]
+    docs = spark.createDataFrame(rows, schema)
+    mixed = mixed_documents(docs, block=2)
+    assert mixed.columns == docs.columns
+    got = mixed.collect()
+    assert {(r["size"], r["a.b"], r["_row"], r["_words"], r["doc"]) for r in got} == {(7, 8, 9, "w", 3)}
+    assert {r["doc_id"] for r in got} == {1, 2, 3}
+    for stage_of in (redact_secrets, one_of_each, mixed_documents):
+        assert stage_of(docs.limit(0)).count() == 0 and stage_of(docs).columns == docs.columns
