@@ -14,6 +14,7 @@ run of copies may hold any share of the pages.
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from spanloom.llm.common import running_total
 from spanloom.operators.skew import lookup_join
 from spanloom.staging import stage
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>""", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_SPECIAL = re.compile(r"""[>"']""")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas audio video select".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -67,11 +69,59 @@ def _is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class _Tags:
+    """Comments and tags of a source, one after another, in time linear in it.
+
+    Where a tag ends is decided at its quotes and closing brackets; one that leads to no end is remembered, so that no
+    later tag follows it again.
+    """
+
+    def __init__(self, source: str):
+        self.source, self.size = source, len(source)
+        self.dead: set[int] = set()
+        self.from_, self.special = 0, -1  # the first special character at or behind from_
+        self.last_close = source.rfind(">")
+
+    def _end(self, at: int) -> int:
+        """The place of the bracket that closes a tag whose attributes begin at `at`, or -1."""
+        if not self.from_ <= at <= self.special:
+            m = _SPECIAL.search(self.source, at)
+            self.from_, self.special = at, m.start() if m else self.size
+        place, seen = self.special, []
+        while place < self.size and place not in self.dead:
+            if self.source[place] == ">":
+                return place
+            seen.append(place)
+            closing = self.source.find(self.source[place], place + 1)
+            if closing < 0:
+                break
+            m = _SPECIAL.search(self.source, closing + 1)
+            place = m.start() if m else self.size
+        self.dead.update(seen)
+        return -1
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next one; comments and the like have no name."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            if source.startswith("<!--", start):
+                end = source.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else self.size, "", "", ""
+            m = _TAG.match(source, start)
+            if m and (end := self._end(m.end())) >= 0:
+                return start, end + 1, m[1], m[2], source[m.end() : end]
+            if source[start + 1 : start + 2] in ("!", "?", "/") and start + 2 <= self.last_close:
+                return start, source.find(">", start + 2) + 1, "", "", ""
+            at = start + 1
+        return None
+
+
 def page_lines(source: str) -> list[tuple[str, bool, bool]]:
     """(text, in a declared article, in declared chrome) of each block with text, in page order."""
     out: list[tuple[str, bool, bool]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, opens an article, opens chrome
+    opened: Counter[str] = Counter()
     article = chrome = 0
 
     def end_line() -> None:
@@ -84,26 +134,28 @@ def page_lines(source: str) -> list[tuple[str, bool, bool]]:
     def pop_to(place: int) -> None:
         nonlocal article, chrome
         while len(stack) > place:
-            _, a, c = stack.pop()
+            name, a, c = stack.pop()
+            opened[name] -= 1
             article -= a
             chrome -= c
 
-    at, size = 0, len(source)
+    at, size, tags = 0, len(source), _Tags(source)
     while at < size:
-        m = _TOKEN.search(source, at)
-        if not m:
+        found = tags.after(at)
+        if not found:
             parts.append(html.unescape(source[at:]))
             break
-        if m.start() > at:
-            parts.append(html.unescape(source[at : m.start()]))
-        at = m.end()
-        if not m[2]:
+        start, end, slash, name, attributes = found
+        if start > at:
+            parts.append(html.unescape(source[at:start]))
+        at = end
+        if not name:
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name.lower()
+        if slash:
             if tag in BLOCK:
                 end_line()
-            for place in range(len(stack) - 1, -1, -1):
+            for place in range(len(stack) - 1, -1, -1) if opened[tag] > 0 else ():
                 if stack[place][0] == tag:
                     if any(s[0] in BLOCK or s[1] or s[2] for s in stack[place:]):
                         end_line()
@@ -111,14 +163,14 @@ def page_lines(source: str) -> list[tuple[str, bool, bool]]:
                     break
             continue
         if tag in RAW:
-            if not m[3].rstrip().endswith("/") or tag in ("script", "style"):
-                end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(source, at)
-                at = end.end() if end else size
+            if not attributes.rstrip().endswith("/") or tag in ("script", "style"):
+                m = re.compile(rf"</{re.escape(tag)}", re.I).search(source, at)
+                at = source.find(">", m.end()) + 1 or size if m else size
             continue
         if tag in BLOCK:
             end_line()
         closing = ONE_OF.get(tag, {"p"} if tag in CLOSES_P else set()) | ({"p"} if tag in CLOSES_P else set())
-        if closing:
+        if any(opened[c] > 0 for c in closing):
             for place in range(len(stack) - 1, -1, -1):
                 if stack[place][0] in closing:
                     pop_to(place)
@@ -128,10 +180,11 @@ def page_lines(source: str) -> list[tuple[str, bool, bool]]:
         if tag in VOID:
             continue
         is_article = tag in ("article", "main")
-        is_chrome = _is_chrome(tag, m[3], article > 0)
+        is_chrome = _is_chrome(tag, attributes, article > 0)
         if is_chrome:
             end_line()
         stack.append((tag, is_article, is_chrome))
+        opened[tag] += 1
         article += is_article
         chrome += is_chrome
     end_line()

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import time
 import random
 import re
 import zlib
@@ -16,7 +17,7 @@ from spanloom.llm.jaccard import jaccard_components, link_unit, one_of_each
 from spanloom.llm.language import LanguageModel, fit_language_model, held_out, identify_languages, predict, train
 from spanloom.llm.mixing import mix_sources, mixed_documents, permuted, targets, words_taken
 from spanloom.llm.neardup import near_duplicates
-from spanloom.llm.pages import common_lines, main_texts
+from spanloom.llm.pages import page_lines, common_lines, main_texts
 from spanloom.llm.pieces import MODEL, encode_texts, piece_ids, split_words
 from spanloom.llm.sharding import shard_rows
 from spanloom.llm.topk import top_inner_products
@@ -485,3 +486,16 @@ def test_stages_take_any_column_names(spark):
     assert {r["doc_id"] for r in got} == {1, 2, 3}
     for stage_of in (redact_secrets, one_of_each, mixed_documents):
         assert stage_of(docs.limit(0)).count() == 0 and stage_of(docs).columns == docs.columns
+
+
+@pytest.mark.parametrize("unit", ["<a ", "</ ", "<a '\"", "<script></script", "<h1>", '<a x="', "<!-"])
+def test_hostile_markup_is_read_in_linear_time(unit):
+    began = time.monotonic()
+    page_lines("<p>seen" + unit * (1_000_000 // len(unit)))
+    page_lines("<span>" * 50_000 + "</b>" * 50_000)
+    assert time.monotonic() - began < 20
+
+
+def test_markup_that_never_closes_is_text():
+    assert [x[0] for x in page_lines('<p>a <b c="d>e</b> f')] == ['a <b c="d>e f']
+    assert [x[0] for x in page_lines("a <!-- b <p>c")] == ["a"]
