@@ -53,45 +53,70 @@ def text_chunks(sections: DataFrame) -> DataFrame:
     )
 
 
+def out_of_range(entities: DataFrame, sections: DataFrame) -> DataFrame:
+    """Entities whose offsets leave their text, with `reason`: no text, no offsets, reversed or empty, before the text, behind it.
+
+    "before" and "behind" are clamped by attach_context; where nothing of the span is left, cleaning drops it and
+    snapping gives null offsets. Only the lengths of texts are joined.
+    """
+    start, end, size = F.col("start_idx"), F.col("end_idx"), F.col("_size")
+    reason = (
+        F.when(size.isNull(), "no text").when(start.isNull() | end.isNull(), "no offsets").when(start >= end, "reversed or empty")
+        .when(start < 0, "before").when(end > size, "behind")
+    )
+    sizes = sections.filter(F.col("text") != "").select(*SECTION, F.length("text").alias("_size"))
+    return entities.join(sizes, SECTION, "left").withColumn("reason", reason).filter("reason is not null").drop("_size")
+
+
 def attach_context(entities: DataFrame, sections: DataFrame) -> DataFrame:
     """Entities with `before`, `span` and `after`: the text of the span and beside it, as far as its words reach.
 
+    Offsets are clamped to the text: a start below 0 becomes 0, an end behind the text its length. A span that lies
+    wholly outside, has no offsets or no text keeps its row with an empty `span` (and its end at its start).
     Joined by chunk, not by section: a long text is spread over many keys, and no entity carries or searches the
     whole of it. Spans or words too long for that are looked up in the whole text, which is read again only if
     there are any. Stages the result.
     """
     start, end = F.col("start_idx"), F.col("end_idx")
+    entities = entities.withColumns({c: F.when(F.col(c) < 0, 0).otherwise(F.col(c)) for c in ("start_idx", "end_idx")})
     begin = start - F.col("piece_start")
-    fits = (end - start <= SPAN) & (start >= 0)
-    context = F.struct(
-        F.substring("piece", F.greatest(begin - CONTEXT, F.lit(0)) + 1, F.least(begin, F.lit(CONTEXT))).alias("before"),
-        F.substring("piece", begin + 1, end - start).alias("span"),
-        F.substring("piece", begin + 1 + end - start, F.lit(CONTEXT)).alias("after"),
-    )
+    fits = end - start <= SPAN
+    context = F.struct(*[
+        F.coalesce(part, F.lit("")).alias(name)
+        for name, part in {
+            "before": F.substring("piece", F.greatest(begin - CONTEXT, F.lit(0)) + 1, F.least(begin, F.lit(CONTEXT))),
+            "span": F.substring("piece", begin + 1, end - start),
+            "after": F.substring("piece", begin + 1 + end - start, F.lit(CONTEXT)),
+        }.items()
+    ])
     keyed = entities.withColumn("chunk", F.when(fits, F.floor(start / CHUNK)).otherwise(0).cast("int"))
-    joined = compute_once(keyed.join(text_chunks(sections), [*SECTION, "chunk"]), context)
+    joined = compute_once(keyed.join(text_chunks(sections), [*SECTION, "chunk"], "left"), context)
     whole_words = (word_before(F.col("before")) < CONTEXT) & (run_after(F.col("after")) < CONTEXT)
-    near = stage(joined.select(*entities.columns, "before", "span", "after", (fits & whole_words).alias("near")))
+    outside = F.col("piece").isNull() | start.isNull() | end.isNull()
+    seen = outside | (fits & (whole_words | (F.col("span") == "")))
+    near = stage(joined.select(*entities.columns, "before", "span", "after", seen.alias("near")))
     far = near.filter(~F.col("near"))
     near = near.filter("near").drop("near")
-    if far.isEmpty():
-        return near
-    text = F.col("text")
-    whole = attach_text(far.select(*entities.columns), sections).select(
-        *entities.columns,
-        F.substring(text, F.lit(1), start).alias("before"),
-        slice_text(text, start, end).alias("span"),
-        F.substring(text, end + 1, F.length(text)).alias("after"),
-    )
-    return near.unionByName(whole)
+    if not far.isEmpty():
+        text = F.col("text")
+        whole = attach_text(far.select(*entities.columns), sections).select(
+            *entities.columns,
+            F.substring(text, F.lit(1), start).alias("before"),
+            slice_text(text, start, end).alias("span"),
+            F.substring(text, end + 1, F.length(text)).alias("after"),
+        )
+        near = near.unionByName(whole)
+    size = F.length("span")
+    return near.withColumn("end_idx", F.when(size < end - start, start + size).otherwise(end))
 
 
 def clean_entities(entities: DataFrame, sections: DataFrame, strict: bool = False) -> DataFrame:
-    """Entities with repaired offsets and text_span; empty and invalid ones are dropped."""
+    """Entities with repaired offsets and text_span; empty and invalid ones are dropped, as are those outside their text."""
     start, end = F.col("start_idx"), F.col("end_idx")
     around = [F.col("before"), F.col("span"), F.col("after")]
     runs = F.struct("strip", "left", "right")
-    with_runs = compute_once(attach_context(entities.filter(start < end), sections), span_runs(*around))
+    inside = attach_context(entities.filter(start < end), sections).filter(F.col("span") != "")
+    with_runs = compute_once(inside, span_runs(*around))
     repaired = compute_once(with_runs, repair_span(*around, start, end, runs))
     shift = F.length("before") - start
     text_span = slice_text(F.concat(*around), shift + F.col("new_start"), shift + F.col("new_end"))
@@ -103,12 +128,11 @@ def snap_entities(entities: DataFrame, sections: DataFrame) -> DataFrame:
     """Entities widened to token boundaries, with `raw_start` kept; those touching no token have null offsets."""
     turned = orient_span(F.col("start_idx"), F.col("end_idx"))
     oriented = entities.withColumn("_o", turned).withColumns(
-        {"start_idx": F.col("_o.start_idx"), "end_idx": F.col("_o.end_idx")}
+        {"start_idx": F.col("_o.start_idx"), "end_idx": F.col("_o.end_idx"), "raw_start": F.col("_o.start_idx")}
     )
     snapped = snap_to_tokens(F.col("before"), F.col("span"), F.col("after"), F.col("start_idx"))
     return (
         compute_once(attach_context(oriented.drop("_o"), sections), snapped)
-        .withColumn("raw_start", F.col("start_idx"))
         .withColumns({"start_idx": F.col("new_start"), "end_idx": F.col("new_end")})
         .select(*entities.columns, "raw_start")
     )
