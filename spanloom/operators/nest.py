@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.schemas import CONCEPT_RELATION_KEY, MENTION_RELATION_KEY, SECTION
+from spanloom.staging import stage
 
 # A cell holds so many items of a list; further ones follow in the article's next row.
 PART_ITEMS = 50_000
@@ -34,19 +35,42 @@ def group_relations(relations: DataFrame) -> DataFrame:
     )
 
 
+def _parts_of(rows: DataFrame, columns: list[str], name: str, part_items: int) -> DataFrame:
+    """(pmid, part, sorted items). Copies of an item are counted first and repeated last, so they travel as one row.
+
+    Distinct items are range-partitioned by article and order: an article spans as many tasks as its share of the rows
+    asks, and what is added up across tasks is one count per task and article.
+    """
+    counted = rows.groupBy("pmid", *columns).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = stage(counted.repartitionByRange("pmid", *columns).withColumn("_task", F.spark_partition_id()))
+    earlier = Window.partitionBy("pmid").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy("pmid", "_task").agg(F.sum("_n").alias("_sum"))
+    base = base.select("pmid", "_task", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("pmid", "_task").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = dealt.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+    first = F.col("_base") + F.col("_at")
+    last = first + F.col("_n") - 1
+    reached = F.sequence(F.floor(first / part_items), F.floor(last / part_items))
+    begin, end = F.col("part") * part_items, (F.col("part") + 1) * part_items
+    copies = F.least(last + 1, end) - F.greatest(first, begin)
+    item = F.struct(F.struct(*columns).alias("item"), copies.cast("int").alias("copies"))
+    return (
+        numbered.join(base, ["pmid", "_task"])
+        .select("*", F.explode(reached).alias("part"))
+        .groupBy("pmid", F.col("part").cast("int").alias("part"))
+        .agg(F.sort_array(F.collect_list(item)).alias("_items"))
+        .select("pmid", "part", F.flatten(F.transform("_items", lambda x: F.array_repeat(x["item"], x["copies"]))).alias(name))
+    )
+
+
 def nest_lists(articles: DataFrame, lists: dict[str, tuple[DataFrame, list[str]]], part_items: int = PART_ITEMS) -> DataFrame:
     """(pmid, part, one sorted array per list): every article once, with empty arrays where it has no rows.
 
     `lists` gives the rows and item columns of each array. An article's items are numbered in their order and cut every
-    part_items: in order of `part` (0, 1, ..) its rows hold the whole list as sorted, copies included. Numbering and
-    grouping share one shuffle by pmid.
+    part_items: in order of `part` (0, 1, ..) its rows hold the whole list as sorted, copies included. No task sees
+    more of an article than a range of its items or one part. Runs a job per list.
     """
-    nested = []
-    for name, (rows, columns) in lists.items():
-        place = F.row_number().over(Window.partitionBy("pmid").orderBy(*columns))
-        items = F.sort_array(F.collect_list(F.struct(*columns))).alias(name)
-        numbered = rows.withColumn("part", F.floor((place - 1) / part_items).cast("int"))
-        nested.append(numbered.groupBy("pmid", "part").agg(items))
+    nested = [_parts_of(rows, columns, name, part_items) for name, (rows, columns) in lists.items()]
     parts = reduce(DataFrame.union, [n.select("pmid", "part") for n in nested])
     parts = parts.union(articles.select("pmid", F.lit(0).alias("part"))).distinct()
     for (name, _), rows in zip(lists.items(), nested):
