@@ -1,8 +1,9 @@
 """Linking mentions to concepts: by dictionary in three stages, or by the nearest vector."""
 
+import ahocorasick
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import normalise_surface
@@ -13,6 +14,9 @@ from spanloom.staging import stage
 SCORE_DIGITS = 6
 CONCEPT_BLOCK = 4096
 MENTION_BLOCK = 8192
+# Characters of a block of keys, and of the surfaces that make one automaton.
+KEY_CHARS = 1 << 20
+SURFACE_CHARS = 1 << 20
 
 
 def link_exact(keys: DataFrame, index: DataFrame) -> DataFrame:
@@ -29,39 +33,59 @@ def link_plural(keys: DataFrame, index: DataFrame) -> DataFrame:
     return singular.join(index.select("key", "uri"), "key").select(F.col("plural").alias("key"), "uri")
 
 
+def _in_every(df: DataFrame, n: DataFrame, name: str) -> DataFrame:
+    """Rows repeated for every block of the other table; `n` is its one-row table with their number."""
+    slots = F.sequence(F.lit(0).cast("bigint"), F.col(f"{name}s").cast("bigint") - 1)
+    return df.join(F.broadcast(n)).withColumn(name, F.explode(slots)).drop(f"{name}s")
+
+
+def _longest_inside(keys: pd.DataFrame, surfaces: pd.DataFrame) -> pd.DataFrame:
+    """The best surface of one block in each key of another that has any: one pass over a key by an automaton."""
+    best: list[int | None] = []
+    if len(keys) and len(surfaces):
+        surfaces = surfaces.sort_values(["len", "ord", "pos"], ascending=[False, True, True], ignore_index=True)
+        automaton = ahocorasick.Automaton()
+        for rank in range(len(surfaces) - 1, -1, -1):
+            automaton.add_word(surfaces["surface"][rank], rank)
+        automaton.make_automaton()
+        best = [min((rank for _, rank in automaton.iter(key)), default=None) for key in keys["key"]]
+    hit = [i for i, rank in enumerate(best) if rank is not None]
+    found = surfaces.iloc[[best[i] for i in hit]].reset_index(drop=True)
+    return found.assign(key=keys["key"].iloc[hit].to_numpy())[["key", "uri", "len", "ord", "pos"]]
+
+
 def link_substring(keys: DataFrame, index: DataFrame) -> DataFrame:
     """(key, uri) by the longest surface inside the key, the first in the vocabulary among equally long ones.
 
-    "Is a substring" becomes an equi-join: each key gives its substrings of the lengths that surfaces have.
+    Keys and surfaces are cut in hash blocks of a bounded number of characters; a task builds the automaton of one block
+    of surfaces and reads each key of one block once, so work is linear in keys and hits whatever lengths surfaces have,
+    and a key gives one row per block of surfaces that hits it. Keys are distinct; null or empty ones have no row.
+    `ord` and `pos` may be of any type that sorts and hold no nulls.
     """
-    # Distinct lengths are few; the array of them is one row.
-    lengths = index.agg(F.array_sort(F.collect_set("len")).alias("lens"))
-    pieces = (
-        keys.join(F.broadcast(lengths))
-        .select("key", F.explode(F.filter("lens", lambda n: n <= F.length("key"))).alias("n"))
-        .select("key", F.explode(F.sequence(F.lit(1), F.length("key") - F.col("n") + 1)).alias("at"), "n")
-        .select("key", F.expr("substring(key, at, n)").alias("piece"))
-        .distinct()
-    )
-    best = F.min_by("uri", F.struct(-F.col("len"), "ord", "pos")).alias("uri")
-    return (
-        pieces.join(index.withColumnRenamed("key", "piece"), "piece")
-        .groupBy("key")
-        .agg(best)
+    keys = keys.filter(F.col("key") != "").select("key")
+    surfaces = index.filter(F.col("key") != "").select(F.col("key").alias("surface"), "uri", "len", "ord", "pos")
+    left, n_left = _blocks(keys, "key", KEY_CHARS, "k_block", F.length("key"))
+    right, n_right = _blocks(surfaces, "surface", SURFACE_CHARS, "s_block", F.length("surface"))
+    grid = ["k_block", "s_block"]
+    hits = (
+        _in_every(left, n_right, "s_block").groupBy(*grid)
+        .cogroup(_in_every(right, n_left, "k_block").groupBy(*grid))
+        .applyInPandas(_longest_inside, "key string, " + ", ".join(f"{c} {kind}" for c, kind in surfaces.dtypes[1:]))
     )
+    return hits.groupBy("key").agg(F.min_by("uri", F.struct(-F.col("len"), "ord", "pos")).alias("uri"))
 
 
 def link_surfaces(surfaces: DataFrame, index: DataFrame) -> DataFrame:
     """(key, uri) of distinct keys: exact, then plural, then substring. Unlinked keys have a null uri.
 
-    One left join each for the two cheap stages; only what they leave goes to the third.
+    One left join each for the two cheap stages, staged; only what they leave goes to the third.
     """
     found = index.select("key", "uri")
     singular = found.select(F.col("key").alias("_singular"), F.col("uri").alias("_plural_uri"))
     cut = F.when(
         F.col("key").endswith("s") & (F.length("key") > 3), F.expr("substring(key, 1, length(key) - 1)")
     )
-    cheap = (
+    cheap = stage(
         surfaces.join(found, "key", "left")
         .withColumn("_singular", F.when(F.col("uri").isNull(), cut))
         .join(singular, "_singular", "left")
@@ -83,9 +107,10 @@ def link_mentions(entities: DataFrame, index: DataFrame) -> DataFrame:
     return lookup_join(keyed, linked, ["key"], "left").drop("key")
 
 
-def _blocks(df: DataFrame, id_col: str, rows: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with a hash block of about `rows` rows, and the one-row table with the number of blocks."""
-    n = df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / rows), F.lit(1)).cast("int").alias(f"{name}s"))
+def _blocks(df: DataFrame, id_col: str, size: int, name: str, weight: Column | int = 1) -> tuple[DataFrame, DataFrame]:
+    """Rows with a hash block of about `size` rows, or of that much weight, and the one-row table with the number of blocks."""
+    weight = F.lit(weight) if isinstance(weight, int) else weight
+    n = df.agg(F.greatest(F.ceil(F.sum(weight) / size), F.lit(1)).cast("int").alias(f"{name}s"))
     return df.join(F.broadcast(n)).withColumn(name, F.pmod(F.xxhash64(id_col), F.col(f"{name}s"))).drop(f"{name}s"), n
 
 
@@ -130,15 +155,11 @@ def link_cosine(mentions: DataFrame, concepts: DataFrame, dims: int | None = Non
     left, n_left = _blocks(mentions, "mention_id", MENTION_BLOCK, "m_block")
     right, n_right = _blocks(concepts, "concept_id", CONCEPT_BLOCK, "c_block")
 
-    def every(df: DataFrame, n: DataFrame, name: str) -> DataFrame:
-        slots = F.sequence(F.lit(0).cast("bigint"), F.col(f"{name}s").cast("bigint") - 1)
-        return df.join(F.broadcast(n)).withColumn(name, F.explode(slots)).drop(f"{name}s")
-
     id_types = dict(mentions.dtypes)["mention_id"], dict(concepts.dtypes)["concept_id"]
     per_block = (
-        every(left, n_right, "c_block")
+        _in_every(left, n_right, "c_block")
         .groupBy("m_block", "c_block")
-        .cogroup(every(right, n_left, "m_block").groupBy("m_block", "c_block"))
+        .cogroup(_in_every(right, n_left, "m_block").groupBy("m_block", "c_block"))
         .applyInPandas(
             lambda m, c: _nearest(m, c, dims), f"mention_id {id_types[0]}, concept_id {id_types[1]}, score double"
         )

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -78,3 +80,36 @@ def test_trigrams_of_one_bucket_are_told_apart(spark):
     got = {r.key: (r.uri, round(r.score, 6)) for r in L.link_trigrams(keys, spark.createDataFrame(concepts, "uri string, key string")).collect()}
     assert got == {m: (concepts[int(c.argmax())][0], c.max()) for m, c in cos.items()}
     assert got["zzz"] == ("u:00", 0.0)
+
+
+def test_substring_over_blocks_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(L, "KEY_CHARS", 300)
+    monkeypatch.setattr(L, "SURFACE_CHARS", 40)
+    rng = random.Random(4)
+
+    def word(n):
+        return "".join(rng.choice("ab\u00e9\U0001f9e0") for _ in range(n))
+
+    surfaces = sorted({word(rng.randint(1, 6)) for _ in range(60)} | {"a b", " ab "})
+    vocabulary = [(f"u:{i}", rng.randrange(5), i, s, len(s)) for i, s in enumerate(surfaces)]
+    keys = sorted({word(rng.randint(1, 30)) for _ in range(120)} | {"xyz", "", "x a b y"})
+    index = spark.createDataFrame(vocabulary, "uri string, ord int, pos int, key string, len int")
+    got = {r.key: r.uri for r in L.link_substring(spark.createDataFrame([*[(k,) for k in keys], (None,)], "key string"), index).collect()}
+    want = {}
+    for key in keys:
+        inside = [(-n, o, p, uri) for uri, o, p, s, n in vocabulary if s in key]
+        if inside:
+            want[key] = min(inside)[3]
+    assert got == want and len(want) > 100
+    assert L.link_substring(spark.createDataFrame([("a",)], "key string"), index.limit(0)).collect() == []
+    assert L.link_substring(spark.createDataFrame([], "key string"), index).collect() == []
+
+
+def test_substring_of_a_key_of_a_hundred_thousand_characters(spark):
+    """With surfaces of 2,000 lengths, each substring as a row would be 200 million rows of up to 2,000 characters."""
+    long = "".join(random.Random(1).choices("abcdefgh ", k=100_000))
+    vocabulary = [(f"u:{n}", n, 0, long[n : 2 * n], n) for n in range(1, 2001)]
+    index = spark.createDataFrame(vocabulary, "uri string, ord int, pos int, key string, len int")
+    keys = spark.createDataFrame([(long,), (long[:3999],), ("z" * 100_000,)], "key string")
+    got = {r.key: r.uri for r in L.link_substring(keys, index).collect()}
+    assert got == {long: "u:2000", long[:3999]: "u:1999"}
