@@ -1,12 +1,15 @@
 """Sampling and splitting. Order comes from md5 of a seed and the row's key, so results repeat anywhere."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.operators.relations import pair_counts, positive_pairs
 from spanloom.operators.reshape import allowed_entities
-from spanloom.operators.skew import hashed_rank
+from spanloom.operators.skew import hashed_rank, mark_lowest
 from spanloom.schemas import SECTION
+from spanloom.staging import stage
 from spanloom.vocab import NO_RELATION
 
 
@@ -38,22 +41,16 @@ def bootstrap(df: DataFrame, stratum: str, key: list[str], fractions: dict[str,
 
 
 def holdout_documents(documents: DataFrame, seed: int, fraction: float = 0.1, id_col: str = "pmid") -> DataFrame:
-    """(id, split): max(1, int(fraction * n)) distinct documents are dev, the rest train."""
-    ids = documents.select(id_col).distinct()
-    ranked = hashed_rank(ids, [], seeded(seed, id_col), "rank", [id_col])
-    size = F.greatest(F.floor(F.count(F.lit(1)) * fraction), F.lit(1)).alias("n_dev")
-    return ranked.join(F.broadcast(ids.agg(size))).select(
-        id_col, F.when(F.col("rank") <= F.col("n_dev"), "dev").otherwise("train").alias("split")
-    )
+    """(id, split): max(1, int(fraction * n)) distinct documents are dev, the rest train. Stages the ids."""
+    ids = stage(documents.select(id_col).distinct())
+    marked = mark_lowest(ids, seeded(seed, id_col), lambda n: max(math.floor(n * fraction), 1), [id_col], "_dev")
+    return marked.select(id_col, F.when(F.col("_dev"), "dev").otherwise("train").alias("split"))
 
 
 def split_rows(df: DataFrame, key: list[str], seed: int, test_size: float = 0.1) -> DataFrame:
     """Rows with `split`: ceil(test_size * n) of them test, the rest train. `key` identifies a row."""
-    ranked = hashed_rank(df, [], seeded(seed, *key), "_rank", key)
-    size = F.ceil(F.count(F.lit(1)) * test_size).alias("_n_test")
-    return ranked.join(F.broadcast(df.agg(size))).withColumn(
-        "split", F.when(F.col("_rank") <= F.col("_n_test"), "test").otherwise("train")
-    ).drop("_rank", "_n_test")
+    marked = mark_lowest(df, seeded(seed, *key), lambda n: math.ceil(n * test_size), key, "_test")
+    return marked.withColumn("split", F.when(F.col("_test"), "test").otherwise("train")).drop("_test")
 
 
 def relation_examples(

@@ -4,12 +4,18 @@ A key is hot when it holds more than 1/SHARE of all rows. Fewer than SHARE keys
 the list of hot keys may always be broadcast.
 """
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.staging import stage
 
 SHARE = 500
+# Rows of a prefix that are numbered in one sort, and hex digits a round of counting adds.
+PREFIX_ROWS = 1 << 16
+DIGITS = 3
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: int = SHARE) -> DataFrame:
@@ -77,14 +83,19 @@ def pair_join(left: DataFrame, right: DataFrame, keys: list[str], share: int = S
 
 
 def hashed_rank(
-    df: DataFrame, group: list[str], key: Column, name: str = "rank", tie: list[str] | None = None, digits: int = 3
+    df: DataFrame, group: list[str], key: Column, name: str = "rank", tie: list[str] | None = None, digits: int | None = None
 ) -> DataFrame:
     """1-based position of each row in its group when ordered by the md5 hex string `key`, then by `tie`.
 
     The same number as row_number() over the group, but no task sees a whole group: md5 spreads the rows evenly
     over prefixes of `digits` hex digits, rows are numbered within a prefix, and the counts of lower prefixes
-    (at most 16 ** digits per group) are added. An empty `group` ranks the whole table.
+    (at most 16 ** digits per group) are added. An empty `group` ranks the whole table. Without `digits` a job counts the
+    largest group, and a prefix of it holds one to sixteen times PREFIX_ROWS rows, or fewer where all are fewer.
     """
+    if digits is None:
+        counts = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+        largest = counts.agg(F.max("n")).first()[0] or 0
+        digits = max(1, int(math.log(max(largest / PREFIX_ROWS, 1), 16)))
     keyed = df.withColumn("_key", key).withColumn("_prefix", F.substring("_key", 1, digits))
     sizes = keyed.groupBy(*group, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     below = Window.partitionBy(*group).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
@@ -96,3 +107,39 @@ def hashed_rank(
         .withColumn(name, (F.col("_below") + F.col("_within")).cast("bigint"))
         .drop("_key", "_prefix", "_within", "_below")
     )
+
+
+def mark_lowest(df: DataFrame, key: Column, wanted: Callable[[int], int], tie: list[str], name: str = "lowest") -> DataFrame:
+    """Rows with `name`: whether they are among the wanted(n) of n rows that come first by the md5 hex string `key`.
+
+    The key at the cut is found by a histogram of prefixes, refined by DIGITS hex digits a round within the one prefix that
+    holds the cut: a round is a count of at most 16 ** DIGITS groups, and a dozen digits tell any table apart. Nothing is
+    sorted. Rows whose key equals the one at the cut are ordered by `tie`, which only matters where keys repeat. Runs a
+    job a round; df gives the same rows each time.
+    """
+    keyed = df.withColumn("_key", key)
+    prefix, left, total = "", None, None
+    while True:
+        head = F.substring("_key", 1, len(prefix) + DIGITS).alias("head")
+        counted = keyed.filter(F.col("_key").startswith(prefix)).groupBy(head).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_key").alias("low"), F.max("_key").alias("high")
+        )
+        bins = sorted(counted.collect())
+        if total is None:
+            total = sum(b.n for b in bins)
+            left = wanted(total)
+            if left <= 0 or left >= total:
+                return df.withColumn(name, F.lit(left > 0))
+        at = 0
+        while bins[at].n < left:
+            left -= bins[at].n
+            at += 1
+        found = bins[at]
+        if left == found.n:
+            return keyed.withColumn(name, F.col("_key") <= found.high).drop("_key")
+        if found.low == found.high:
+            break
+        prefix = found.head
+    tied = keyed.filter(F.col("_key") == found.low).withColumn(name, F.row_number().over(Window.orderBy(*tie)) <= left)
+    rest = keyed.filter(F.col("_key") != found.low).withColumn(name, F.col("_key") < found.low)
+    return rest.unionByName(tied).drop("_key")

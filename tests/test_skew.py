@@ -59,6 +59,37 @@ def test_rank_is_row_number(spark):
     assert sorted(alone.values()) == list(range(1, 901))
 
 
+def test_prefixes_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(W, "PREFIX_ROWS", 2)
+    rows = hot_rows(spark).withColumn("key", F.coalesce("key", F.lit("none")))
+    key = F.md5(F.col("id").cast("string"))
+    got = {r.id: (r["rank"], r.key) for r in W.hashed_rank(rows, ["key"], key).collect()}
+    want = {r.id: (r["rank"], r.key) for r in W.hashed_rank(rows, ["key"], key, digits=3).collect()}
+    assert got == want
+    assert W.hashed_rank(rows.limit(0), ["key"], key).collect() == []
+
+
+def test_lowest_by_histogram_is_row_number(spark, monkeypatch):
+    monkeypatch.setattr(W, "DIGITS", 1)
+    rows = spark.range(500)
+    key = F.md5(F.col("id").cast("string"))
+    order = [r.id for r in rows.orderBy(key).collect()]
+    for n in (0, 1, 7, 250, 499, 500, 900):
+        marked = W.mark_lowest(rows, key, lambda total: n, ["id"])
+        assert {r.id for r in marked.collect() if r.lowest} == set(order[:n])
+        assert "Window" not in marked._jdf.queryExecution().toString() and "Sort" not in marked._jdf.queryExecution().toString()
+    assert W.mark_lowest(rows.limit(0), key, lambda total: 1, ["id"]).collect() == []
+
+
+def test_lowest_among_equal_keys(spark):
+    rows = spark.range(90)
+    key = F.md5((F.col("id") % 3).cast("string"))
+    order = [r.id for r in rows.orderBy(key, "id").collect()]
+    for n in (10, 30, 45, 89):
+        got = W.mark_lowest(rows, key, lambda total: n, ["id"]).collect()
+        assert len(got) == 90 and {r.id for r in got if r.lowest} == set(order[:n])
+
+
 def test_relations_of_one_long_article(spark):
     labels = ["drug", "DDF", "gene"]
     ents = [("1", "abstract", f"u:{i % 60}", labels[i % 3]) for i in range(600)]
