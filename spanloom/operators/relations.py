@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.reshape import complete_relations
-from spanloom.operators.skew import pair_join
+from spanloom.operators.skew import tile_join
 from spanloom.schemas import CONCEPT_RELATION_KEY, MENTION_RELATION_KEY, SECTION
 from spanloom.vocab import NO_RELATION, PREDICATES, relation_schema
 
@@ -81,7 +81,7 @@ def schema_pairs(entities: DataFrame, columns: list[str], default_only: bool) ->
     schema = schema.filter("is_default").select(*rule, "predicate") if default_only else schema.select(*rule).distinct()
     columns = list(dict.fromkeys([*columns, "label"]))
     subjects = _side(entities, "subject", columns).join(F.broadcast(schema), "subject_label")
-    return pair_join(subjects, _side(entities, "object", columns), [*SECTION, "object_label"])
+    return tile_join(subjects, _side(entities, "object", columns), [*SECTION, "object_label"])
 
 
 def derive_relations(entities: DataFrame) -> DataFrame:

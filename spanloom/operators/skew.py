@@ -16,6 +16,8 @@ SHARE = 500
 # Rows of a prefix that are numbered in one sort, and hex digits a round of counting adds.
 PREFIX_ROWS = 1 << 16
 DIGITS = 3
+# Rows of either side that meet in one tile.
+TILE_ROWS = 2048
 
 
 def hot_keys(df: DataFrame, keys: list[str], share: int = SHARE) -> DataFrame:
@@ -82,6 +84,40 @@ def pair_join(left: DataFrame, right: DataFrame, keys: list[str], share: int = S
     return tiled(left, "_tl", "_tr").join(tiled(right, "_tr", "_tl"), [*keys, "_tl", "_tr"]).drop("_tl", "_tr")
 
 
+def tiles(left: DataFrame, right: DataFrame, keys: list[str], tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Both tables with `_tl` and `_tr`: equal keys and tiles meet about tile_rows rows of either side.
+
+    Only keys that make more than tile_rows ** 2 pairs are cut, each side in as many slots as it holds tile_rows, and its
+    rows are repeated for every slot of the other side. There may be as many such keys as rows / tile_rows, so their list
+    is staged and left to Spark's own size check, not broadcast. Slots are hashes of whole rows: rows should be distinct.
+    """
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+    pairs = F.col("_nl").cast("double") * F.col("_nr")
+    cuts = stage(
+        sizes(left, "_nl").join(sizes(right, "_nr"), keys).filter(pairs > float(tile_rows) ** 2)
+        .select(*keys, *[F.ceil(F.col(n) / tile_rows).cast("int").alias(w) for n, w in (("_nl", "_wl"), ("_nr", "_wr"))])
+    )
+
+    def tiled(df: DataFrame, own: str, other: str) -> DataFrame:
+        weight = {"_tl": F.coalesce("_wl", F.lit(1)), "_tr": F.coalesce("_wr", F.lit(1))}
+        return (
+            df.join(cuts, keys, "left")
+            .withColumn(own, _slot(df.columns, weight[own]))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), weight[other] - 1)))
+            .drop("_wl", "_wr")
+        )
+
+    return tiled(left, "_tl", "_tr"), tiled(right, "_tr", "_tl")
+
+
+def tile_join(left: DataFrame, right: DataFrame, keys: list[str], tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Inner join of two many-sided tables in which no task has to form much more than tile_rows ** 2 pairs of one key."""
+    one, two = tiles(left, right, keys, tile_rows)
+    return one.join(two, [*keys, "_tl", "_tr"]).drop("_tl", "_tr")
+
+
 def hashed_rank(
     df: DataFrame, group: list[str], key: Column, name: str = "rank", tie: list[str] | None = None, digits: int | None = None
 ) -> DataFrame:

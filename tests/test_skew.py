@@ -47,6 +47,22 @@ def test_pair_join_is_exact(spark):
     assert got == want
 
 
+def test_tiles_bound_the_pairs_of_a_hot_key(spark):
+    """One section of 3,000 rows among 30,000: shares of the table would not cut it, its pairs do."""
+    rows = spark.range(30_000).select("id", F.when(F.col("id") < 3000, F.lit(-1)).otherwise(F.col("id") % 5000).alias("key"))
+    rows = rows.unionByName(spark.createDataFrame([(30_001, None)], "id bigint, key bigint"))
+    left, right = rows.withColumnRenamed("id", "a"), rows.withColumnRenamed("id", "b")
+    one, two = W.tiles(left, right, ["key"], 100)
+    place = ["key", "_tl", "_tr"]
+    counts = one.groupBy(place).count().withColumnRenamed("count", "n").join(two.groupBy(place).count(), place)
+    pairs = counts.agg(F.max(F.col("n") * F.col("count")), F.sum(F.col("n") * F.col("count"))).first()
+    sizes = Counter(r.key for r in rows.collect() if r.key is not None)
+    assert pairs[0] <= 4 * 100**2 and pairs[1] == sum(n * n for n in sizes.values())
+    joined = W.tile_join(left, right, ["key"], 100)
+    assert joined.columns == ["key", "a", "b"]
+    assert joined.distinct().count() == joined.filter("a is not null").count() == pairs[1]
+
+
 def test_rank_is_row_number(spark):
     rows = hot_rows(spark).withColumn("key", F.coalesce("key", F.lit("none")))
     key = F.md5(F.col("id").cast("string"))
