@@ -394,6 +394,12 @@ ORACLES = {
         select pmid, 'gold' as tier, case when annotator like 'expert%' then title else 'copy ' || title end as title
         from fx_articles""",
     "src_articles_csv": "select pmid, title, md5(abstract) as abstract_md5 from fx_articles",
+    "src_articles_file": "select pmid, title, md5(abstract) as abstract_md5 from fx_articles",
+    "kb_uri_list": "select uri from fx_listed",
+    "kb_owl_triples": "select s, p, o from fx_triples",
+    "save_table": "select pmid, location, pos, start_idx, end_idx, text_span, label, uri from fx_entities",
+    "frequency_file": """
+        select subject_uri, subject_label, predicate, object_uri, object_label, count(*) as n from fx_relations group by all""",
     "src_first_n_docs": "select pmid, title from fx_articles order by pmid limit 100",
     "kb_ntriples": "select s, p, o from fx_triples",
     "kb_gene_json": """

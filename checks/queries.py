@@ -1,6 +1,7 @@
 """One query per operator, each over whole tables. Nested results are written as text so that they compare as values."""
 
 from collections.abc import Callable
+from uuid import uuid4
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,17 +23,25 @@ from spanloom.operators import relations as R
 from spanloom.operators import reshape as S
 from spanloom.operators import sampling as H
 from spanloom.operators import spans as E
+from spanloom.operators.kb import DEFINITION, EXACT_SYNONYM, LABEL, SYNONYM_PREDICATES
 from spanloom.plans import corpus as J
 from spanloom.schemas import SECTION
-from spanloom.sinks import submission_lines
+from spanloom.sinks import submission_lines, write_frequencies, write_table
 from spanloom.sources import concepts as SC
 from spanloom.sources import corpus as SD
-from spanloom.staging import compute_once, stage
+from spanloom.staging import compute_once, stage, staging_folder
 from spanloom.vocab import NO_RELATION
 
 SEED = 1337
 FRACTIONS = {"gold": 1.5, "silver_a": 1.0, "silver_b": 0.75, "bronze": 0.25}
 
+# The namespaces of ontology files.
+NAMESPACES = {
+    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "owl": "http://www.w3.org/2002/07/owl#",
+    "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "obo": "http://purl.obolibrary.org/obo/",
+    "oboInOwl": "http://www.geneontology.org/formats/oboInOwl#",
+}
+
 QUERIES: dict[str, Callable[[Views], DataFrame]] = {}
 
 
@@ -90,6 +99,60 @@ def src_articles_csv(v):
     )
 
 
+def _file(v, df: DataFrame, kind: str, **options) -> str:
+    """A folder of files of df in the shared folder, to be read back."""
+    path = f"{staging_folder(v.spark)}/spanloom-{uuid4().hex}"
+    df.write.format(kind).options(**options).save(path)
+    return path
+
+
+@query
+def src_articles_file(v):
+    """The articles written as pipe-separated files and read back."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    path = _file(v, v.articles.select("pmid", "title", "annotator", "abstract"), "csv", sep="|", header=True, quote='"', escape='"', **kept)
+    return SD.read_articles_csv(v.spark, path).select(
+        "pmid", F.coalesce("title", F.lit("")).alias("title"), F.md5(F.coalesce("abstract", F.lit(""))).alias("abstract_md5")
+    )
+
+
+@query
+def kb_uri_list(v):
+    """Lists with a header line each, lines ending in spaces."""
+    padded = v.listed.select(F.concat("uri", F.lit("  ")).alias("uri"))
+    return SC.read_uri_list(v.spark, _file(v, padded, "csv", header=True, quote="", sep="\u0001", ignoreTrailingWhiteSpace=False))
+
+
+@query
+def kb_owl_triples(v):
+    """Triples written as classes of RDF/XML files and read back; one element may hold one triple of its class."""
+    tags = {
+        "rdfs:label": LABEL, "obo:IAO_0000115": DEFINITION, "obo:IAO_0000118": SYNONYM_PREDICATES["stato"],
+        "oboInOwl:hasExactSynonym": EXACT_SYNONYM, "oboInOwl:hasSynonym": SYNONYM_PREDICATES["foodon"],
+    }
+    classes = v.triples.select(F.col("s").alias("_rdf:about"), *[F.when(F.col("p") == p, F.col("o")).alias(tag) for tag, p in tags.items()])
+    names = " ".join(f'xmlns:{prefix}="{uri}"' for prefix, uri in NAMESPACES.items())
+    return SC.read_owl(v.spark, _file(v, classes, "xml", rowTag="owl:Class", rootTag=f"rdf:RDF {names}")).select("s", "p", "o")
+
+
+@query
+def save_table(v):
+    """Mentions as a table written and read back."""
+    path = f"{staging_folder(v.spark)}/spanloom-{uuid4().hex}"
+    write_table(v.entities, path)
+    return v.spark.read.parquet(path).select(*SECTION, "pos", "start_idx", "end_idx", "text_span", "label", "uri")
+
+
+@query
+def frequency_file(v):
+    """Triple frequencies written as semicolon-separated files and read back."""
+    path = f"{staging_folder(v.spark)}/spanloom-{uuid4().hex}"
+    write_frequencies(v.relations, path)
+    columns = ["subject_uri", "subject_label", "predicate", "object_uri", "object_label"]
+    read = v.spark.read.csv(path, sep=";", header=True, schema=", ".join(f"{c} string" for c in columns) + ", n bigint", enforceSchema=True)
+    return read
+
+
 @query
 def src_first_n_docs(v):
     return SD.first_documents(v.articles.select("pmid", "title"), 100)
