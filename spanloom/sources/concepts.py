@@ -9,6 +9,14 @@ from spanloom.operators.kb import DEFINITION, EXACT_SYNONYM, LABEL, SYNONYM_PRED
 from spanloom.schemas import GENE_RECORD, OWL_CLASS, SNOMED_CONCEPT
 
 SKIPPED_ONTOLOGIES = ["omit"]
+# Elements of an OWL class and the predicates they state.
+OWL_TAGS = {
+    "rdfs:label": LABEL,
+    "obo:IAO_0000115": DEFINITION,
+    "obo:IAO_0000118": SYNONYM_PREDICATES["stato"],
+    "oboInOwl:hasExactSynonym": EXACT_SYNONYM,
+    "oboInOwl:hasSynonym": SYNONYM_PREDICATES["foodon"],
+}
 
 
 def read_uri_list(spark: SparkSession, path: str) -> DataFrame:
@@ -28,19 +36,11 @@ def read_owl(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("ontology", F.lower(_file_stem()))
         .filter(~F.col("ontology").isin(SKIPPED_ONTOLOGIES))
     )
-    predicates = {
-        "rdfs:label": LABEL,
-        "obo:IAO_0000115": DEFINITION,
-        "obo:IAO_0000118": SYNONYM_PREDICATES["stato"],
-        "oboInOwl:hasExactSynonym": EXACT_SYNONYM,
-        "oboInOwl:hasSynonym": SYNONYM_PREDICATES["foodon"],
-    }
-
     def objects(tag: str, predicate: str):
         values = F.coalesce(f"`{tag}`", F.array())
         return F.transform(values, lambda v: F.struct(F.lit(predicate).alias("p"), v["_VALUE"].alias("o")))
 
-    values = F.flatten(F.array(*[objects(*item) for item in predicates.items()]))
+    values = F.flatten(F.array(*[objects(*item) for item in OWL_TAGS.items()]))
     return (
         classes.select("ontology", F.col("`_rdf:about`").alias("s"), F.explode(values).alias("x"))
         .select("ontology", "s", "x.p", "x.o")

@@ -5,7 +5,7 @@ import pytest
 from spanloom.operators import kb as K
 from spanloom.operators import nest as N
 from spanloom.operators import reshape as S
-from spanloom.sinks import write_frequencies, write_submission, write_table
+from spanloom.sinks import write_frequencies, write_owl, write_submission, write_table
 from spanloom.sources import concepts as SC
 from spanloom.sources import corpus as SD
 
@@ -115,6 +115,12 @@ def test_owl(spark, tmp_path):
     assert {r.uri[31:]: r.definition for r in K.query_definitions(triples, uris).collect()} == {"UBERON_1": "a tube", "FOODON_1": "a tube"}
 
 
+def test_owl_round_trip(spark, tmp_path):
+    rows = [(f"http://u/{k}", p, o) for k, (p, o) in enumerate([*((p, "a <b> & \"c\"") for p in SC.OWL_TAGS.values()), (K.LABEL, "é 𝒳")])]
+    write_owl(spark.createDataFrame(rows, "s string, p string, o string"), str(tmp_path / "o"))
+    assert sorted(map(tuple, SC.read_owl(spark, str(tmp_path / "o")).select("s", "p", "o").collect())) == sorted(rows)
+
+
 def test_ntriples(spark, tmp_path):
     put(tmp_path / "m.nt", '# note\n<http://s> <http://p> "say \\"hi\\" \\u00e9"@en .\n_:b <http://p> <http://o> .\n'
         '<http://s> <http://p> "5"^^<http://int> . # end\n')
