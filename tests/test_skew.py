@@ -124,3 +124,12 @@ def test_relations_of_one_long_article(spark):
 def test_alias_pairs_of_one_large_concept(spark):
     kb = spark.createDataFrame([("u", f"a{i}") for i in range(60)] + [("v", "x"), ("v", "x"), ("w", "y"), ("w", "z")], "uri string, surface string")
     assert alias_pairs(kb).count() == 60 * 59 // 2 + 1
+
+
+def test_tile_join_is_dealt_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(W, "TASK_PAIRS", 100)
+    kb = spark.createDataFrame([(f"u{k}", f"a{i}") for k in range(5) for i in range(40)], "uri string, surface string")
+    pairs = alias_pairs(kb)
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == pairs.distinct().count() == 5 * 40 * 39 // 2
+    assert alias_pairs(kb.limit(0)).count() == 0
