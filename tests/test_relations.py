@@ -71,6 +71,17 @@ def test_negative_sampling_sizes(spark):
         assert set(negatives) <= set(possible)
 
 
+def test_examples_shuffle_once(spark):
+    ents = entities(spark, [(0, 2), (0, 2), (5, 7), (5, 8), (9, 11)])
+    rels = relations(spark, [(0, "target", 5), (5, "unheard of", 9), (0, "affect", 9), (0, "impact", 9)])
+    examples = H.relation_examples(ents, rels, seed=5)
+    positive = Counter((r.s_pos, r.o_pos, r.label) for r in examples.collect() if r.label != NO_RELATION)
+    gold = R.positive_pairs(ents, rels).collect()
+    assert positive == Counter((r.s_pos, r.o_pos, r.label) for r in gold) and len(gold) == 6
+    plan = H.relation_examples(ents, rels, seed=5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_complete_relations(spark):
     fields = "pmid string, subject_uri string, subject_label string, predicate string, object_uri string, object_label string"
     good = ("1", "u", "drug", "impact", "v", "bacteria")
