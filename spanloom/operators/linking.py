@@ -14,6 +14,8 @@ from spanloom.staging import stage
 SCORE_DIGITS = 6
 CONCEPT_BLOCK = 4096
 MENTION_BLOCK = 8192
+# Mentions of a block whose cosines are in memory at once.
+MENTIONS_AT_ONCE = 512
 # Characters of a block of keys, and of the surfaces that make one automaton.
 KEY_CHARS = 1 << 20
 SURFACE_CHARS = 1 << 20
@@ -127,18 +129,21 @@ def _unit_rows(block: pd.DataFrame, side: str, dims: int | None) -> np.ndarray:
 
 
 def _nearest(mentions: pd.DataFrame, concepts: pd.DataFrame, dims: int | None) -> pd.DataFrame:
-    """Best concept of one block for each mention of another, by one matrix product."""
+    """Best concept of one block for each mention of another, by a matrix product for every MENTIONS_AT_ONCE."""
     if mentions.empty or concepts.empty:
         return pd.DataFrame(columns=["mention_id", "concept_id", "score"])
     concepts = concepts.sort_values("concept_id")
-    cosines = _unit_rows(mentions, "mention", dims) @ _unit_rows(concepts, "concept", dims).T
-    scores = np.round(cosines, SCORE_DIGITS)
-    best = scores.argmax(axis=1)
-    return pd.DataFrame({
-        "mention_id": mentions["mention_id"].to_numpy(),
-        "concept_id": concepts["concept_id"].to_numpy()[best],
-        "score": scores[np.arange(len(best)), best],
-    })
+    names, units = concepts["concept_id"].to_numpy(), _unit_rows(concepts, "concept", dims).T
+    found = []
+    for at in range(0, len(mentions), MENTIONS_AT_ONCE):
+        part = mentions.iloc[at:at + MENTIONS_AT_ONCE]
+        scores = _unit_rows(part, "mention", dims) @ units
+        np.round(scores, SCORE_DIGITS, out=scores)
+        best = scores.argmax(axis=1)
+        found.append(pd.DataFrame({
+            "mention_id": part["mention_id"].to_numpy(), "concept_id": names[best], "score": scores[np.arange(len(best)), best],
+        }))
+    return pd.concat(found, ignore_index=True)
 
 
 def link_cosine(mentions: DataFrame, concepts: DataFrame, dims: int | None = None) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from spanloom.operators import kb as K
@@ -113,3 +115,18 @@ def test_substring_of_a_key_of_a_hundred_thousand_characters(spark):
     keys = spark.createDataFrame([(long,), (long[:3999],), ("z" * 100_000,)], "key string")
     got = {r.key: r.uri for r in L.link_substring(keys, index).collect()}
     assert got == {long: "u:2000", long[:3999]: "u:1999"}
+
+
+def test_cosines_of_a_block_are_never_all_in_memory():
+    vectors = np.random.default_rng(1).normal(size=(6000, 8))
+    mentions = pd.DataFrame({"mention_id": np.arange(4096), "mention_vector": list(vectors[:4096])})
+    concepts = pd.DataFrame({"concept_id": np.arange(1904), "concept_vector": list(vectors[4096:])})
+    tracemalloc.start()
+    got = L._nearest(mentions, concepts, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4096 * 1904 * 8 / 2
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    want = np.round(units[:4096] @ units[4096:].T, L.SCORE_DIGITS)
+    assert got["mention_id"].tolist() == list(range(4096))
+    assert got["concept_id"].tolist() == want.argmax(1).tolist() and np.allclose(got["score"], want.max(1), atol=2e-6)
