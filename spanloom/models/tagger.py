@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import WORD, normalise_surface
+from spanloom.operators.skew import hot_keys, lookup_join
 from spanloom.operators.spans import attach_context, resolve_overlaps, token_spans
 from spanloom.schemas import SECTION
 from spanloom.staging import stage
@@ -16,6 +17,8 @@ TOKEN = r"\w+|[^\w\s]"
 JVM_TOKEN = rf"{WORD}+|[^\p{{L}}\p{{N}}_\s\p{{Z}}\x1c-\x1f\x85]"
 #: Tokens whose text a token's row carries.
 AHEAD = 8
+#: One in so many sections is read beforehand for the most frequent tokens.
+SHARE_OF = 64
 TAGGED = "pmid string, location string, start_idx int, end_idx int, text_span string, label string"
 
 
@@ -35,8 +38,8 @@ def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame, max_tokens: int | N
     Only tokens that begin a surface are looked at, and only at the lengths such surfaces have; `max_tokens`, if given,
     leaves out longer surfaces. A token's row carries at most AHEAD tokens, however long surfaces are: of a longer
     surface the first AHEAD tokens are looked up, and only where they stand is the rest read. Overlaps are resolved
-    longest first. Tables joined are unique on their key, so adaptive execution splits the tokens of frequent words
-    between tasks. Runs jobs.
+    longest first. Frequent tokens, as counted in one section of SHARE_OF, are dropped where they begin no surface and
+    spread over tasks where they do; that count decides only how rows travel. Runs jobs.
     """
     words = F.regexp_extract_all("surface", F.lit(JVM_TOKEN), F.lit(0))
     entries = stage(gazetteer.select(
@@ -51,9 +54,13 @@ def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame, max_tokens: int | N
         *SECTION, "pos", "start_idx", F.lower("token").alias("first"),
         *([F.col("ends"), F.col("text")] if longest > 1 else [F.array("end_idx").alias("ends"), F.col("token").alias("text")]),
     )
+    few = token_spans(sections.filter(F.pmod(F.xxhash64(*SECTION), F.lit(SHARE_OF)) == 0), TOKEN).select(F.lower("token").alias("first"))
+    frequent = stage(hot_keys(few, ["first"]).join(starts.withColumn("begins", F.lit(True)).drop("ns"), "first", "left"))
+    hot = frequent.filter("begins").drop("begins")
     end = F.col("ends")[F.col("n") - 1]
+    useful = tokens.join(F.broadcast(frequent.filter("begins is null").select("first")), "first", "left_anti")
     spans = (
-        tokens.join(starts, "first")
+        lookup_join(useful, starts, ["first"], hot=hot)
         .withColumn("n", F.explode("ns"))
         .filter(F.col("n") <= F.size("ends"))
         .select(
@@ -63,7 +70,10 @@ def tag_gazetteer(sections: DataFrame, gazetteer: DataFrame, max_tokens: int | N
     )
     if longest > AHEAD:
         spans = spans.unionByName(_long_spans(sections, tokens, entries.filter(F.col("n") > AHEAD)))
-    tagged = spans.withColumn("surface", F.lower("text_span")).join(entries.select("surface", "label"), "surface").drop("surface")
+    # A frequent surface of one token is a frequent token.
+    hot = hot.withColumnRenamed("first", "surface")
+    surfaces = spans.withColumn("surface", F.lower("text_span"))
+    tagged = lookup_join(surfaces, entries.select("surface", "label"), ["surface"], hot=hot).drop("surface")
     return resolve_overlaps(tagged).select(*SECTION, "start_idx", "end_idx", "text_span", "label")
 
 

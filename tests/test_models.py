@@ -118,3 +118,20 @@ def test_gazetteer_of_any_length_equals_brute_force(spark):
     gazetteer = spark.createDataFrame(list(labels.items()), "surface string, label string")
     got = tag_gazetteer(sections, gazetteer).drop("location")
     assert sorted(map(tuple, got.collect())) == sorted(found)
+
+
+def test_frequent_tokens_are_dropped_or_spread(spark, monkeypatch):
+    from spanloom.models import tagger as M
+
+    sections = spark.createDataFrame([(str(i), "title", "Gut . . gut ! w%d gut flora ." % i) for i in range(40)], SECTIONS)
+    gazetteer = spark.createDataFrame([("gut", "food"), ("gut flora", "microbiome"), ("w7", "gene")], "surface string, label string")
+    joined = []
+    monkeypatch.setattr(M, "SHARE_OF", 1)
+    monkeypatch.setattr(M, "lookup_join", lambda rows, *a, real=M.lookup_join, **k: (joined.append((rows, k["hot"])), real(rows, *a, **k))[1])
+    got = sorted((int(r.pmid), r.start_idx, r.text_span, r.label) for r in tag_gazetteer(sections, gazetteer).collect())
+    want = [(i, 0, "Gut", "food") for i in range(40)] + [(i, 8, "gut", "food") for i in range(40)] + [(7, 14, "w7", "gene")]
+    want += [(i, 15 + len(f"w{i}"), "gut flora", "microbiome") for i in range(40)]
+    assert got == sorted(want)
+    tokens, hot = joined[0]
+    assert "gut" in {r.first for r in hot.collect()} <= {"gut", "w7"}
+    assert tokens.filter("first in ('.', '!')").count() == 0
