@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import normalise_surface
-from spanloom.operators.skew import lookup_join, pair_join
+from spanloom.operators.skew import lookup_join
 from spanloom.staging import stage
 
 # Cosines are compared after rounding, so that equal vectors tie whatever the order of summation.
@@ -16,6 +16,7 @@ CONCEPT_BLOCK = 4096
 MENTION_BLOCK = 8192
 # Mentions of a block whose cosines are in memory at once.
 MENTIONS_AT_ONCE = 512
+TRIGRAM_KEYS_AT_ONCE = 256
 # Characters of a block of keys, and of the surfaces that make one automaton.
 KEY_CHARS = 1 << 20
 SURFACE_CHARS = 1 << 20
@@ -241,42 +242,69 @@ def trigram_weights(surfaces: DataFrame) -> DataFrame:
     return raw.select("key", "gram", (F.col("w") / norm).alias("w"))
 
 
-def _trigram_scores(pairs: DataFrame, mentions: DataFrame, named: DataFrame) -> DataFrame:
-    """(key, uri, score) of distinct pairs (key, uri) that share a trigram."""
-    wide = mentions.groupBy("key").agg(F.collect_list(F.struct("gram", "w")).alias("terms"))
-    terms = lookup_join(pairs, wide, ["key"]).select("key", "uri", F.explode("terms").alias("t"))
-    terms = terms.select("key", "uri", "t.gram", F.col("t.w").alias("w"))
-    both = lookup_join(terms, named.withColumnRenamed("w", "v"), ["uri", "gram"])
-    return both.groupBy("key", "uri").agg(F.round(F.sum(F.col("w") * F.col("v")), SCORE_DIGITS).alias("score"))
+def _nearest_by_trigrams(mentions: pd.DataFrame, concepts: pd.DataFrame) -> pd.DataFrame:
+    """Best concept of one block for each mention of another, the lowest uri among equal scores.
+
+    The weights of concepts are kept by trigram; a mention only meets the concepts that share one of its trigrams. Scores of
+    TRIGRAM_KEYS_AT_ONCE mentions are in memory at once.
+    """
+    if mentions.empty or concepts.empty:
+        return pd.DataFrame({"key": [], "uri": [], "score": []}, dtype=object).astype({"score": float})
+    concepts = concepts.sort_values("uri", ignore_index=True)
+    code = {gram: k for k, gram in enumerate(sorted({gram for grams in concepts["uri_grams"] for gram in grams}))}
+    owner = np.repeat(np.arange(len(concepts)), concepts["uri_grams"].map(len))
+    gram = np.array([code[g] for grams in concepts["uri_grams"] for g in grams])
+    order = np.argsort(gram, kind="stable")
+    owner, value = owner[order], np.concatenate(concepts["uri_ws"].to_numpy())[order]
+    first = np.searchsorted(gram[order], np.arange(len(code) + 1))
+    found = []
+    for at in range(0, len(mentions), TRIGRAM_KEYS_AT_ONCE):
+        part = mentions.iloc[at:at + TRIGRAM_KEYS_AT_ONCE]
+        row = np.repeat(np.arange(len(part)), part["key_grams"].map(len))
+        gram = np.array([code.get(g, -1) for grams in part["key_grams"] for g in grams])
+        known = gram >= 0
+        row, gram, weight = row[known], gram[known], np.concatenate(part["key_ws"].to_numpy())[known]
+        n = first[gram + 1] - first[gram]
+        hit = np.arange(n.sum()) + np.repeat(first[gram] - np.cumsum(n) + n, n)
+        cell = np.repeat(row * len(concepts), n) + owner[hit]
+        scores = np.bincount(cell, np.repeat(weight, n) * value[hit], len(part) * len(concepts)).reshape(len(part), -1)
+        top = scores.max(axis=1)
+        best, rounded = np.zeros(len(part), np.int64), np.round(top, SCORE_DIGITS)
+        # What is below the highest score by less than a unit of the last digit may round to the same.
+        near, concept = np.nonzero((scores > top[:, None] - 10.0**-SCORE_DIGITS) & (rounded > 0)[:, None])
+        equal = np.round(scores[near, concept], SCORE_DIGITS) == rounded[near]
+        rows, lowest = np.unique(near[equal], return_index=True)
+        best[rows] = concept[equal][lowest]
+        found.append(pd.DataFrame({"key": part["key"].to_numpy(), "uri": concepts["uri"].to_numpy()[best], "score": rounded}))
+    return pd.concat(found, ignore_index=True)
 
 
 def link_trigrams(mention_keys: DataFrame, concepts: DataFrame) -> DataFrame:
     """(key, uri, score): nearest concept of each distinct mention key by trigram cosine, the lowest uri among equal scores.
 
     `concepts` is (uri, key), one row with the canonical surface of each concept. Weights of both come from one
-    vocabulary. A key that shares no trigram with any concept scores 0 with all, so it gets the lowest uri. Exact: for
-    each trigram of a key the concept it weighs most in is scored, which bounds the key's best score from below. Only
-    concepts that share one of its heaviest trigrams can reach the bound, as what the lighter ones add up to is at most
-    the length of that part of its vector. Runs jobs.
+    vocabulary. A key that shares no trigram with any concept scores 0 with all, so it gets the lowest uri. Exact: keys and
+    concepts are cut in hash blocks of bounded size, a row with all trigrams each; a task scores one block of each through
+    the trigrams they share and sends on one row per key. Trigrams travel once a block of concepts. Runs jobs.
     """
     keys = mention_keys.select("key").filter(F.col("key") != "").distinct()
     both = keys.union(concepts.select("key")).distinct()
-    weights = stage(trigram_weights(both))
-    mentions = stage(weights.join(keys, "key", "left_semi"))
-    named = stage(concepts.select("uri", "key").join(weights, "key").select("uri", "gram", "w"))
-    heaviest = named.groupBy("gram").agg(F.min(F.struct((-F.col("w")).alias("neg"), "uri")).alias("best")).select("gram", "best.uri")
-    tried = _trigram_scores(lookup_join(mentions, heaviest, ["gram"]).select("key", "uri").distinct(), mentions, named)
-    least = tried.groupBy("key").agg(F.max("score").alias("least"))
-    lighter = Window.partitionBy("key").orderBy(F.desc("w"), "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    # Scores are rounded: what is below the bound by less than two units of the last digit may still tie.
-    heavy = (
-        mentions.join(least, "key").withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(lighter)))
-        .filter(F.col("rest") >= F.col("least") - 2 * 10.0**-SCORE_DIGITS).select("key", "gram")
+    terms = F.sort_array(F.collect_list(F.struct("gram", "w")))
+    wide = stage(trigram_weights(both).groupBy("key").agg(terms.alias("t")).select("key", F.col("t.gram").alias("grams"), F.col("t.w").alias("ws")))
+
+    def of(side: str, df: DataFrame) -> DataFrame:
+        # Columns of their own on each side, as both come from one table.
+        return df.select(side, *[F.col(c).alias(f"{side}_{c}") for c in ("grams", "ws")])
+
+    mentions = of("key", wide.join(keys, "key", "left_semi"))
+    named = of("uri", concepts.filter(F.col("uri").isNotNull()).select("uri", "key").join(wide, "key"))
+    left, n_left = _blocks(mentions, "key", MENTION_BLOCK, "m_block")
+    right, n_right = _blocks(named, "uri", CONCEPT_BLOCK, "c_block")
+    grid = ["m_block", "c_block"]
+    per_block = (
+        _in_every(left, n_right, "c_block").groupBy(*grid)
+        .cogroup(_in_every(right, n_left, "m_block").groupBy(*grid))
+        .applyInPandas(_nearest_by_trigrams, "key string, uri string, score double")
     )
-    pairs = pair_join(heavy, named.select("uri", "gram"), ["gram"]).select("key", "uri").distinct()
     best = F.min(F.struct((-F.col("score")).alias("neg"), "uri")).alias("best")
-    found = _trigram_scores(pairs, mentions, named).groupBy("key").agg(best).select("key", "best.uri", (-F.col("best.neg")).alias("score"))
-    lowest = concepts.filter(F.col("key") != "").agg(F.min("uri").alias("lowest")).filter(F.col("lowest").isNotNull())
-    return keys.join(found, "key", "left").join(F.broadcast(lowest)).select(
-        "key", F.coalesce("uri", "lowest").alias("uri"), F.coalesce("score", F.lit(0.0)).alias("score")
-    )
+    return per_block.groupBy("key").agg(best).select("key", "best.uri", (-F.col("best.neg")).alias("score"))

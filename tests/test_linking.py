@@ -130,3 +130,24 @@ def test_cosines_of_a_block_are_never_all_in_memory():
     want = np.round(units[:4096] @ units[4096:].T, L.SCORE_DIGITS)
     assert got["mention_id"].tolist() == list(range(4096))
     assert got["concept_id"].tolist() == want.argmax(1).tolist() and np.allclose(got["score"], want.max(1), atol=2e-6)
+
+
+def test_trigrams_of_blocks_form_no_pairs_outside_them(spark, monkeypatch):
+    """Keys and concepts over several blocks, all sharing trigrams, with ties; only a row per key leaves a block."""
+    monkeypatch.setattr(L, "MENTION_BLOCK", 40)
+    monkeypatch.setattr(L, "CONCEPT_BLOCK", 8)
+    monkeypatch.setattr(L, "TRIGRAM_KEYS_AT_ONCE", 7)
+    keys = [(f"common{'abc'[k % 3]}{k % 50:02}",) for k in range(150)]
+    concepts = [(f"u:{k:02}", f"common{'ab'[k % 2]}{k // 2:02}") for k in range(40)]
+    frames = spark.createDataFrame([*keys, ("zzz",), ("",), (None,)], "key string"), spark.createDataFrame(
+        [*concepts, (None, "commona00"), ("a:0", ""), ("a:1", None)], "uri string, key string")
+    linked = L.link_trigrams(*frames)
+    assert linked.count() == len({k for k, in keys}) + 1
+    got = {r.key: (r.uri, r.score) for r in linked.collect()}
+    assert got["commona00"] == ("u:00", 1.0) and got["zzz"] == ("u:00", 0.0)
+    blocks = L._nearest_by_trigrams(
+        pd.DataFrame({"key": ["x"], "key_grams": [["a", "b"]], "key_ws": [np.array([0.6, 0.8])]}),
+        pd.DataFrame({"uri": ["u:2", "u:1", "u:0"], "uri_grams": [["b"], ["b"], ["c"]], "uri_ws": [np.ones(1)] * 3}),
+    )
+    assert blocks.to_dict("records") == [{"key": "x", "uri": "u:1", "score": 0.8}]
+    assert L.link_trigrams(frames[0], frames[1].limit(0)).collect() == []
