@@ -34,7 +34,7 @@ from spanloom.operators.reshape import (
 from spanloom.operators.sampling import bootstrap
 from spanloom.operators.skew import lookup_join
 from spanloom.operators.spans import clean_entities, resolve_overlaps, snap_entities
-from spanloom.schemas import SECTION
+from spanloom.schemas import CONCEPT_RELATION_KEY, MENTION_RELATION_KEY, SECTION
 from spanloom.sources.concepts import concepts_of
 from spanloom.staging import stage
 
@@ -121,9 +121,10 @@ def predict_relations_in_context(
     """Mention and concept relations by any scorer of marked texts (settings as of classify_in_context).
 
     Sections that can have pairs are taken, each pair is marked in its text and scored, and the relations of the
-    classified pairs come out. Pairs without a relation are never stored.
+    classified pairs come out. Pairs without a relation are never stored, nor what no relation reads.
     """
-    classified = stage(classify_in_context(entities, sections, make_scorer, **settings))
+    columns = list(dict.fromkeys(["pmid", *MENTION_RELATION_KEY, *CONCEPT_RELATION_KEY]))
+    classified = stage(classify_in_context(entities, sections, make_scorer, columns=columns, **settings))
     return mention_relations(classified), concept_relations(classified)
 
 

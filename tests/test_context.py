@@ -101,3 +101,27 @@ def test_relations_and_empty_tables(spark):
     assert 0 < concepts.count() == concepts.distinct().count()
     none = [f.limit(0) for f in frames]
     assert classify_in_context(*none, scorer()).collect() == []
+
+
+def test_only_the_columns_asked_for_and_few_batches(spark, monkeypatch):
+    """Pairs of several units go out together, with the columns named and no others."""
+    sections, entities = corpus()
+    frames = spark.createDataFrame(entities, ENTITY), spark.createDataFrame(sections, SECTIONS)
+    columns = ["object_pos", "predicate", "pmid", "subject_pos", "location"]
+    want = Counter({k: n for k, n in expected(6).items() if k[4] != "no_relation"})
+    for at_once in (1, 50, 4096):
+        monkeypatch.setattr(context, "PAIRS_AT_ONCE", at_once)
+        got = classify_in_context(*frames, scorer(), window=6, columns=columns)
+        assert got.columns == columns
+        assert Counter((r.pmid, r.location, r.subject_pos, r.object_pos, r.predicate) for r in got.collect()) == want
+
+
+def test_marks_of_many_pairs_as_of_each():
+    rng = random.Random(5)
+    text = "".join(rng.choice("abc é𝒳") for _ in range(60))
+    spans = [(s, s + rng.randint(-1, 9)) for s in (rng.randrange(61) for _ in range(40))]
+    subject, object_ = context._ordered_pairs(np.array(spans), 25)
+    assert len(subject) > 700
+    for window in (None, 0, 3, 10):
+        want = [mark(text, spans[s], spans[o], window) for s, o in zip(subject, object_)]
+        assert [*context.marks(text, spans, subject, object_, window)] == want
