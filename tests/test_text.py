@@ -161,3 +161,21 @@ def test_uris(spark):
     assert one(spark, U.ontology_prefix(F.lit("http://purl.obolibrary.org/obo/NCBITaxon_9606"))) == "NCBITaxon"
     assert one(spark, U.mesh_iri(F.lit("https://id.nlm.nih.gov/mesh/D0012/"))) == "http://id.nlm.nih.gov/mesh/2026/D0012"
     assert one(spark, U.as_https(F.lit("https://x/http:"))) == "https://x/http:"
+
+
+def test_markers_in_parts_as_in_the_whole_text(spark, monkeypatch):
+    """Offsets at and across the seams of parts, overlapping, reversed, outside the text or missing."""
+    monkeypatch.setattr(X, "PART", 4)
+    text = "ab\n\u00e9\U0001f9e0 cdefgh\u00fc\nxyz 01"
+    rng = random.Random(6)
+    offsets = [tuple(rng.randint(-2, len(text) + 2) for _ in range(4)) for _ in range(300)]
+    offsets += [(*sorted(rng.choices(range(len(text) + 1), k=2)), *sorted(rng.choices(range(len(text) + 1), k=2))) for _ in range(300)]
+    offsets += [(0, 4, 4, 8), (8, 12, 0, 4), (0, 0, 0, 0), (None, 4, 5, 6), (1, 4, 5, None)]
+    rows = [(t, *o) for o in offsets for t in (text, "")] + [(None, 0, 1, 2, 3)]
+    frame = spark.createDataFrame(rows, "text string, a int, b int, c int, d int")
+    ends = [frame[c] for c in "abcd"]
+    parts = frame.withColumns({"parts": X.text_parts(frame.text), "size": F.length("text")})
+    got = parts.select(
+        X.insert_markers(F.col("text"), *ends).alias("want"), X.insert_markers_in_parts(F.col("parts"), F.col("size"), *ends).alias("got"),
+    ).collect()
+    assert len(got) == len(rows) and all(r.want == r.got for r in got)
