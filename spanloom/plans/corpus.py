@@ -37,6 +37,7 @@ from spanloom.operators.spans import clean_entities, resolve_overlaps, snap_enti
 from spanloom.schemas import CONCEPT_RELATION_KEY, MENTION_RELATION_KEY, SECTION
 from spanloom.sources.concepts import concepts_of
 from spanloom.staging import stage
+from spanloom.vocab import NO_RELATION
 
 
 def assemble_records(sections: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -110,8 +111,12 @@ def build_kb(
 
 
 def predict_relations(entities: DataFrame, model) -> tuple[DataFrame, DataFrame]:
-    """Mention and concept relations by a classifier trained with train_classifier."""
-    classified = stage(apply_classifier(model, candidate_pairs(entities)))
+    """Mention and concept relations by a classifier trained with train_classifier.
+
+    Pairs without a relation are never stored, nor columns that no relation reads.
+    """
+    classified = apply_classifier(model, candidate_pairs(entities)).filter(F.col("predicate") != NO_RELATION)
+    classified = stage(classified.select("pmid", *dict.fromkeys([*MENTION_RELATION_KEY, *CONCEPT_RELATION_KEY])))
     return mention_relations(classified), concept_relations(classified)
 
 

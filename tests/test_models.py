@@ -1,8 +1,10 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from spanloom.models import classifier as C
 from spanloom.models.tagger import learn_gazetteer, tag_gazetteer, tag_with
 from spanloom.operators.evaluate import argmax_class
+from spanloom.plans import corpus as J
 from spanloom.vocab import CLASSES
 
 SECTIONS = "pmid string, location string, text string"
@@ -135,3 +137,18 @@ def test_frequent_tokens_are_dropped_or_spread(spark, monkeypatch):
     tokens, hot = joined[0]
     assert "gut" in {r.first for r in hot.collect()} <= {"gut", "w7"}
     assert tokens.filter("first in ('.', '!')").count() == 0
+
+
+def test_only_related_pairs_are_stored(spark, monkeypatch):
+    """Of classified pairs, those without a relation and columns that no relation reads are not staged."""
+    kept = []
+    monkeypatch.setattr(J, "apply_classifier", lambda model, pairs: pairs.withColumn(
+        "predicate", F.when(F.col("subject_pos") < F.col("object_pos"), "target").otherwise("no_relation")))
+    monkeypatch.setattr(J, "stage", lambda df: kept.append(df) or df)
+    rows = [("1", "abstract", k, 5 * k, 5 * k + 4, f"word{k}", ["gene", "drug", "disease"][k % 3], f"u:{k}") for k in range(6)]
+    ents = spark.createDataFrame(
+        rows, "pmid string, location string, pos int, start_idx int, end_idx int, text_span string, label string, uri string")
+    mentions, _ = J.predict_relations(ents, None)
+    pairs = C.candidate_pairs(ents)
+    assert 0 < mentions.count() == pairs.filter("subject_pos < object_pos").count() < pairs.count()
+    assert kept[0].count() == mentions.count() and "subject_pos" not in kept[0].columns
