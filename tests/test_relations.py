@@ -124,3 +124,31 @@ def test_long_lists_come_in_parts(spark):
     parts = sorted((r.part, [tuple(x) for x in r.concept_level_relations]) for r in nested if r.pmid == "1")
     assert [len(p) for _, p in parts] == [100] * 5
     assert sum((p for _, p in parts), []) == sorted(r[1:] for r in rows if r[0] == "1")
+
+
+def test_matrix_looks_each_start_up_once(spark, monkeypatch):
+    snapped = spark.createDataFrame(
+        [("1", "title", 0, 3, 4, 9), ("1", "title", 1, 12, 12, 20), ("1", "title", 2, 30, None, None)],
+        "pmid string, location string, pos int, raw_start int, start_idx int, end_idx int",
+    )
+    nodes = snapped.filter("start_idx is not null")
+    relations = spark.createDataFrame(
+        [("1", "title", 3, 12, "treat"), ("1", "title", 3, 30, "treat"), ("1", "title", 3, 3, "treat")],
+        "pmid string, location string, subject_start_idx int, object_start_idx int, predicate string",
+    )
+    joins, join = [], type(nodes).join
+    monkeypatch.setattr(type(nodes), "join", lambda *a: joins.append(1) or join(*a))
+    cells = R.matrix_cells(relations, snapped, nodes)
+    assert [tuple(r) for r in cells.collect()] == [("1", "title", 4, 12, "treat", 1.0)]
+    assert len(joins) == 3  # nodes to starts, starts to either end
+
+
+def test_ner_training_set_snaps_once(spark, monkeypatch):
+    from checks import queries as Q
+
+    calls = []
+    plain = Q.J.snap_entities
+    monkeypatch.setattr(Q.J, "snap_entities", lambda *a: calls.append(1) or plain(*a))
+    monkeypatch.setattr(Q.E, "snap_entities", lambda *a: calls.append(1) or plain(*a))
+    assert Q.registry()["ner_training_set"](spark, "/root/testdata/sf0.001").count() > 0
+    assert len(calls) == 1
