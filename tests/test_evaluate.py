@@ -70,3 +70,21 @@ def test_classifier_counts_absent_classes(spark):
     got = G.score_classifier(spark.createDataFrame(rows, "label string, prediction string")).first()
     assert got.macro_f1 == pytest.approx((2 / 3) / 17)
     assert got.micro_f1 == pytest.approx(2 / (2 + 1 + 1))
+
+
+def test_many_models_are_counted_without_a_join(spark, monkeypatch):
+    rng = random.Random(6)
+    gold = [(rng.choice("abc"), rng.choice("xy")) for _ in range(9)]
+    pred = [(rng.choice([None, *range(40)]), rng.choice(["a", "b", None]), rng.choice("xyz")) for _ in range(400)]
+    g = spark.createDataFrame(gold, "k string, label string")
+    p = spark.createDataFrame(pred, "model int, k string, label string")
+    monkeypatch.setattr(type(g), "join", None)
+    for named in (None, [], [3, 99], range(40)):  # none, too few, one too many, more than are counted at a time
+        models = None if named is None else spark.createDataFrame([(m,) for m in named], "model int")
+        got = defaultdict(dict)
+        for r in G.score_classes(g, p, ["k", "label"], "label", models).collect():
+            got[r.model][r["class"]] = (r.tp, r.fp, r.fn)
+        want = {}
+        for m in {m for m, _, _ in pred} | set(named or []):
+            want[m] = {c: (0, 0, 0) for _, c in gold} | brute(gold, [x[1:] for x in pred if x[0] == m])
+        assert got == want
