@@ -19,8 +19,7 @@ from spanloom.operators.relations import (
     derive_relations,
     matrix_cells,
     mention_relations,
-    refresh_offsets,
-    resolve_endpoints,
+    resolve_fresh,
 )
 from spanloom.operators.reshape import (
     allowed_entities,
@@ -54,8 +53,7 @@ def preprocess(
     relations = same_section(expand_nested(with_relations(flat), "relations", end_inclusive=end_inclusive))
     sections = unpivot_sections(flat, keep=["annotator"])
     cleaned = clean_entities(entities, sections)
-    resolved = resolve_endpoints(relations, entities)
-    fresh = refresh_offsets(refresh_offsets(resolved, cleaned, "subject"), cleaned, "object")
+    fresh = resolve_fresh(relations, entities, cleaned)
     records = assemble_records(sections, cleaned, fresh)
     return bootstrap(records, "annotator", SECTION, fractions, seed) if fractions else records
 

@@ -152,3 +152,16 @@ def test_ner_training_set_snaps_once(spark, monkeypatch):
     monkeypatch.setattr(Q.E, "snap_entities", lambda *a: calls.append(1) or plain(*a))
     assert Q.registry()["ner_training_set"](spark, "/root/testdata/sf0.001").count() > 0
     assert len(calls) == 1
+
+
+def test_endpoints_and_offsets_in_two_joins(spark, monkeypatch):
+    ents = entities(spark, [(0, 2), (5, 7), (5, 7), (9, 11), (20, 22)])
+    cleaned = ents.filter("pos <> 3").selectExpr("pmid", "location", "pos", "start_idx - pos as start_idx", "end_idx + 1 as end_idx")
+    rels = relations(spark, [(0, "target", 5), (5, "affect", 0), (5, "affect", 9), (20, "impact", 0), (7, "impact", 0)]).drop("pos")
+    slow = R.refresh_offsets(R.refresh_offsets(R.resolve_endpoints(rels, ents), cleaned, "subject"), cleaned, "object")
+    want = Counter(tuple(r[c] for c in sorted(slow.columns)) for r in slow.collect())
+    joins, join = [], type(rels).join
+    monkeypatch.setattr(type(rels), "join", lambda *a: joins.append(1) or join(*a))
+    fast = R.resolve_fresh(rels, ents, cleaned)
+    assert len(joins) == 3 and sorted(fast.columns) == sorted(slow.columns)
+    assert Counter(tuple(r[c] for c in sorted(fast.columns)) for r in fast.collect()) == want and len(want) == 5
