@@ -152,3 +152,29 @@ def test_only_related_pairs_are_stored(spark, monkeypatch):
     pairs = C.candidate_pairs(ents)
     assert 0 < mentions.count() == pairs.filter("subject_pos < object_pos").count() < pairs.count()
     assert kept[0].count() == mentions.count() and "subject_pos" not in kept[0].columns
+
+
+def test_classifier_equals_its_own_transform(spark, monkeypatch):
+    import random
+
+    from pyspark.ml.feature import HashingTF
+
+    rng = random.Random(4)
+    rows = [
+        ("1", "abstract", k, 3 * k + rng.randrange(3), 3 * k + 9, rng.choice(["Gut Flora", "É  ab", " aspirin", "x\ty z", "", "İß"]),
+         rng.choice(["gene", "drug", "disease", "bacteria"]), "u") for k in range(60)
+    ]
+    ents = spark.createDataFrame(
+        rows, "pmid string, location string, pos int, start_idx int, end_idx int, text_span string, label string, uri string")
+    pairs = C.candidate_pairs(ents).localCheckpoint()
+    model = C.train_classifier(pairs.selectExpr("*", "element_at(array('impact', 'no_relation', 'target'), int(subject_pos * object_pos % 3 + 1)) as label"))
+    hashing, regression = model.stages[1:]
+    terms = ["", "a", "ab", "abc", "abcd", "subject:É", "𝄞 gap:12", "object:zzzzzzz"]
+    assert [C.term_index(t, 1000) for t in terms] == [HashingTF(numFeatures=1000).indexOf(t) for t in terms]
+    want = regression.transform(hashing.transform(C.with_features(pairs))).groupBy("subject_pos", "object_pos", "guess").count()
+    want = {(r.subject_pos, r.object_pos): CLASSES[int(r.guess)] for r in want.collect()}
+    # No feature list is made per pair.
+    monkeypatch.setattr(C, "with_features", None)
+    got = C.apply_classifier(model, pairs)
+    assert got.columns == [*pairs.columns, "predicate"]
+    assert {(r.subject_pos, r.object_pos): r.predicate for r in got.collect()} == want and len(set(want.values())) > 1
