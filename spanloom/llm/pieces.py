@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +29,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose ids a worker keeps between batches.
 KNOWN = 200_000
+#: New words that are encoded as one text.
+TOGETHER = 64
 #: Threads of the library in one worker. A worker is one of several on its machine, and each thread holds memory.
 THREADS = 2
 #: Fixed values of the model format: types of pieces, kinds of models.
@@ -168,39 +171,109 @@ def split_words(text: str) -> list[str]:
     return [w for w in _WORD.findall(" " + text) if w]
 
 
-def encode_texts(data: bytes, texts: list[str | None]) -> tuple[list[list[int]], list[bool], list[bool]]:
-    """Ids of each text, whether SentencePiece gives the same, and whether decoding gives the text back."""
+def _keys(text: str) -> list[str]:
+    """The words of a text, each without its first space."""
+    return [w[1:] for w in split_words(text)] if text.startswith(" ") or "  " in text else text.split(" ")
+
+
+class _Known:
+    """Ids of words that a worker has met, one after another in one array, and which of them differ or don't decode back."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.differ: set[str] = set()
+        self.lossy: set[str] = set()
+
+    def add(self, words: list[str], ids: list[np.ndarray], sizes: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        self.ids = np.concatenate((self.ids, *ids))
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(sizes)))
+
+    def shrink(self) -> None:
+        """Keep KNOWN words at most: those met first, mostly the frequent ones, stay."""
+        while len(self.place) > KNOWN:
+            self.place.popitem()
+        self.ends = self.ends[: len(self.place) + 1].copy()
+        self.ids = self.ids[: self.ends[-1]].copy()
+
+    def of(self, words: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, and where each row's end."""
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(words)), np.int64)
+        begin = self.ends[place]
+        size = self.ends[place + 1] - begin
+        total = np.concatenate(([0], np.cumsum(size)))
+        ids = self.ids[np.repeat(begin - total[:-1], size) + np.arange(total[-1])]
+        return ids, total[np.cumsum([0, *map(len, words)])]
+
+
+@lru_cache(2)
+def _known(data: bytes) -> _Known:
+    return _Known()
+
+
+def _learn(data: bytes, known: _Known, words: list[str]) -> None:
+    """Encode words, TOGETHER at a time as one text, and check them.
+
+    No piece spans the start of a word, so the ids of such a text are those of its words. If they aren't SentencePiece's,
+    don't decode back or don't begin as many words as there are, the words are encoded and checked one by one; so are
+    words that have a space or marker in them, and the one without a character.
+    """
     model, tokenizer, reference = _tools(data)
-    if not splits_at_words(model):
-        return _verified(model, tokenizer, reference, [t or "" for t in texts])
-    words = [split_words(t) if t else [] for t in texts]
-    known, differ, lossy = _known(data)
-    fresh = {w for row in words for w in row if w not in known}
-    # a word's first space is the one the model puts in front; a word of nothing else is the marker alone
-    new = [w for w in fresh if w != " "]
-    for w, ids, same, back in zip(new, *_verified(model, tokenizer, reference, [w[1:] for w in new]), strict=True):
-        known[w] = ids
+    opens = _opens_word(data)
+    plain, alone = [], []
+    for w in words:
+        (alone if not w or " " in w or SPACE in w else plain).append(w)
+    groups = [plain[at : at + TOGETHER] for at in range(0, len(plain), TOGETHER)]
+    done, ids, sizes = [], [], []
+    for group, row, same, back in zip(groups, *_verified(model, tokenizer, reference, [" ".join(g) for g in groups]), strict=True):
+        row = np.array(row, np.int32)
+        begin = np.flatnonzero(opens[row])
+        if not (same and back and len(begin) == len(group) and begin[0] == 0):
+            alone += group
+            continue
+        done += group
+        ids.append(row)
+        sizes.append(np.diff(np.append(begin, len(row))))
+    some = [w for w in alone if w]
+    for w, row, same, back in zip(some, *_verified(model, tokenizer, reference, some), strict=True):
+        done.append(w)
+        ids.append(np.array(row, np.int32))
+        sizes.append(np.array([len(row)]))
         if not same:
-            differ.add(w)
+            known.differ.add(w)
         if not back:
-            lossy.add(w)
-    if " " in fresh:
-        known[" "] = [tokenizer.token_to_id(SPACE)]
-        if known[" "] != [reference.piece_to_id(SPACE)]:
-            differ.add(" ")
-    out = (
-        [list(chain.from_iterable(map(known.__getitem__, row))) for row in words],
-        [not differ or differ.isdisjoint(row) for row in words], [not lossy or lossy.isdisjoint(row) for row in words],
-    )
-    while len(known) > KNOWN:  # the words met first, mostly the frequent ones, stay
-        known.popitem()
-    return out
+            known.lossy.add(w)
+    if len(some) < len(alone):  # a word of nothing but the space in front is the marker alone
+        done.append("")
+        ids.append(np.array([tokenizer.token_to_id(SPACE)], np.int32))
+        sizes.append(np.array([1]))
+        if ids[-1][0] != reference.piece_to_id(SPACE):
+            known.differ.add("")
+    known.add(done, ids, np.concatenate(sizes))
+
+
+def encode_arrays(data: bytes, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[bool], list[bool]]:
+    """Ids of all texts, where each text's begin and end, whether SentencePiece gives the same, and whether decoding gives the text back."""
+    model, tokenizer, reference = _tools(data)
+    if not _splits(data):
+        ids, same, back = _verified(model, tokenizer, reference, [t or "" for t in texts])
+        return np.array([*chain.from_iterable(ids)], np.int32), np.cumsum([0, *map(len, ids)]), same, back
+    words = [_keys(t) if t else [] for t in texts]
+    known = _known(data)
+    fresh = list(dict.fromkeys(w for row in words for w in row if w not in known.place))
+    if fresh:
+        _learn(data, known, fresh)
+    ids, ends = known.of(words)
+    same, back = ([not bad or bad.isdisjoint(row) for row in words] for bad in (known.differ, known.lossy))
+    known.shrink()
+    return ids, ends, same, back
 
 
-@lru_cache(2)
-def _known(data: bytes) -> tuple[dict[str, list[int]], set[str], set[str]]:
-    """Ids of words that a worker has met, KNOWN at most, and which of them differ or don't decode back."""
-    return {}, set(), set()
+def encode_texts(data: bytes, texts: list[str | None]) -> tuple[list[list[int]], list[bool], list[bool]]:
+    """Ids of each text, whether SentencePiece gives the same, and whether decoding gives the text back."""
+    ids, ends, same, back = encode_arrays(data, texts)
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])], same, back
 
 
 def piece_bytes(model: Model) -> tuple[bytes, ...]:
@@ -211,6 +284,17 @@ def piece_bytes(model: Model) -> tuple[bytes, ...]:
     )
 
 
+@lru_cache(2)
+def _splits(data: bytes) -> bool:
+    return splits_at_words(_tools(data)[0])
+
+
+@lru_cache(2)
+def _opens_word(data: bytes) -> np.ndarray:
+    """Whether each piece begins with the space marker."""
+    return np.array([p.startswith(SPACE) for p, _, _ in _tools(data)[0].pieces])
+
+
 def _verified(model: Model, tokenizer, reference, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bool]]:
     ids = [e.ids if t else [] for t, e in zip(texts, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True)]
     want = reference.encode(texts, num_threads=1)
@@ -242,8 +326,8 @@ def piece_ids(docs: DataFrame, path: str = MODEL) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                ids, same, back = encode_texts(data, some.column("text").to_pylist())
-                columns = [pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())]
+                ids, ends, same, back = encode_arrays(data, some.column("text").to_pylist())
+                columns = [pa.ListArray.from_arrays(ends.astype(np.int32), ids), pa.array(np.diff(ends)), pa.array(same, pa.bool_()), pa.array(back, pa.bool_())]
                 yield pa.RecordBatch.from_arrays([*some.columns, *columns], [*some.schema.names, *own])
 
     return docs.select(*[F.col(f"`{f.name}`") for f in fields]).mapInArrow(run, schema)
