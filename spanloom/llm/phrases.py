@@ -10,7 +10,8 @@
    hashes, and those that reach the least frequency are marked in a bit table of fixed size. What shares a bit or a hash by
    chance is counted in vain, nothing frequent is missed; the counts that are returned are of strings.
 
-Counts are added up within a task before they move. The bit table is the only thing that reaches the driver.
+Counts are added up within a task before they move, and move as lists: a row holds what a task has of one part of the
+hashes. The bit table is the only thing that reaches the driver.
 """
 
 import re
@@ -19,6 +20,7 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +43,8 @@ TABLE_BITS = 1 << 28
 HELD = 1 << 22
 #: Strings, which take more memory, that it adds up at a time.
 HELD_STRINGS = 1 << 19
+#: Bits of a hash that name the part it belongs to. A task sends what it has of a part as one row, and the parts are added up one by one.
+PART_BITS = 12
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -224,31 +228,99 @@ def _entries(batch: pa.RecordBatch, longest: int = LONGEST) -> Iterator[tuple[pa
         yield lang.slice(first, last - first), part, times[first:last], _Phrases(langs[first:last], part, bounds, core[first:last], longest)
 
 
-def _sums(keys: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and their summed weights. Most weights are 1, and those keys need only be sorted; a key may come twice."""
+def _sums(keys: list[np.ndarray], weights: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Sorted keys and their summed weights: of weights of 1, which most are and whose keys need only be sorted, and of the others."""
     key, weight = np.concatenate(keys), np.concatenate(weights)
     once = weight == 1
     ones, rest, weight = np.sort(key[once]), key[~once], weight[~once]
     begin = np.flatnonzero(np.concatenate(([True], ones[1:] != ones[:-1]))) if len(ones) else np.zeros(0, np.int64)
-    one, count = ones[begin], np.diff(np.append(begin, len(ones)))
-    if not len(rest):
-        return one, count
-    order = np.argsort(rest, kind="stable")
-    rest, weight = rest[order], weight[order]
-    begin = np.flatnonzero(np.concatenate(([True], rest[1:] != rest[:-1])))
-    return np.concatenate((one, rest[begin])), np.concatenate((count, np.add.reduceat(weight, begin)))
+    yield ones[begin], np.diff(np.append(begin, len(ones)))
+    if len(rest):
+        order = np.argsort(rest, kind="stable")
+        rest, weight = rest[order], weight[order]
+        begin = np.flatnonzero(np.concatenate(([True], rest[1:] != rest[:-1])))
+        yield rest[begin], np.add.reduceat(weight, begin)
+
+
+def _parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted hashes fall in, and where each begins and ends."""
+    part = key >> np.uint64(64 - PART_BITS)
+    begin = np.flatnonzero(np.concatenate((np.ones(min(len(part), 1), bool), part[1:] != part[:-1])))
+    return part[begin].astype(np.int32), np.append(begin, len(key)).astype(np.int32)
+
+
+def _sent(key: np.ndarray, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+    """A row for each part of sorted hashes, with lists of the columns beside them."""
+    part, ends = _parts(key)
+    return pa.RecordBatch.from_arrays([pa.array(part), *(pa.ListArray.from_arrays(ends, c) for c in columns.values())], ["part", *columns])
+
+
+def _received(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of the columns of rows that come part by part; no part is in two tables."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = batch.column("part").to_numpy()
+        lists = {name: batch.column(name) for name in batch.schema.names[1:]}
+        size = np.diff(next(iter(lists.values())).offsets.to_numpy())
+        flat = pa.table({"part": np.repeat(part, size), **{name: c.flatten() for name, c in lists.items()}})
+        last = int(size[: np.searchsorted(part, part[-1])].sum())
+        if held is not None and (last or held.column("part")[0].as_py() != part[-1]):
+            yield pa.concat_tables([held, flat.slice(0, last)])
+            held = None
+        elif last:
+            yield flat.slice(0, last)
+        flat = flat.slice(last)
+        held = flat if held is None else pa.concat_tables([held, flat])
+    if held is not None:
+        yield held
+
+
+def _often_hashes(least: int):
+    """The hashes whose counts add up to `least` or more."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _received(batches):
+            key, weight = some.column("phrase").to_numpy(), some.column("times").to_numpy()
+            order = np.argsort(key)
+            key, weight = key[order], weight[order]
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            yield pa.RecordBatch.from_arrays([pa.array(key[begin][np.add.reduceat(weight, begin) >= least])], ["phrase"])
+
+    return run
+
+
+def _often_strings(least: int):
+    """The phrases whose counts add up to `least` or more, with these."""
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _received(batches):
+            one = _added(some)
+            yield from one.filter(pc.greater_equal(one.column("times"), least)).to_batches()
+
+    return run
+
+
+def _added(some: pa.Table, *other: str) -> pa.Table:
+    """Counts summed by phrase; other columns, which a phrase decides, stay."""
+    one = some.group_by(["lang", "n", "phrase"]).aggregate([("times", "sum"), *((c, "min") for c in other)])
+    return one.select(["lang", "n", "phrase", "times_sum", *(f"{c}_min" for c in other)]).rename_columns(["lang", "n", "phrase", "times", *other])
 
 
 def _hash_counter(lengths: list[int], table: Broadcast | None):
-    """Counts of hashed phrases of the given numbers of words, added up over HELD phrases at a time."""
+    """Counts of hashed phrases of the given numbers of words, added up over HELD phrases at a time and sent by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint64) if table else None
         keys, weights, held = [], [], 0
 
-        def out() -> pa.RecordBatch:
-            key, weight = _sums(keys, weights)
-            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(weight)], ["phrase", "times"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for key, weight in _sums(keys, weights):
+                if len(key):
+                    yield _sent(key, {"phrase": pa.array(key.view(np.int64)), "times": pa.array(weight)})
 
         for batch in batches:
             for _, _, times, phrases in _entries(batch, max(lengths)):
@@ -258,27 +330,29 @@ def _hash_counter(lengths: list[int], table: Broadcast | None):
                     weights.append(times[phrases.row[at]])
                     held += len(at)
                 if held >= HELD:
-                    yield out()
+                    yield from out()
                     keys, weights, held = [], [], 0
                     give_back()
         if held:
-            yield out()
+            yield from out()
         give_back()
 
     return run
 
 
 def _string_counter(table: Broadcast):
-    """Counts of phrases as strings: those marked in the table, and of the longest those made of marked ones."""
+    """Counts of phrases as strings, sent by part: those marked in the table, and of the longest those made of marked ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(table.value, np.uint64)
         tables, held = [], 0
 
         def out() -> pa.RecordBatch:
-            one = pa.concat_tables(tables).group_by(["lang", "n", "phrase"]).aggregate([("times", "sum")])
-            one = one.select(["lang", "n", "phrase", "times_sum"]).rename_columns(["lang", "n", "phrase", "times"]).combine_chunks()
-            return one.to_batches()[0]
+            one = _added(pa.concat_tables(tables), "hash")
+            key = one.column("hash").to_numpy()
+            order = np.argsort(key)
+            one = one.drop_columns("hash").take(pa.array(order)).combine_chunks()
+            return _sent(key[order], {name: one.column(name).combine_chunks() for name in one.column_names})
 
         for batch in batches:
             for lang, data, times, phrases in _entries(batch):
@@ -287,11 +361,10 @@ def _string_counter(table: Broadcast):
                     if not len(at):
                         continue
                     rows = pa.array(phrases.row[at])
-                    some = [lang.take(rows).cast(pa.string()), pa.array(np.full(len(at), n, np.int32)), phrases.strings(at, n, data), pa.array(times[phrases.row[at]])]
+                    some = [lang.take(rows).cast(pa.string()), pa.array(np.full(len(at), n, np.int32)), phrases.strings(at, n, data), pa.array(times[phrases.row[at]]), pa.array(phrases.values[n][at])]
                     # added up here at once: frequent words come again and again
-                    part = pa.table(some, ["lang", "n", "phrase", "times"]).group_by(["lang", "n", "phrase"]).aggregate([("times", "sum")])
-                    tables.append(part.select(["lang", "n", "phrase", "times_sum"]).rename_columns(["lang", "n", "phrase", "times"]))
-                    held += len(part)
+                    tables.append(_added(pa.table(some, ["lang", "n", "phrase", "times", "hash"]), "hash"))
+                    held += len(tables[-1])
                 if held >= HELD_STRINGS:
                     yield out()
                     tables, held = [], 0
@@ -318,13 +391,21 @@ def _bit_table(counts: DataFrame) -> np.ndarray:
 def phrase_counts(dictionary: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, n, phrase, times) of every phrase of one to four words that occurs `least` times or more. Runs jobs."""
     context = dictionary.sparkSession.sparkContext
-    schema = "phrase long, times long"
-    often = lambda counts: counts.groupBy("phrase").agg(F.sum("times").alias("times")).filter(F.col("times") >= least)
-    table = _bit_table(often(dictionary.mapInArrow(_hash_counter([1, 2], None), schema)))
-    pairs = context.broadcast(table.tobytes())
-    table |= _bit_table(often(dictionary.mapInArrow(_hash_counter([3], pairs), schema)))
-    counts = dictionary.mapInArrow(_string_counter(context.broadcast(table.tobytes())), "lang string, n int, phrase string, times long")
-    return stage(counts.groupBy("lang", "n", "phrase").agg(F.sum("times").alias("times")).filter(F.col("times") >= least))
+
+    def often_hashes(lengths: list[int], table: Broadcast | None) -> DataFrame:
+        sent = dictionary.mapInArrow(_hash_counter(lengths, table), "part int, phrase array<long>, times array<long>")
+        return _by_part(sent).mapInArrow(_often_hashes(least), "phrase long")
+
+    table = _bit_table(often_hashes([1, 2], None))
+    table |= _bit_table(often_hashes([3], context.broadcast(table.tobytes())))
+    sent = dictionary.mapInArrow(
+        _string_counter(context.broadcast(table.tobytes())), "part int, lang array<string>, n array<int>, phrase array<string>, times array<long>"
+    )
+    return stage(_by_part(sent).mapInArrow(_often_strings(least), "lang string, n int, phrase string, times long"))
+
+
+def _by_part(sent: DataFrame) -> DataFrame:
+    return sent.repartition("part").sortWithinPartitions("part")
 
 
 def _part(first: str, length: str) -> Column:
@@ -373,5 +454,6 @@ def collocations(docs: DataFrame, least: int = LEAST, first: int = FIRST) -> Dat
     words = dictionary.groupBy("lang").agg(F.sum(F.col("core") * F.col("times")).alias("n"))
     counts = phrase_counts(dictionary, least)
     told = unshadowed(cut_scores(counts), counts).drop("n", "k").withColumn("one", F.lit(1)).withColumn("down", -F.col("score")).withColumn("fewer", -F.col("a"))
-    ranked = running_total(told, ["down", "fewer", "phrase"], "one", "before", group="lang").filter(F.col("before") < first)
+    # Staged first, as dealing rows out by ranges reads them twice.
+    ranked = running_total(stage(told), ["down", "fewer", "phrase"], "one", "before", group="lang").filter(F.col("before") < first)
     return ranked.join(words, "lang").select("lang", (F.col("before") + 1).alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -5,10 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import phrases
-from spanloom.llm.phrases import _cut, _windows, collocations, parse_dictionary
+from spanloom.llm.phrases import _cut, _often_hashes, _received, _sent, _windows, collocations, parse_dictionary
 
 DOCS = "doc_id long, text string, lang string, words string, n int, phrase string, times string"
 PIECES = re.compile(r"[.,;:!?\x0a-\x0d]")
@@ -99,3 +100,28 @@ def test_shared_passages_are_kept_once(spark):
 
 def test_empty_table(spark):
     assert collocations(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_counts_move_as_lists(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(phrases, "_by_part", lambda sent, f=phrases._by_part: made.append(sent) or f(sent))
+    monkeypatch.setattr(phrases, "PART_BITS", 1)
+    rows = table()
+    got = collocations(spark.createDataFrame(rows, DOCS).repartition(5), 4)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected(rows, 4, 2000))
+    assert len(made) == 3 and all("array<" in sent.schema.simpleString() for sent in made)
+
+
+def test_parts_are_whole_however_rows_are_batched():
+    rng = np.random.default_rng(3)
+    keys = [np.sort(rng.choice(np.arange(1, 400, dtype=np.uint64) << np.uint64(55), n, replace=False)) for n in (1, 300, 250, 399, 7)]
+    sent = pa.Table.from_batches([_sent(k, {"phrase": pa.array(k.view(np.int64)), "times": pa.array(np.arange(len(k)))}) for k in keys]).sort_by("part")
+    want = Counter()
+    for k in keys:
+        want.update(dict(zip(k.view(np.int64).tolist(), range(len(k)))))
+    for size in (1, 2, 5, 10_000):
+        batches = sent.combine_chunks().to_batches(max_chunksize=size)
+        parts = [set(t.column("part").to_pylist()) for t in _received(iter(batches))]
+        assert sum(map(len, parts)) == len(set().union(*parts))
+        got = [x for b in _often_hashes(100)(iter(batches)) for x in b.column("phrase").to_pylist()]
+        assert sorted(got) == sorted(k for k, n in want.items() if n >= 100)
