@@ -333,7 +333,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
         T.StructField("key", T.LongType()), T.StructField("host", T.StringType()), T.StructField("path", T.StringType()), T.StructField("one", T.IntegerType()),
         T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("declared", T.BooleanType()),
     ])
-    placed = stage(running_total(light.mapInArrow(_hashed, hashed), ["host", "path", "key"], "one", "place").drop("one", "path"))
+    # Staged first, as dealing rows out by ranges reads them twice.
+    placed = stage(running_total(stage(light.mapInArrow(_hashed, hashed)), ["host", "path", "key"], "one", "place").drop("one", "path"))
     other = placed.select(F.col("place").alias("other"), F.col("hashes").alias("hashes2"), F.col("sizes").alias("sizes2"))
     pairs = lookup_join(_neighbours(placed), other, ["other"]).join(placed.filter("exists(sizes, x -> x > 0)"), "place")
     found = pairs.select("key", "declared", "hashes", "sizes", "other", "hashes2", "sizes2").mapInArrow(

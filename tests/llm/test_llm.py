@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom.llm import jaccard, mixing, neardup, topk
+from spanloom.llm.common import running_total
 from spanloom.llm.credentials import redact_secrets, secret_report
 from spanloom.llm.jaccard import jaccard_components, link_unit, one_of_each
 from spanloom.llm.language import LanguageModel, fit_language_model, held_out, identify_languages, predict, train
@@ -304,6 +305,14 @@ def test_main_texts(spark):
     assert main_texts(df.limit(0)).count() == 0
 
 
+def test_pages_are_hashed_once(spark, monkeypatch):
+    """Rows dealt out by ranges are read twice, once to find the ranges."""
+    dealt = []
+    monkeypatch.setattr("spanloom.llm.pages.running_total", lambda df, *a, **k: dealt.append(df) or running_total(df, *a, **k))
+    main_texts(spark.createDataFrame([(1, "http://h/a", "<p>one"), (2, "http://h/b", "<p>two")], "page_id long, url string, html string"))
+    assert "MapInArrow" not in dealt[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_copies_without_an_article_keep_their_text(spark):
     site = "<div>My site</div><p>Welcome all</p>{}<p>Bye</p>"
     story = [f"<p>sentence {k} of the story that was copied</p>" for k in range(12)]
