@@ -473,6 +473,30 @@ def test_salvage_inside_one_long_member():
     assert sum(isinstance(x, Record) for x in found) > 20 and any(isinstance(x, Gap) for x in found)
 
 
+def test_prefix_tokens_are_packed_by_part():
+    rng = np.random.default_rng(3)
+    parts, rows = 64, 40_000
+    sid = np.sort(rng.integers(-(1 << 62), 1 << 62, 200))[rng.integers(0, 200, rows)]
+    token = rng.integers(-(1 << 63), (1 << 63) - 1, rows).view(np.uint64)
+    n, tied = np.abs(sid) % 1000, rng.random(rows) < 0.2
+    batch = jaccard._packed(token, sid, n, tied, parts)
+    got = []
+    for part, *lists in zip(*(batch.column(c).to_pylist() for c in ("part", "tokens", "sids", "sizes")), strict=True):
+        got += zip(*(x.tolist() for x in jaccard._unpacked(part, [[np.array(x, np.int64) for x in lists]])), strict=True)
+    assert sorted(got) == sorted(zip(*(x.tolist() for x in (token.view(np.int64), sid, n, tied)), strict=True))
+    assert len(batch) == parts and batch.nbytes < 14 * rows
+    assert jaccard._parts(0) == 64 and jaccard._parts(300 << 20) == 512
+
+
+def test_rows_found_in_a_bit_table_are_not_shuffled(spark):
+    rows = spark.range(2000).selectExpr("concat('k', id) as key", "id as doc")
+    table = jaccard._bit_table(rows.filter("doc % 10 = 0").select(F.xxhash64("key").alias("hash")), "hash")
+    marked, rest = jaccard._by_table(rows, table, True), jaccard._by_table(rows, table, False)
+    assert marked.columns == rest.columns == rows.columns
+    found, left = {r.doc for r in marked.collect()}, {r.doc for r in rest.collect()}
+    assert found >= set(range(0, 2000, 10)) and len(found) < 220 and not found & left and len(found | left) == 2000
+
+
 def test_one_of_each_keeps_texts_that_share_a_doc_id(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
     rows = [(5, text + " more", 1), (5, "another text of its own with words that nothing else here has", 2), (3, text, 3), (None, None, 4), (None, None, 5), (5, "", 6), (5, text + " more", 7)]
