@@ -495,6 +495,9 @@ def test_rows_found_in_a_bit_table_are_not_shuffled(spark):
     assert marked.columns == rest.columns == rows.columns
     found, left = {r.doc for r in marked.collect()}, {r.doc for r in rest.collect()}
     assert found >= set(range(0, 2000, 10)) and len(found) < 220 and not found & left and len(found | left) == 2000
+    wide = spark.range(3).selectExpr("id as doc_id", "concat_ws(' ', 'only', 'document', id, 'says', id + 10, id + 20) as text")
+    plan = one_of_each(wide)._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftAnti, BuildRight" in plan and "Union" in plan  # documents that surely stay are not joined by key
 
 
 def test_one_of_each_keeps_texts_that_share_a_doc_id(spark):
