@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.functions.text import normalise_surface
 from spanloom.functions.uris import EBI_DOMAIN, EDAM_DOMAIN, OBO_DOMAIN
 from spanloom.models.classifier import apply_classifier, candidate_pairs
-from spanloom.models.context import Scorer, classify_in_context
+from spanloom.models.context import Scorer, count_in_context
 from spanloom.models.tagger import learn_gazetteer, tag_gazetteer
 from spanloom.operators import kb as K
 from spanloom.operators.linking import link_mentions, link_trigrams
@@ -119,16 +119,20 @@ def predict_relations(entities: DataFrame, model) -> tuple[DataFrame, DataFrame]
 
 
 def predict_relations_in_context(
-    entities: DataFrame, sections: DataFrame, make_scorer: Callable[[], Scorer], **settings
+    entities: DataFrame, sections: DataFrame, make_scorer: Callable[[], Scorer], counted: bool = False, **settings
 ) -> tuple[DataFrame, DataFrame]:
-    """Mention and concept relations by any scorer of marked texts (settings as of classify_in_context).
+    """Mention and concept relations by any scorer of marked texts (settings as of count_in_context).
 
     Sections that can have pairs are taken, each pair is marked in its text and scored, and the relations of the
-    classified pairs come out. Pairs without a relation are never stored, nor what no relation reads.
+    classified pairs come out. They are added up by article before they are stored, once. With `counted`, equal mention
+    relations are one row with their number `n`, else they are repeated.
     """
-    columns = list(dict.fromkeys(["pmid", *MENTION_RELATION_KEY, *CONCEPT_RELATION_KEY]))
-    classified = stage(classify_in_context(entities, sections, make_scorer, columns=columns, **settings))
-    return mention_relations(classified), concept_relations(classified)
+    groups = [["pmid", *MENTION_RELATION_KEY], ["pmid", *CONCEPT_RELATION_KEY]]
+    mentions, concepts = count_in_context(entities, sections, make_scorer, groups, **settings)
+    mentions = mentions.filter(F.col("predicate") != NO_RELATION)
+    if not counted:
+        mentions = mention_relations(mentions.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int")))))
+    return mentions, concept_relations(concepts, distinct=True)
 
 
 def ner_training_set(sections: DataFrame, entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:

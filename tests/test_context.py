@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from spanloom.functions.text import insert_markers
 from spanloom.models import context
@@ -125,3 +126,41 @@ def test_marks_of_many_pairs_as_of_each():
     for window in (None, 0, 3, 10):
         want = [mark(text, spans[s], spans[o], window) for s, o in zip(subject, object_)]
         assert [*context.marks(text, spans, subject, object_, window)] == want
+
+
+def _counted(pairs, columns):
+    return Counter(tuple(r[c] for c in columns) for r in pairs.collect())
+
+
+@pytest.mark.parametrize(("tile", "units", "held"), [(1024, 1, 1 << 20), (5, 2, 7), (30, 1, 1)])
+def test_counts_are_those_of_the_pairs(spark, monkeypatch, tile, units, held):
+    """Whole articles and cut ones, counts that go out early, null texts and URIs, titles beside abstracts."""
+    monkeypatch.setattr(context, "TILE", tile)
+    monkeypatch.setattr(context, "UNITS", units)
+    sections, entities = corpus()
+    sections += [("3", "title", "a title with words", "x"), ("5", "title", "another of them", "x")]
+    entities += [(p, "title", 100 + k, k, k + 2, t, "gene", u) for p in "35" for k, (t, u) in enumerate([("x", "u:1"), (None, None), ("x", "u:1"), ("y", "")])]
+    frames = spark.createDataFrame(entities, ENTITY).repartition(3), spark.createDataFrame(sections, SECTIONS)
+    pairs = classify_in_context(*frames, scorer(), window=6).cache()
+    monkeypatch.setattr(context, "HELD", held)
+    monkeypatch.setattr(context, "COUNTED_AT_ONCE", min(held, 50))
+    by = ["location", "pmid", "subject_label", "predicate", "object_label"]
+    got = classify_in_context(*frames, scorer(), window=6, by=by, totals=["subject_start_idx", "object_end_idx"])
+    want = pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("subject_start_idx"), F.sum("object_end_idx"))
+    assert Counter(got.collect()) == Counter(want.collect())
+    mentions, concepts = predict_relations_in_context(*frames, scorer(), window=6)
+    assert _counted(mentions, mentions.columns) == _counted(pairs, mentions.columns)
+    counted, _ = predict_relations_in_context(*frames, scorer(), window=6, counted=True)
+    assert Counter({tuple(r)[:-1]: r.n for r in counted.collect()}) == _counted(pairs, mentions.columns)
+    assert counted.count() == len(_counted(pairs, mentions.columns))
+    related = pairs.filter("subject_uri <> '' and object_uri <> '' and subject_uri <> object_uri").select(*concepts.columns).distinct()
+    assert _counted(concepts, concepts.columns) == _counted(related, concepts.columns)
+
+
+def test_counts_of_whole_articles_are_not_shuffled(spark):
+    """Counting moves the entities and texts; the groups of whole articles, many more, stay where they were counted."""
+    sections, entities = corpus()
+    frames = spark.createDataFrame(entities, ENTITY), spark.createDataFrame(sections, SECTIONS)
+    counted, _ = predict_relations_in_context(*frames, scorer(), window=6, counted=True)
+    plan = counted._jdf.queryExecution().optimizedPlan()
+    assert "Aggregate" in plan.toString() and "Aggregate" not in plan.children().head().toString()
