@@ -17,6 +17,8 @@ MENTION_BLOCK = 8192
 # Mentions of a block whose cosines are in memory at once.
 MENTIONS_AT_ONCE = 512
 TRIGRAM_KEYS_AT_ONCE = 256
+# Different trigrams whose idf may be broadcast.
+FEW_GRAMS = 1 << 17
 # Characters of a block of keys, and of the surfaces that make one automaton.
 KEY_CHARS = 1 << 20
 SURFACE_CHARS = 1 << 20
@@ -231,13 +233,15 @@ def trigram_weights(surfaces: DataFrame) -> DataFrame:
     terms = keys.select("key", F.explode(grams).alias("gram")).groupBy("key", "gram").agg(F.count(F.lit(1)).alias("tf"))
     terms = stage(terms)
     total = keys.agg(F.count(F.lit(1)).alias("n"))
-    idf = (
+    idf = stage(
         terms.groupBy("gram")
         .agg(F.count(F.lit(1)).alias("df"))
         .join(F.broadcast(total))
         .select("gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     )
-    raw = lookup_join(terms, idf, ["gram"]).select("key", "gram", (F.col("tf") * F.col("idf")).alias("w"))
+    # Where there are few different trigrams their idf goes to the terms, not the terms to it.
+    weighed = terms.join(F.broadcast(idf), "gram") if idf.count() <= FEW_GRAMS else lookup_join(terms, idf, ["gram"])
+    raw = weighed.select("key", "gram", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
     return raw.select("key", "gram", (F.col("w") / norm).alias("w"))
 

@@ -68,8 +68,35 @@ def nest_lists(articles: DataFrame, lists: dict[str, tuple[DataFrame, list[str]]
 
     `lists` gives the rows and item columns of each array. An article's items are numbered in their order and cut every
     part_items: in order of `part` (0, 1, ..) its rows hold the whole list as sorted, copies included. No task sees
-    more of an article than a range of its items or one part. Runs a job per list.
+    more of an article than a range of its items or one part. Articles whose lists all fit a part, most of them, are
+    gathered at once; only the others' items are numbered. Rows are staged, as they are counted first. Runs a job per list.
     """
+    lists = {name: (stage(rows.filter("pmid is not null").select("pmid", *columns)), columns) for name, (rows, columns) in lists.items()}
+    counts = [rows.groupBy("pmid").agg(F.count(F.lit(1)).alias("n")) for rows, _ in lists.values()]
+    large = stage(reduce(DataFrame.union, counts).filter(F.col("n") > part_items).select("pmid").distinct())
+    nested = _nest_small(articles, lists, large)
+    if large.isEmpty():
+        return nested
+    articles = articles.join(large, "pmid", "left_semi")
+    lists = {name: (rows.join(large, "pmid", "left_semi"), columns) for name, (rows, columns) in lists.items()}
+    return nested.unionByName(_nest_large(articles, lists, part_items))
+
+
+def _nest_small(articles: DataFrame, lists: dict[str, tuple[DataFrame, list[str]]], large: DataFrame) -> DataFrame:
+    """nest_lists of the articles that are not in `large`: every item travels once."""
+    items = {name: F.struct(*columns) for name, (_, columns) in lists.items()}
+    kinds = {name: rows.select(items[name].alias(name)).schema[name].dataType for name, (rows, _) in lists.items()}
+
+    def tagged(rows: DataFrame, own: str | None) -> DataFrame:
+        return rows.select("pmid", *[(items[c] if c == own else F.lit(None).cast(kinds[c])).alias(c) for c in lists])
+
+    both = reduce(DataFrame.union, [tagged(articles, None), *[tagged(rows, name) for name, (rows, _) in lists.items()]])
+    # A list of items that are not there is empty.
+    gathered = both.join(large, "pmid", "left_anti").groupBy("pmid").agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in lists])
+    return gathered.select("pmid", F.lit(0).alias("part"), *lists)
+
+
+def _nest_large(articles: DataFrame, lists: dict[str, tuple[DataFrame, list[str]]], part_items: int) -> DataFrame:
     nested = [_parts_of(rows, columns, name, part_items) for name, (rows, columns) in lists.items()]
     parts = reduce(DataFrame.union, [n.select("pmid", "part") for n in nested])
     parts = parts.union(articles.select("pmid", F.lit(0).alias("part"))).distinct()

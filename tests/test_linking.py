@@ -151,3 +151,15 @@ def test_trigrams_of_blocks_form_no_pairs_outside_them(spark, monkeypatch):
     )
     assert blocks.to_dict("records") == [{"key": "x", "uri": "u:1", "score": 0.8}]
     assert L.link_trigrams(frames[0], frames[1].limit(0)).collect() == []
+
+
+def test_terms_stay_where_they_are_when_there_are_few_trigrams(spark, monkeypatch):
+    keys = spark.createDataFrame([("aspirin",), ("aspirins",), ("banana",)], "key string")
+    want = {(r.key, r.gram, round(r.w, 9)) for r in L.trigram_weights(keys).collect()}
+    calls = []
+    join = L.lookup_join
+    monkeypatch.setattr(L, "lookup_join", lambda *args, **named: calls.append(1) or join(*args, **named))
+    L.trigram_weights(keys)
+    assert not calls
+    monkeypatch.setattr(L, "FEW_GRAMS", 3)
+    assert {(r.key, r.gram, round(r.w, 9)) for r in L.trigram_weights(keys).collect()} == want and calls

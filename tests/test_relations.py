@@ -126,6 +126,26 @@ def test_long_lists_come_in_parts(spark):
     assert sum((p for _, p in parts), []) == sorted(r[1:] for r in rows if r[0] == "1")
 
 
+def test_short_lists_are_gathered_at_once(spark, monkeypatch):
+    """Only articles with a long list are numbered; several lists, nulls in items and pmids, articles without rows or missing."""
+    articles = spark.createDataFrame([("1",), ("2",), ("3",), ("3",), (None,)], "pmid string")
+    few = spark.createDataFrame([("1", 2, None), ("1", 1, "b"), ("1", 1, "b"), ("4", None, "a"), (None, 7, "x")], "pmid string, a int, b string")
+    many = spark.createDataFrame([("1", k) for k in range(5, 0, -1)] + [("2", 9)], "pmid string, c int")
+    numbered = []
+    parts_of = N._parts_of
+    monkeypatch.setattr(N, "_parts_of", lambda rows, *args: numbered.append({r.pmid for r in rows.collect()}) or parts_of(rows, *args))
+    lists = {"few": (few, ["a", "b"]), "many": (many, ["c"])}
+
+    def got(part_items):
+        return {(r.pmid, r.part): ([tuple(x) for x in r.few], [x.c for x in r.many]) for r in N.nest_lists(articles, lists, part_items).collect()}
+
+    rest = {("2", 0): ([], [9]), ("3", 0): ([], []), ("4", 0): ([(None, "a")], []), (None, 0): ([], [])}
+    assert got(5) == rest | {("1", 0): ([(1, "b"), (1, "b"), (2, None)], [1, 2, 3, 4, 5])}
+    assert numbered == []
+    assert got(4) == rest | {("1", 0): ([(1, "b"), (1, "b"), (2, None)], [1, 2, 3, 4]), ("1", 1): ([], [5])}
+    assert numbered == [{"1"}, {"1"}]
+
+
 def test_matrix_looks_each_start_up_once(spark, monkeypatch):
     snapped = spark.createDataFrame(
         [("1", "title", 0, 3, 4, 9), ("1", "title", 1, 12, 12, 20), ("1", "title", 2, 30, None, None)],
